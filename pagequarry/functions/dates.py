@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagequarry import fixed_values as fv
-from pagequarry.functions.text import clean_text, squeeze
+from pagequarry.functions.text import bind, clean_text, squeeze
 
 
 def _gregorian(year: Column) -> Column:
@@ -31,7 +31,10 @@ def _make(year: Column, month: Column, day: Column) -> Column:
 
 def to_date(raw: Column) -> Column:
     """ISO, d/m/y, or '<day> <Thai month> <year>', Buddhist era included."""
-    text = squeeze(raw)
+    return bind(squeeze(raw), _date_in)
+
+
+def _date_in(text: Column) -> Column:
     iso = r"\b([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})\b"
     slash = r"\b([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{2,4})\b"
     thai = r"([0-9]{1,2})\s*([ก-๙.]+)\s*([0-9]{2,4})"
@@ -55,7 +58,10 @@ def to_date(raw: Column) -> Column:
 
 def to_timestamp(raw: Column) -> Column:
     """Date plus an optional HH:MM[:SS], midnight when there is no time."""
-    text = squeeze(raw)
+    return bind(squeeze(raw), _timestamp_in)
+
+
+def _timestamp_in(text: Column) -> Column:
     iso = r"([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?:[T\s]+([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}))?)?"
     clock = r"(?i)(?:เวลา\s*)?([0-9]{1,2})[:.]([0-5][0-9])(?::([0-5][0-9]))?\s*(?:น\.?|นาฬิกา)?"
 
@@ -67,18 +73,17 @@ def to_timestamp(raw: Column) -> Column:
         return F.concat_ws(" ", day.cast("string"), hms).try_cast("timestamp_ntz")
 
     iso_day = _make(_gregorian(_int(g(iso, 1))), _int(g(iso, 2)), _int(g(iso, 3)))
-    day = to_date(text)
-    return F.when(text.rlike(iso), F.when(iso_day.isNotNull(), stamp(iso_day, iso, 4))).when(
-        day.isNotNull(), stamp(day, clock, 1)
-    )
+    from_iso = bind(iso_day, lambda d: F.when(d.isNotNull(), stamp(d, iso, 4)))
+    from_text = bind(_date_in(text), lambda d: F.when(d.isNotNull(), stamp(d, clock, 1)))
+    return F.when(text.rlike(iso), from_iso).otherwise(from_text)
 
 
 def published_raw(c: Column) -> Column:
     """Date text after a publication label, else the first date anywhere."""
-    return _published_in_text(clean_text(c))
+    return published_in_text(clean_text(c))
 
 
-def _published_in_text(text: Column) -> Column:
+def _published(text: Column) -> Column:
     labelled = [
         F.nullif(F.regexp_extract(text, f"(?i)(?:{label})\\s*:?\\s*({fv.DATE_VALUE})", 1), F.lit(""))
         for label in fv.DATE_LABELS
@@ -88,7 +93,8 @@ def _published_in_text(text: Column) -> Column:
 
 
 def published_in_text(text: Column) -> Column:
-    return _published_in_text(text)
+    """The same for text that is already clean."""
+    return bind(text, _published)
 
 
 def published_text(html: Column) -> Column:

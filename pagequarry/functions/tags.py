@@ -5,16 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagequarry.functions import sqltext as S
 from pagequarry.functions.text import all_matches, ci
 
 VALUE = r"\s*=\s*(?:\"[^\"]+\"|'[^']+'|[^\s>]+)"
 VALUE_OR_EMPTY = r"\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)"
 
 
+_ASSIGNED = r"^[^=]*=\s*([\s\S]*)$"
+_QUOTED = "^(?:\"([^\"]+)\"|'([^']+)')$"
+
+
 def unquote(assignment: Column) -> Column:
     """Value of ``name = value`` text, without its quotes."""
-    raw = F.regexp_extract(assignment, r"^[^=]*=\s*([\s\S]*)$", 1)
-    return F.regexp_replace(raw, "^(?:\"([^\"]+)\"|'([^']+)')$", "$1$2")
+    return F.regexp_replace(F.regexp_extract(assignment, _ASSIGNED, 1), _QUOTED, "$1$2")
+
+
+def unquote_sql(assignment: str) -> str:
+    """SQL text of ``unquote``."""
+    return S.replace(S.extract(assignment, _ASSIGNED), _QUOTED, "$1$2")
+
+
+def attribute_sql(tag: str, name: str) -> str:
+    """SQL text of ``attribute``."""
+    found = f"nullif({S.extract(tag, ci(rf'{chr(92)}b{name}{VALUE}'), 0)}, '')"
+    return unquote_sql(found)
 
 
 def assignments(html: Column, names: list[str], boundary: bool = True) -> Column:
@@ -25,8 +40,7 @@ def assignments(html: Column, names: list[str], boundary: bool = True) -> Column
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of one attribute of a tag, NULL when absent or empty."""
-    found = F.nullif(F.regexp_extract(tag, ci(rf"\b{name}{VALUE}"), 0), F.lit(""))
-    return unquote(found)
+    return S.apply(attribute_sql("v", name), tag)
 
 
 def split_tags(html: Column) -> Column:
@@ -34,21 +48,19 @@ def split_tags(html: Column) -> Column:
     return F.split(html, "<")
 
 
-def tag_positions(tags: Column, pattern: str) -> Column:
+def positions_sql(tags: str, pattern: str) -> str:
     """Indices of the items that start with the given tag pattern."""
-    return F.filter(
-        F.transform(tags, lambda t, i: F.when(t.rlike(ci("^(?:" + pattern + ")")), i)), lambda i: i.isNotNull()
-    )
+    return f"filter(transform({tags}, (t, i) -> if({S.rlike('t', ci('^(?:' + pattern + ')'))}, i, NULL)), i -> i IS NOT NULL)"
 
 
-def last_before(positions: Column, at: Column) -> Column:
-    return F.array_max(F.filter(positions, lambda p: p < at))
+def last_before(positions: str, at: str) -> str:
+    return f"array_max(filter({positions}, p -> p < {at}))"
 
 
-def first_after(positions: Column, at: Column) -> Column:
-    return F.array_min(F.filter(positions, lambda p: p > at))
+def first_after(positions: str, at: str) -> str:
+    return f"array_min(filter({positions}, p -> p > {at}))"
 
 
-def span(tags: Column, start: Column, stop: Column) -> Column:
+def span(tags: str, start: str, stop: str) -> str:
     """Page text from tag ``start`` up to, not including, tag ``stop``."""
-    return F.concat(F.lit("<"), F.array_join(F.slice(tags, start + 1, F.greatest(stop - start, F.lit(0))), "<"))
+    return f"concat('<', array_join(slice({tags}, {start} + 1, greatest({stop} - {start}, 0)), '<'))"

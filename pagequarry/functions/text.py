@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagequarry.functions import sqltext as S
+
 # Whitespace as browsers see it; Java's \s alone misses the Unicode spaces.
 SPACE = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _AMP_HOLD = "\ue000"
@@ -31,34 +33,36 @@ def matches(c: Column, pattern: str) -> Column:
     return c.rlike(ci(pattern))
 
 
-def _numeric_entity(entity: Column) -> Column:
-    digits = F.regexp_extract(entity, r"(?i)^&#x?([0-9a-f]+);$", 1)
-    code = F.when(entity.rlike("(?i)^&#x"), F.upper(digits)).otherwise(F.conv(digits, 10, 16))
-    char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-    return F.when(char == "&", F.lit(_AMP_HOLD)).otherwise(char)
+def _decode_sql(x: str) -> str:
+    """Entities of ``x`` decoded, each once; a decoded '&' waits its turn."""
+    digits = S.extract("e", "(?i)^&#x?([0-9a-f]+);$")
+    code = f"if({S.rlike('e', '(?i)^&#x')}, upper({digits}), conv({digits}, 10, 16))"
+    char = S.let(f"decode(unhex(lpad({code}, 8, '0')), 'UTF-32')", "c", f"if(c = '&', {S.quote(_AMP_HOLD)}, c)")
+    found = f"array_distinct(regexp_extract_all(n, {S.quote(r'(?i)&#(?:x[0-9a-f]{1,5}|[0-9]{1,6});')}, 0))"
+    numeric = f"if(instr(n, '&#') > 0, aggregate({found}, n, (acc, e) -> replace(acc, e, {char})), n)"
+    named = numeric
+    for name, text in _NAMED:
+        named = S.replace(named, f"(?i)&{name};", text)
+    named = f"translate({S.replace(named, '(?i)&amp;', '&')}, {S.quote(_AMP_HOLD)}, '&')"
+    return S.let(x, "n", f"if(instr(n, '&') > 0, {named}, n)")
 
 
-def _decode_numeric(c: Column) -> Column:
-    found = F.array_distinct(
-        F.regexp_extract_all(c, F.lit(r"(?i)&#(?:x[0-9a-f]{1,5}|[0-9]{1,6});"), F.lit(0))
-    )
-    return F.aggregate(found, c, lambda acc, e: F.replace(acc, e, _numeric_entity(e)))
+def _squeeze_sql(x: str) -> str:
+    return f"trim({S.replace(x, SPACE + '+', ' ')})"
 
 
-def _decode_named(c: Column) -> Column:
-    for name, char in _NAMED:
-        c = F.regexp_replace(c, f"(?i)&{name};", char)
-    return F.translate(F.regexp_replace(c, "(?i)&amp;", "&"), _AMP_HOLD, "&")
+def clean_sql(x: str) -> str:
+    """SQL text of ``clean_text``."""
+    plain = S.replace(S.replace(_decode_sql(x), r"(?i)<script[\s\S]*?</script>", " "), r"(?i)<style[\s\S]*?</style>", " ")
+    return f"coalesce({_squeeze_sql(S.replace(plain, '<[^>]+>', ' '))}, '')"
 
 
-def html_decode(c: Column) -> Column:
-    """Decode numeric and the six named entities, each once."""
+decode_sql = _decode_sql
 
-    def decoded(v: Column) -> Column:
-        numeric = F.when(F.instr(v, "&#") > 0, _decode_numeric(v)).otherwise(v)
-        return F.when(F.instr(v, "&") > 0, _decode_named(numeric)).otherwise(v)
 
-    return bind(c, decoded)
+def html_decode(c: Column) -> Column:
+    """Decode numeric and the six named entities, each once."""
+    return S.apply(_decode_sql("v"), c)
 
 
 def squeeze(c: Column) -> Column:
@@ -73,8 +77,7 @@ def strip_scripts(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Visible text of an HTML fragment: entities first, then tags."""
-    plain = F.regexp_replace(strip_scripts(html_decode(c)), "<[^>]+>", " ")
-    return F.coalesce(squeeze(plain), F.lit(""))
+    return S.apply(clean_sql("v"), c)
 
 
 def letters(c: Column) -> Column:

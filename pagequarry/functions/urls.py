@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry import fixed_values as fv
+from pagequarry.functions import sqltext as S
 from pagequarry.functions.text import bind, ci, html_decode
 
 # --- parts of a serialised URL ----------------------------------------------
@@ -71,6 +72,7 @@ def decode_component(c: Column) -> Column:
 
 # --- resolution ---------------------------------------------------------------
 _SEP = "\x1f"
+_FRAGMENT = r"#[\s\S]*$"
 # (pattern over "<base><SEP><reference>", replacement); the first that fits
 # consumes the separator, so at most one applies
 _JOIN_RULES = [
@@ -86,62 +88,59 @@ _JOIN_RULES = [
 _VALID_ORIGIN = r"^https?://(?:[^/?#@]*@)?[^\s<>^|%\[\]\\:@]+(?::[0-9]+)?$"
 
 
-def _encode_non_ascii(c: Column) -> Column:
-    def encoded(v: Column) -> Column:
-        runs = F.array_sort(
-            F.array_distinct(F.regexp_extract_all(v, F.lit(r"[^\x00-\x7f]+"), F.lit(0))),
-            lambda a, b: F.length(b) - F.length(a),
-        )
-        return F.when(
-            v.rlike(r"[^\x00-\x7f]"), F.aggregate(runs, v, lambda acc, r: F.replace(acc, r, F.url_encode(r)))
-        ).otherwise(v)
-
-    return bind(c, encoded)
-
-
-def _encode_tail(c: Column) -> Column:
+def _encode_sql(x: str) -> str:
     """Percent-encode what a path, query and fragment cannot hold."""
+    unsafe = "t"
+    for char, escape in [(" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E")]:
+        unsafe = f"replace({unsafe}, {S.quote(char)}, {S.quote(escape)})"
+    for char, escape in [("`", "%60"), ("\\{", "%7B"), ("\\}", "%7D"), ("\\^", "%5E")]:
+        # path only: the match may not run past '?' or '#'
+        unsafe = S.replace(unsafe, rf"\G([^?#{char}]*){char}", "$1" + escape)
+    plain = S.let(x, "t", f"if({S.rlike('t', '[ \"<>`{}^]')}, {unsafe}, t)")
+    q = S.extract("t", r"^[^?#]*(\?[^#]*)")
+    quotes = (
+        f"concat({S.extract('t', '^([^?#]*)')}, replace({q}, {S.quote(chr(39))}, '%27'), "
+        f"{S.extract('t', '^[^#]*(#[' + chr(92) + 's' + chr(92) + 'S]*)$')})"
+    )
+    quoted = S.let(plain, "t", f"if(instr({q}, {S.quote(chr(39))}) > 0, {quotes}, t)")
+    runs = f"regexp_extract_all(t, {S.quote('[^' + chr(92) + 'x00-' + chr(92) + 'x7f]+')}, 0)"
+    longest = f"array_sort(array_distinct({runs}), (a, b) -> length(b) - length(a))"
+    encoded = f"aggregate({longest}, t, (acc, r) -> replace(acc, r, url_encode(r)))"
+    return S.let(quoted, "t", f"if({S.rlike('t', '[^' + chr(92) + 'x00-' + chr(92) + 'x7f]')}, {encoded}, t)")
+
+
+def _dots_sql(x: str) -> str:
+    """Resolve '.' and '..' path segments."""
+    path_text = S.replace(S.extract("t", "^([^?#]*)"), r"(?i)(/(?:\.|%2e){1,2})$", "$1/")
+    step = S.let(
+        S.replace("s", "(?i)%2e", "."), "d",
+        "CASE WHEN d = '.' OR (d = '..' AND size(acc) <= 1) THEN acc WHEN d = '..' THEN slice(acc, 1, size(acc) - 1) ELSE concat(acc, array(s)) END",
+    )
+    kept = f"aggregate(split({path_text}, '/'), cast(array() AS array<string>), (acc, s) -> {step})"
+    dotted = S.rlike("t", r"(?i)^[^?#]*/(?:\.|%2e){1,2}(?:[/?#]|$)")
+    rest = S.extract("t", r"^[^?#]*([\s\S]*)$")
+    return S.let(x, "t", f"if({dotted}, concat(array_join({kept}, '/'), {rest}), t)")
 
-    def encoded(v: Column) -> Column:
-        out = v
-        for char, escape in [(" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E")]:
-            out = F.replace(out, F.lit(char), F.lit(escape))
-        for char, escape in [("`", "%60"), ("\\{", "%7B"), ("\\}", "%7D"), ("\\^", "%5E")]:
-            # path only: the match may not run past '?' or '#'
-            out = F.regexp_replace(out, rf"\G([^?#{char}]*){char}", "$1" + escape)
-        return F.when(v.rlike(r"[ \"<>`{}^]"), out).otherwise(v)
-
-    def query_quotes(v: Column) -> Column:
-        q = F.regexp_extract(v, r"^[^?#]*(\?[^#]*)", 1)
-        return F.when(
-            F.instr(q, "'") > 0,
-            F.concat(
-                F.regexp_extract(v, r"^([^?#]*)", 1), F.replace(q, F.lit("'"), F.lit("%27")),
-                F.regexp_extract(v, r"^[^#]*(#[\s\S]*)$", 1),
-            ),
-        ).otherwise(v)
-
-    return _encode_non_ascii(bind(bind(c, encoded), query_quotes))
-
-
-def _drop_dot_segments(c: Column) -> Column:
-    def step(acc: Column, s: Column) -> Column:
-        dotted = F.regexp_replace(s, "(?i)%2e", ".")
-        return (
-            F.when((dotted == ".") | ((dotted == "..") & (F.size(acc) <= 1)), acc)
-            .when(dotted == "..", F.slice(acc, 1, F.size(acc) - 1))
-            .otherwise(F.concat(acc, F.array(s)))
-        )
-
-    def dropped(v: Column) -> Column:
-        p = F.regexp_replace(F.regexp_extract(v, "^([^?#]*)", 1), r"(?i)(/(?:\.|%2e){1,2})$", "$1/")
-        kept = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step)
-        return F.when(
-            v.rlike(r"(?i)^[^?#]*/(?:\.|%2e){1,2}(?:[/?#]|$)"),
-            F.concat(F.array_join(kept, "/"), F.regexp_extract(v, r"^[^?#]*([\s\S]*)$", 1)),
-        ).otherwise(v)
 
-    return bind(c, dropped)
+def _resolve_sql(keep_other_schemes: bool) -> str:
+    """SQL text over ``v``: the joined base and reference."""
+    joined = "v"
+    for pattern, replacement in _JOIN_RULES:
+        joined = S.replace(joined, pattern, replacement)
+    joined = S.replace(joined, r"\G([^?#\\]*)\\", "$1/")
+    joined = S.replace(joined, r"(?i)^(https?://[^/?#]+)(?=[?#]|$)", "$1/")
+    head = f"lower({S.extract('u', '(?i)^(https?://[^/?#]*)')})"
+    head = S.replace(head, r"^(http://[^/]*?):(?:80)?$|^(https://[^/]*?):(?:443)?$", "$1$2")
+    tail = S.extract("u", r"(?i)^https?://[^/?#]*([\s\S]*)$")
+    web = S.let(head, "h", f"if({S.rlike('h', _VALID_ORIGIN)}, concat(h, {_encode_sql(_dots_sql(tail))}), NULL)")
+    other = (
+        f"WHEN {S.rlike('u', '(?i)^[a-z][a-z0-9+.-]*:[^' + _SEP + ']*$')} THEN "
+        f"concat(lower({S.extract('u', '^([^:]*)')}), {S.extract('u', '^[^:]*([' + chr(92) + 's' + chr(92) + 'S]*)$')})"
+    )
+    return S.let(
+        joined, "u",
+        f"CASE WHEN {S.rlike('u', '(?i)^https?://')} THEN {web} WHEN {S.rlike('u', '(?i)^https?:')} THEN NULL {other if keep_other_schemes else ''} END",
+    )
 
 
 def clean_reference(raw: Column, unescape_slashes: bool = False) -> Column:
@@ -158,23 +157,7 @@ def resolve(ref: Column, base: Column, keep_other_schemes: bool = False) -> Colu
     NULL when it is not a URL, or not http(s) unless ``keep_other_schemes``.
     """
     trimmed = F.regexp_replace(ref, r"[\t\r\n\x1f]|^[\x00-\x20]+|[\x00-\x20]+$", "")
-    joined = F.concat(base, F.lit(_SEP), trimmed)
-    for pattern, replacement in _JOIN_RULES:
-        joined = F.regexp_replace(joined, pattern, replacement)
-    joined = F.regexp_replace(joined, r"\G([^?#\\]*)\\", "$1/")
-    joined = F.regexp_replace(joined, r"(?i)^(https?://[^/?#]+)(?=[?#]|$)", "$1/")
-
-    def serialised(v: Column) -> Column:
-        head = F.lower(F.regexp_extract(v, r"(?i)^(https?://[^/?#]*)", 1))
-        head = F.regexp_replace(head, r"^(http://[^/]*?):(?:80)?$|^(https://[^/]*?):(?:443)?$", "$1$2")
-        tail = F.regexp_extract(v, r"(?i)^https?://[^/?#]*([\s\S]*)$", 1)
-        web = bind(head, lambda h: F.when(h.rlike(_VALID_ORIGIN), F.concat(h, _encode_tail(_drop_dot_segments(tail)))))
-        if not keep_other_schemes:
-            return F.when(v.rlike("(?i)^https?://"), web)
-        other = F.concat(F.lower(F.regexp_extract(v, r"^([^:]*)", 1)), F.regexp_extract(v, r"^[^:]*([\s\S]*)$", 1))
-        return F.when(v.rlike("(?i)^https?:"), web).when(v.rlike(r"(?i)^[a-z][a-z0-9+.-]*:[^\x1f]*$"), other)
-
-    return bind(joined, serialised)
+    return S.apply(_resolve_sql(keep_other_schemes), F.concat(base, F.lit(_SEP), trimmed))
 
 
 def resolve_urls(
@@ -185,41 +168,43 @@ def resolve_urls(
 
 
 # --- parameters -------------------------------------------------------------------
-def _form_decode(c: Column) -> Column:
-    return F.coalesce(F.try_url_decode(c), c)
+_QUERY = r"^[^?#]*\?([^#]*)"
+
+
+def _pairs_sql(u: str) -> str:
+    def part(pattern: str) -> str:
+        return S.let(S.extract("x", pattern), "y", "coalesce(try_url_decode(y), y)")
+
+    both = f"named_struct('key', {part('^([^=]*)')}, 'value', {part('^[^=]*=(' + '[' + chr(92) + 's' + chr(92) + 'S]*)$')})"
+    return f"transform(filter(split({S.extract(u, _QUERY)}, '&'), x -> x <> ''), x -> {both})"
+
+
+def _joined_sql(pairs: str) -> str:
+    return f"array_join(transform({pairs}, p -> concat(url_encode(p.key), '=', url_encode(p.value))), '&')"
+
+
+def _with_query_sql(u: str, pairs: str) -> str:
+    head = S.extract(u, r"^([^?]*)")
+    return S.let(_joined_sql(pairs), "q", f"if(q <> '', concat({head}, '?', q), {head})")
 
 
 def param_pairs(u: Column) -> Column:
     """Query parameters in order as array<struct<key, value>>, decoded."""
-    parts = F.filter(F.split(query(u), "&"), lambda x: x != "")
-    return F.transform(
-        parts,
-        lambda x: F.struct(
-            _form_decode(F.regexp_extract(x, "^([^=]*)", 1)).alias("key"),
-            _form_decode(F.regexp_extract(x, "^[^=]*=([\\s\\S]*)$", 1)).alias("value"),
-        ),
-    )
+    return S.apply(_pairs_sql("v"), u)
 
 
 def first_params(u: Column) -> Column:
     """Parameters with lower-cased names, first occurrence of a name only."""
-    named = F.transform(
-        param_pairs(u),
-        lambda p: F.struct(F.lower(p["key"]).alias("name"), p["key"].alias("key"), p["value"].alias("value")),
-    )
-    return bind(named, lambda ps: F.filter(ps, lambda p, i: F.array_position(ps["name"], p["name"]) == i + 1))
+    named = f"transform({_pairs_sql('v')}, p -> named_struct('name', lower(p.key), 'key', p.key, 'value', p.value))"
+    return S.apply(S.let(named, "ps", "filter(ps, (p, i) -> array_position(ps.name, p.name) = i + 1)"), u)
 
 
 def pick_param(params: Column, names: list[str]) -> Column:
     """struct<rank, key, value> of the first listed name with a value."""
-    order = F.array(*[F.lit(n) for n in names])
-    ranked = F.transform(
-        params,
-        lambda p: F.struct(
-            F.array_position(order, p["name"]).alias("rank"), p["key"].alias("key"), p["value"].alias("value")
-        ),
+    ranked = (
+        f"transform(v, p -> named_struct('rank', array_position({S.strings(names)}, p.name), 'key', p.key, 'value', p.value))"
     )
-    return F.array_min(F.filter(ranked, lambda p: (p["rank"] > 0) & (p["value"] != "")))
+    return S.apply(f"array_min(filter({ranked}, r -> r.rank > 0 AND r.value <> ''))", params)
 
 
 def category_map(params: Column) -> Column:
@@ -238,14 +223,8 @@ def category_key(u: Column, constraints: Column) -> Column:
     return F.concat(site(u), F.lower(path(u)), F.lit("?"), F.array_join(pairs, "&"))
 
 
-def _join_pairs(pairs: Column) -> Column:
-    return F.array_join(
-        F.transform(pairs, lambda p: F.concat(F.url_encode(p["key"]), F.lit("="), F.url_encode(p["value"]))), "&"
-    )
-
-
 def drop_fragment(u: Column) -> Column:
-    return F.regexp_replace(u, r"#[\s\S]*$", "")
+    return F.regexp_replace(u, _FRAGMENT, "")
 
 
 def asset_key(u: Column) -> Column:
@@ -253,49 +232,24 @@ def asset_key(u: Column) -> Column:
     return drop_fragment(u)
 
 
-def _with_pairs(bare: Column, pairs: Column) -> Column:
-    head = F.regexp_extract(bare, r"^([^?]*)", 1)
-    return bind(_join_pairs(pairs), lambda q: F.when(q != "", F.concat(head, F.lit("?"), q)).otherwise(head))
-
-
 def canonical(u: Column) -> Column:
     """Page key: no fragment, no trackers, parameters sorted by name."""
-    trackers = F.array(*[F.lit(t) for t in fv.TRACKERS])
-
-    def keyed(v: Column) -> Column:
-        ordered = F.array_sort(
-            F.transform(
-                F.filter(param_pairs(v), lambda p: ~F.array_contains(trackers, F.lower(p["key"]))),
-                lambda p, i: F.struct(
-                    F.translate(F.lower(p["key"]), "_-", " !").alias("name"), i.alias("at"),
-                    p["key"].alias("key"), p["value"].alias("value"),
-                ),
-            )
-        )
-        return F.when(F.instr(v, "?") > 0, _with_pairs(v, ordered)).otherwise(v)
-
-    return bind(drop_fragment(u), keyed)
+    kept = f"filter({_pairs_sql('b')}, p -> NOT array_contains({S.strings(fv.TRACKERS)}, lower(p.key)))"
+    ordered = (
+        f"array_sort(transform({kept}, (p, i) -> named_struct('name', translate(lower(p.key), '_-', ' !'), 'at', i, "
+        "'key', p.key, 'value', p.value)))"
+    )
+    return S.apply(S.let(S.replace("v", _FRAGMENT, ""), "b", f"if(instr(b, '?') > 0, {_with_query_sql('b', ordered)}, b)"), u)
 
 
 def crawl_canonical(u: Column) -> Column:
     """Crawl key: no fragment, no trackers, parameter order kept."""
-    trackers = F.array(*[F.lit(t) for t in fv.CRAWL_TRACKERS])
-
-    def keyed(v: Column) -> Column:
-        rebuilt = bind(
-            param_pairs(v),
-            lambda ps: bind(
-                F.filter(ps, lambda p: ~F.array_contains(trackers, F.lower(p["key"]))),
-                lambda kept: F.when(F.size(kept) < F.size(ps), _with_pairs(v, kept)).otherwise(v),
-            ),
-        )
-        return (
-            F.when(~v.rlike(r"^https?:"), F.lit(""))
-            .when(F.instr(v, "?") > 0, rebuilt)
-            .otherwise(v)
-        )
-
-    return bind(drop_fragment(u), keyed)
+    kept = f"filter(ps, p -> NOT array_contains({S.strings(fv.CRAWL_TRACKERS)}, lower(p.key)))"
+    rebuilt = S.let(
+        _pairs_sql("b"), "ps", S.let(kept, "k", f"if(size(k) < size(ps), {_with_query_sql('b', 'k')}, b)")
+    )
+    body = f"CASE WHEN NOT {S.rlike('b', '^https?:')} THEN '' WHEN instr(b, '?') > 0 THEN {rebuilt} ELSE b END"
+    return S.apply(S.let(S.replace("v", _FRAGMENT, ""), "b", body), u)
 
 
 def path_and_query(u: Column) -> Column:

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry import fixed_values as fv
+from pagequarry.functions import sqltext as S
 from pagequarry.functions import tags as T
 from pagequarry.functions import urls as U
-from pagequarry.functions.text import all_matches, bind, ci, clean_text, html_decode, letters, squeeze
+from pagequarry.functions.text import all_matches, ci, clean_text, decode_sql, html_decode, letters, squeeze
 
 ANCHOR = r"<a\b[^>]*href\s*=\s*(?:\"([^\"]+)\"|'([^']+)'|([^\s>]+))[^>]*>([\s\S]*?)</a>"
 
@@ -82,17 +83,11 @@ def page_sources(pages: DataFrame) -> DataFrame:
 
 def script_matches(source: Column) -> Column:
     """array<struct<family, at, raw>> of URLs named in script text."""
-    decoded = html_decode(source)
-
-    def family(text: Column, n: int, pattern: str) -> Column:
-        return F.transform(
-            all_matches(text, pattern, 1),
-            lambda v, i: F.struct(F.lit(n).alias("family"), i.alias("at"), v.alias("raw")),
-        )
-
-    return bind(
-        decoded, lambda text: F.flatten(F.array(*[family(text, n, p) for n, p in enumerate(fv.SCRIPT_URLS)]))
+    families = ", ".join(
+        f"transform(regexp_extract_all(t, {S.quote(ci(p))}, 1), (m, i) -> named_struct('family', {n}, 'at', i, 'raw', m))"
+        for n, p in enumerate(fv.SCRIPT_URLS)
     )
+    return S.apply(S.let(decode_sql("v"), "t", f"flatten(array({families}))"), source)
 
 
 def resolve_links(rows: DataFrame) -> DataFrame:
@@ -145,65 +140,51 @@ _WINDOW = 1200
 
 def _tag_marks(pages: DataFrame) -> DataFrame:
     """Page rows with the tag list and the positions navigation needs."""
-    tags = F.col("tags")
     marks = {
         "a_open": r"a\b[^>]*>", "a_close": r"/a>", "text_end": r"/a>|/td>|/tr>|br",
-        "row_open": r"tr\b[^>]*>", "break": r"/tr>|br",
+        "row_open": r"tr\b[^>]*>", "breaks": r"/tr>|br",
     }
     for t in _CONTEXT_TAGS:
         marks[f"open_{t}"] = t
         marks[f"close_{t}"] = f"/{t}>"
-    return pages.withColumn("tags", T.split_tags(F.col("html"))).select(
-        "page_id", "url", "tags", *[T.tag_positions(tags, p).alias(n) for n, p in marks.items()]
+    return pages.withColumn("tags", T.split_tags(F.col("html"))).selectExpr(
+        "page_id", "url", "tags", *[f"{T.positions_sql('tags', p)} AS {n}" for n, p in marks.items()]
     )
 
 
-def _context(at: Column, end: Column) -> Column:
-    """Smallest listed element around a tag, else the text around it."""
-    c = F.col
-    tags = c("tags")
+def _context(at: str, end: str) -> str:
+    """SQL text: smallest listed element around a tag, else the text around it."""
     enclosing = []
     for t in _CONTEXT_TAGS:
-        start = T.last_before(c(f"open_{t}"), at + 1)
-        closed = T.last_before(c(f"close_{t}"), at + 1)
-        stop = T.first_after(c(f"close_{t}"), end)
-        text = F.concat(T.span(tags, start, stop), F.lit(f"</{t}>"))
-        inside = start.isNotNull() & (start > F.coalesce(closed, F.lit(-1))) & stop.isNotNull()
-        enclosing.append(F.when(inside & (F.length(text) <= _CONTEXT_LIMIT), text))
-    left = F.coalesce(T.last_before(c("break"), at), F.lit(0))
-    right = F.coalesce(T.first_after(c("break"), end), F.size(tags))
-    before = F.right(F.regexp_extract(T.span(tags, left, at), r"([^\n]*)$", 1), F.lit(_WINDOW))
-    after = F.regexp_extract(T.span(tags, end, right), r"^(<[^>]*>[^\n]{0," + str(_WINDOW) + "})", 1)
-    return F.coalesce(*enclosing, F.concat(before, T.span(tags, at, end), after))
+        start, closed = T.last_before(f"open_{t}", f"{at} + 1"), T.last_before(f"close_{t}", f"{at} + 1")
+        facts = f"named_struct('a', {start}, 'b', coalesce({closed}, -1), 'z', {T.first_after(f'close_{t}', end)})"
+        text = S.let(f"concat({T.span('tags', 'f.a', 'f.z')}, '</{t}>')", "x", f"if(length(x) <= {_CONTEXT_LIMIT}, x, NULL)")
+        enclosing.append(S.let(facts, "f", f"if(f.a > f.b AND f.z IS NOT NULL, {text}, NULL)"))
+    left = f"coalesce({T.last_before('breaks', at)}, 0)"
+    right = f"coalesce({T.first_after('breaks', end)}, size(tags))"
+    before = f"right({S.extract(T.span('tags', left, at), '([^' + chr(92) + 'n]*)$')}, {_WINDOW})"
+    after = S.extract(T.span("tags", end, right), r"^(<[^>]*>[^\n]{0," + str(_WINDOW) + "})")
+    return f"coalesce({', '.join(enclosing)}, concat({before}, {T.span('tags', at, end)}, {after}))"
 
 
 def _anchor_rows(marked: DataFrame) -> DataFrame:
     """One row per <a> start tag with its three texts and its context."""
-    c = F.col
-    tags = c("tags")
-
-    def anchor(i: Column) -> Column:
-        close = T.first_after(c("a_close"), i)
-        previous = F.coalesce(T.last_before(c("a_close"), i), F.lit(-1))
-        closed = close.isNotNull() & (T.first_after(c("a_open"), previous) == i)
-        inner = F.regexp_replace(T.span(tags, i, close), "^<[^>]*>", "")
-        text_end = T.first_after(c("text_end"), i)
-        rest = F.regexp_replace(T.span(tags, i, F.coalesce(text_end, F.size(tags))), "^<[^>]*>", "")
-        row_before = F.coalesce(T.last_before(c("close_tr"), i), F.lit(-1))
-        row_start = T.first_after(c("row_open"), row_before)
-        row_stop = T.first_after(c("close_tr"), i)
-        row = F.when((row_start < i) & row_stop.isNotNull(), T.span(tags, row_start, row_stop))
-        end = F.when(closed, close).otherwise(i)
-        return F.struct(
-            i.alias("pos"),
-            F.get(tags, i).alias("tag"),
-            F.when(closed, inner).alias("closed"),
-            F.when(text_end.isNotNull(), rest).otherwise(F.substring(rest, 1, 1000)).alias("loose"),
-            row.alias("row"),
-            _context(i, end).alias("context"),
-        )
-
-    rows = marked.select("page_id", "url", F.explode(F.transform(c("a_open"), anchor)).alias("a")).select(
+    inside = "^<[^>]*>"
+    close, previous = T.first_after("a_close", "i"), f"coalesce({T.last_before('a_close', 'i')}, -1)"
+    facts = (
+        f"named_struct('close', {close}, 'opens', {T.first_after('a_open', previous)} = i, 'stop', {T.first_after('text_end', 'i')}, "
+        f"'row_start', {T.first_after('row_open', f'coalesce({T.last_before("close_tr", "i")}, -1)')}, 'row_stop', {T.first_after('close_tr', 'i')})"
+    )
+    closed = "(k.close IS NOT NULL AND k.opens)"
+    rest = S.replace(T.span("tags", "i", "coalesce(k.stop, size(tags))"), inside, "")
+    row = (
+        f"named_struct('pos', i, 'tag', tags[i], "
+        f"'closed', if({closed}, {S.replace(T.span('tags', 'i', 'k.close'), inside, '')}, NULL), "
+        f"'loose', if(k.stop IS NOT NULL, {rest}, substring({rest}, 1, 1000)), "
+        f"'row', if(k.row_start < i AND k.row_stop IS NOT NULL, {T.span('tags', 'k.row_start', 'k.row_stop')}, NULL), "
+        f"'context', {S.let(f'if({closed}, k.close, i)', 'e', _context('i', 'e'))})"
+    )
+    rows = marked.selectExpr("page_id", "url", f"explode(transform(a_open, i -> {S.let(facts, 'k', row)})) AS a").select(
         "page_id", "url", "a.*"
     )
     tag = F.regexp_replace("tag", r"^a\b|>[\s\S]*$", "")
@@ -251,16 +232,9 @@ def _tag_mentions(marked: DataFrame) -> DataFrame:
     """data-* attributes, onclick handlers and meta refresh, per tag."""
     c = F.col
     wanted = r"(?i)^[^>]+\b(?:onclick|data-href|data-url|data-link|data-target|data-detail-url|http-equiv)\s*="
-    tags = marked.select(
-        "page_id", "url",
-        F.explode(
-            F.transform(
-                F.filter(F.transform(c("tags"), lambda t, i: F.struct(i.alias("pos"), t.alias("tag"))),
-                         lambda x: x["tag"].rlike(wanted)),
-                lambda x: F.struct(x["pos"].alias("pos"), x["tag"].alias("tag"), _context(x["pos"], x["pos"]).alias("context")),
-            )
-        ).alias("x"),
-    ).select("page_id", "url", "x.*")
+    found = f"filter(transform(tags, (t, i) -> named_struct('pos', i, 'tag', t)), x -> {S.rlike('x.tag', wanted)})"
+    each = f"transform({found}, x -> named_struct('pos', x.pos, 'tag', x.tag, 'context', {_context('x.pos', 'x.pos')}))"
+    tags = marked.selectExpr("page_id", "url", f"explode({each}) AS x").select("page_id", "url", "x.*")
     tags = tags.withColumn("tag", F.concat(F.lit("<"), F.regexp_extract("tag", r"^([^>]*>)", 1)))
     data = rf"\b({'|'.join(fv.NAV_DATA_ATTRS)}){T.VALUE}"
     # the attribute list is matched greedily, so the last one of a tag counts

@@ -8,101 +8,94 @@ aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry import fixed_values as fv
 from pagequarry.functions import media as M
+from pagequarry.functions import sqltext as S
 from pagequarry.functions import tags as T
 from pagequarry.functions import urls as U
-from pagequarry.functions.text import all_matches, bind, ci, clean_text, html_decode, matches
+from pagequarry.functions.text import bind, ci, clean_sql, clean_text, html_decode, matches
 from pagequarry.operators.extract import ANCHOR
 from pagequarry.operators.ordinals import with_ordinal
 
 
 
-def _cand(rank: int, at: Column, via: Column, raw: Column, context: Column, text: Column) -> Column:
-    return F.struct(
-        F.lit(rank).alias("rank"), at.cast("int").alias("at"), via.alias("via"), raw.alias("raw"),
-        context.alias("context"), text.alias("text"),
+def _cand(rank: int, at: str, via: str, raw: str, context: str = "''", text: str = "''") -> str:
+    """SQL text of one mention; all arguments but ``rank`` are SQL text."""
+    return (
+        f"named_struct('rank', {rank}, 'at', cast({at} AS int), 'via', {via}, 'raw', {raw}, 'context', {context}, 'text', {text})"
     )
 
 
-def _flat(arrays: list[Column]) -> Column:
-    return F.filter(F.flatten(F.array(*arrays)), lambda x: x["raw"].isNotNull() & (x["raw"] != ""))
+def _each(pattern: str, body: str, group: int = 0) -> str:
+    """SQL text: ``body`` for every match ``m`` (ordinal ``i``) in the page."""
+    return f"transform(regexp_extract_all(html, {S.quote(ci(pattern))}, {group}), (m, i) -> {body})"
 
 
-def _attribute_cands(rank: int, tag: Column, attrs: Column, at: Column, names: list[str], text: Column) -> Column:
-    context = F.concat(tag, F.lit(" "), attrs)
-    return F.array(*[
-        _cand(rank, at * 100 + n, F.concat(tag, F.lit(f"-{name}")), T.attribute(attrs, name), context, text)
+def _named_attrs(rank: int, names: list[str], via: str, text: str = "''") -> str:
+    """Mentions of the listed attributes of a tag ``g`` (g.tag, g.attrs)."""
+    context = "concat(g.tag, ' ', g.attrs)"
+    items = [
+        _cand(rank, f"i * 100 + {n}", via.replace("NAME", name), T.attribute_sql("g.attrs", name), context, text)
         for n, name in enumerate(names)
-    ])
+    ]
+    return f"array({', '.join(items)})"
 
 
-def _paired_tags(html: Column, rank: int) -> Column:
-    pattern = r"<(a|video|audio|iframe|object)\b([^>]*)>([\s\S]*?)</\1>"
+def _srcset(rank: int, via: str) -> str:
+    value = S.replace(S.extract("g.attrs", ci(r"\bsrcset\s*=\s*(\"[^\"]+\"|'[^']+')")), "^.|.$", "")
+    item = _cand(rank, "i * 100 + 50 + k", via, S.extract("trim(w)", r"^(\S+)"), "concat(g.tag, ' ', g.attrs)")
+    return f"transform(split({value}, ','), (w, k) -> {item})"
 
-    def one(m: Column, i: Column) -> Column:
-        tag = F.lower(F.regexp_extract(m, ci("^" + pattern), 1))
-        attrs, body = F.regexp_extract(m, ci("^" + pattern), 2), F.regexp_extract(m, ci("^" + pattern), 3)
-        return F.when(tag == "object", _attribute_cands(rank, tag, attrs, i, fv.OBJECT_TAG_ATTRS, body)).otherwise(
-            _attribute_cands(rank, tag, attrs, i, fv.PAIRED_TAG_ATTRS, body)
-        )
 
-    return F.flatten(F.transform(all_matches(html, pattern), one))
+def _tag_parts(pattern: str, body: bool = False) -> str:
+    first = ci("^" + pattern)
+    parts = f"'tag', lower({S.extract('m', first, 1)}), 'attrs', {S.extract('m', first, 2)}"
+    return f"named_struct({parts}{', ' + chr(39) + 'body' + chr(39) + ', ' + S.extract('m', first, 3) if body else ''})"
 
 
-def _srcset(attrs: Column) -> Column:
-    value = F.regexp_replace(F.regexp_extract(attrs, ci(r"\bsrcset\s*=\s*(\"[^\"]+\"|'[^']+')"), 1), "^.|.$", "")
-    return F.transform(F.split(value, ","), lambda item: F.regexp_extract(F.trim(item), r"^(\S+)", 1))
+def _paired_tags(rank: int) -> str:
+    pattern = r"<(a|video|audio|iframe|object)\b([^>]*)>([\s\S]*?)</\1>"
+    via = "concat(g.tag, '-NAME')"
+    named = (
+        f"if(g.tag = 'object', {_named_attrs(rank, fv.OBJECT_TAG_ATTRS, via, 'g.body')}, "
+        f"{_named_attrs(rank, fv.PAIRED_TAG_ATTRS, via, 'g.body')})"
+    )
+    return f"flatten({_each(pattern, S.let(_tag_parts(pattern, True), 'g', named))})"
 
 
-def _lone_tags(html: Column, rank: int) -> Column:
+def _lone_tags(rank: int) -> str:
     pattern = r"<(source|embed|img|iframe|video|audio|object)\b([^>]*)>"
+    both = f"concat({_named_attrs(rank, fv.LONE_TAG_ATTRS, 'concat(g.tag, ' + chr(39) + '-NAME' + chr(39) + ')')}, {_srcset(rank, 'concat(g.tag, ' + chr(39) + '-srcset' + chr(39) + ')')})"
+    return f"flatten({_each(pattern, S.let(_tag_parts(pattern), 'g', both))})"
 
-    def one(m: Column, i: Column) -> Column:
-        tag = F.lower(F.regexp_extract(m, ci("^" + pattern), 1))
-        attrs = F.regexp_extract(m, ci("^" + pattern), 2)
-        context = F.concat(tag, F.lit(" "), attrs)
-        images = F.transform(
-            _srcset(attrs), lambda v, k: _cand(rank, i * 100 + 50 + k, F.concat(tag, F.lit("-srcset")), v, context, F.lit(""))
-        )
-        return F.concat(_attribute_cands(rank, tag, attrs, i, fv.LONE_TAG_ATTRS, F.lit("")), images)
-
-    return F.flatten(F.transform(all_matches(html, pattern), one))
-
-
-def _attributes(html: Column, rank: int, names: list[str], via: str | None = None, context: bool = True) -> Column:
-    return F.transform(
-        T.assignments(html, names),
-        lambda m, i: _cand(
-            rank, i, F.lit(via) if via else F.lower(F.regexp_extract(m, r"^([^\s=]+)", 1)), T.unquote(m),
-            m if context else F.lit(""), F.lit(""),
-        ),
-    )
 
+def _attributes(rank: int, names: list[str], via: str | None = None, context: bool = True, boundary: bool = True) -> str:
+    pattern = (r"\b" if boundary else "") + f"(?:{'|'.join(names)}){T.VALUE}"
+    name = S.quote(via) if via else f"lower({S.extract('m', '^([^' + chr(92) + 's=]+)')})"
+    return _each(pattern, _cand(rank, "i", name, T.unquote_sql("m"), "m" if context else "''"))
 
-def _pattern(html: Column, rank: int, via: str, pattern: str, group: int = 1) -> Column:
-    return F.transform(
-        all_matches(html, pattern),
-        lambda m, i: _cand(rank, i, F.lit(via), F.regexp_extract(m, ci(pattern), group), m, F.lit("")),
-    )
+
+def _pattern(rank: int, via: str, pattern: str, group: int = 1) -> str:
+    return _each(pattern, _cand(rank, "i", S.quote(via), S.extract("m", ci(pattern), group), "m"))
 
 
 _CSS_URL = r"url\(\s*([\"']?)([^\"')]+)\1\s*\)"
 
 
-def media_channels(html: Column) -> list[Column]:
+def media_channels() -> list[str]:
     return [
-        _paired_tags(html, 0), _lone_tags(html, 1), _attributes(html, 2, fv.MEDIA_DATA_ATTRS),
-        _pattern(html, 3, "css-url", _CSS_URL, 2), _pattern(html, 4, "javascript-string", fv.MEDIA_QUOTED),
-        _pattern(html, 5, "embedded-player", fv.MEDIA_PLAYER),
+        _paired_tags(0), _lone_tags(1), _attributes(2, fv.MEDIA_DATA_ATTRS),
+        _pattern(3, "css-url", _CSS_URL, 2), _pattern(4, "javascript-string", fv.MEDIA_QUOTED),
+        _pattern(5, "embedded-player", fv.MEDIA_PLAYER),
     ]
 
 
-def _explode(pages: DataFrame, channels: list[Column]) -> DataFrame:
-    return pages.select("page_id", "url", F.explode(_flat(channels)).alias("x")).select("page_id", "url", "x.*")
+def _explode(pages: DataFrame, channels: list[str]) -> DataFrame:
+    every = f"filter(flatten(array({', '.join(channels)})), x -> x.raw IS NOT NULL AND x.raw <> '')"
+    return pages.selectExpr("page_id", "url", f"explode({every}) AS x").select("page_id", "url", "x.*")
 
 
 _NO_LINK = r"(?i)^(?:javascript:|mailto:|tel:|#|data:|blob:)"
@@ -110,7 +103,7 @@ _NO_LINK = r"(?i)^(?:javascript:|mailto:|tel:|#|data:|blob:)"
 
 def _media_rows(pages: DataFrame) -> DataFrame:
     """Resolved, classified media mentions; links and noise dropped."""
-    rows = _explode(pages, media_channels(F.col("html")))
+    rows = _explode(pages, media_channels())
     rows = rows.withColumn("ref", U.clean_reference(F.col("raw"), unescape_slashes=True))
     rows = rows.where((F.col("ref") != "") & ~F.col("ref").rlike(_NO_LINK))
     rows = U.resolve_urls(rows, "ref", "url", "href").where("href IS NOT NULL").drop("ref", "raw")
@@ -144,21 +137,13 @@ def media_candidates(pages: DataFrame) -> DataFrame:
 
 def attachments(pages: DataFrame) -> DataFrame:
     """Attachment candidates: known files and download-labelled links."""
-    html = F.col("html")
-    none = F.lit("")
-    anchors = F.transform(
-        all_matches(html, ANCHOR),
-        lambda m, i: _cand(
-            0, i, F.lit("href"), F.concat(*[F.regexp_extract(m, ci(ANCHOR), g) for g in (1, 2, 3)]), none,
-            clean_text(F.regexp_extract(m, ci(ANCHOR), 4)),
-        ),
-    )
-    sources = F.transform(
-        T.assignments(html, ["src"], boundary=False), lambda m, i: _cand(1, i, F.lit("src"), T.unquote(m), none, none)
+    parts = [S.extract("m", ci(ANCHOR), g) for g in (1, 2, 3, 4)]
+    anchors = _each(
+        ANCHOR, _cand(0, "i", "'href'", f"concat({', '.join(parts[:3])})", text=clean_sql(parts[3]))
     )
     rows = _explode(pages, [
-        anchors, sources, _attributes(html, 2, ["data"], "object-data"), _attributes(html, 3, fv.ATTACHMENT_DATA_ATTRS),
-        _pattern(html, 4, "javascript-string", fv.ATTACHMENT_QUOTED),
+        anchors, _attributes(1, ["src"], "src", context=False, boundary=False), _attributes(2, ["data"], "object-data"),
+        _attributes(3, fv.ATTACHMENT_DATA_ATTRS), _pattern(4, "javascript-string", fv.ATTACHMENT_QUOTED),
     ])
     rows = U.resolve_urls(rows.withColumn("ref", html_decode(F.col("raw"))), "ref", "url", "href").where("href IS NOT NULL")
     u = F.col("href")
@@ -178,30 +163,20 @@ def attachments(pages: DataFrame) -> DataFrame:
 
 def page_assets(pages: DataFrame) -> DataFrame:
     """Every asset a page refers to; first channel wins, force is sticky."""
-    html = F.col("html")
     anchor = r"<a\b([^>]*)href\s*=\s*(?:\"([^\"]+)\"|'([^']+)'|([^\s>]+))([^>]*)>([\s\S]*?)</a>"
-
-    def anchor_cand(m: Column, i: Column) -> Column:
-        def g(k: int) -> Column:
-            return F.regexp_extract(m, ci(anchor), k)
-
-        href, text = F.concat(g(2), g(3), g(4)), clean_text(g(6))
-        signal = F.concat_ws(" ", g(1), g(5), text, href)
-        via = F.when(matches(signal, fv.DOWNLOAD_SIGNAL), "download-anchor").otherwise("anchor")
-        return _cand(10, i, via, href, F.lit(""), text)
-
-    srcset = F.flatten(F.transform(
-        all_matches(html, r"\b(?:srcset|data-srcset)\s*=\s*(?:\"[^\"]+\"|'[^']+')"),
-        lambda m, i: F.transform(
-            F.split(T.unquote(m), ","),
-            lambda item, k: _cand(12, i * 100 + k, F.lit("html-srcset"), F.regexp_extract(F.trim(item), r"^(\S+)", 1), F.lit(""), F.lit("")),
-        ),
-    ))
+    g = [S.extract("m", ci(anchor), k) for k in range(1, 7)]
+    facts = f"named_struct('href', concat({g[1]}, {g[2]}, {g[3]}), 'text', {clean_sql(g[5])}, 'attrs', concat_ws(' ', {g[0]}, {g[4]}))"
+    signal = S.rlike("concat_ws(' ', f.attrs, f.text, f.href)", ci(fv.DOWNLOAD_SIGNAL))
+    labelled = _cand(10, "i", f"if({signal}, 'download-anchor', 'anchor')", "f.href", text="f.text")
+    anchors = _each(anchor, S.let(facts, "f", labelled))
+    item = _cand(12, "i * 100 + k", "'html-srcset'", S.extract("trim(w)", r"^(\S+)"))
+    srcset = _each(
+        r"\b(?:srcset|data-srcset)\s*=\s*(?:\"[^\"]+\"|'[^']+')", f"transform(split({T.unquote_sql('m')}, ','), (w, k) -> {item})"
+    )
     rows = _explode(pages, [
-        F.transform(all_matches(html, anchor), anchor_cand),
-        _attributes(html, 11, fv.PAGE_ASSET_ATTRS, "html-attribute", context=False), srcset,
-        _pattern(html, 13, "inline-css-url", r"url\(\s*[\"']?([^\"')]+)[\"']?\s*\)"),
-        _pattern(html, 14, "javascript-string", fv.ASSET_QUOTED),
+        anchors, _attributes(11, fv.PAGE_ASSET_ATTRS, "html-attribute", context=False), f"flatten({srcset})",
+        _pattern(13, "inline-css-url", r"url\(\s*[\"']?([^\"')]+)[\"']?\s*\)"),
+        _pattern(14, "javascript-string", fv.ASSET_QUOTED),
     ])
     rows = U.resolve_urls(rows.withColumn("ref", F.trim("raw")), "ref", "url", "href").where("href IS NOT NULL")
     rows = rows.select(
@@ -220,27 +195,16 @@ def page_assets(pages: DataFrame) -> DataFrame:
 
 def gallery_images(pages: DataFrame) -> DataFrame:
     """Album images with their evidence score, best channel per image."""
-    html = F.col("html")
     pattern = r"<(a|img|source|meta|picture|div|figure|li|button)\b([^>]*)>"
-
-    def tag_cands(m: Column, i: Column) -> Column:
-        tag = F.lower(F.regexp_extract(m, ci("^" + pattern), 1))
-        attrs = F.regexp_extract(m, ci("^" + pattern), 2)
-        context = F.concat(tag, F.lit(" "), attrs)
-
-        def named(names: list[str]) -> Column:
-            return F.array(*[
-                _cand(0, i * 100 + n, F.lit(name), T.attribute(attrs, name), context, F.lit("")) for n, name in enumerate(names)
-            ])
-
-        images = F.transform(_srcset(attrs), lambda v, k: _cand(0, i * 100 + 50 + k, F.lit("srcset"), v, context, F.lit("")))
-        return F.concat(F.when(tag == "a", named(fv.GALLERY_ANCHOR_ATTRS)).otherwise(named(fv.GALLERY_TAG_ATTRS)), images)
-
+    named = (
+        f"concat(if(g.tag = 'a', {_named_attrs(0, fv.GALLERY_ANCHOR_ATTRS, chr(39) + 'NAME' + chr(39))}, "
+        f"{_named_attrs(0, fv.GALLERY_TAG_ATTRS, chr(39) + 'NAME' + chr(39))}), {_srcset(0, chr(39) + 'srcset' + chr(39))})"
+    )
     rows = _explode(pages, [
-        F.flatten(F.transform(all_matches(html, pattern), tag_cands)),
-        _pattern(html, 1, "css-url", _CSS_URL, 2),
-        _pattern(html, 2, "json", r"[\"'](?:src|image|photo|full|original|large|url)[\"']\s*:\s*[\"']([^\"']+)[\"']"),
-        _pattern(html, 3, "script", r"[\"']([^\"']+\.(?:jpe?g|png|gif|webp|bmp)(?:\?[^\"']*)?)[\"']"),
+        f"flatten({_each(pattern, S.let(_tag_parts(pattern), 'g', named))})",
+        _pattern(1, "css-url", _CSS_URL, 2),
+        _pattern(2, "json", r"[\"'](?:src|image|photo|full|original|large|url)[\"']\s*:\s*[\"']([^\"']+)[\"']"),
+        _pattern(3, "script", r"[\"']([^\"']+\.(?:jpe?g|png|gif|webp|bmp)(?:\?[^\"']*)?)[\"']"),
     ])
     rows = rows.withColumn("ref", U.clean_reference(F.col("raw"), unescape_slashes=True))
     rows = rows.where((F.col("ref") != "") & ~F.col("ref").rlike(r"(?i)^(?:javascript:|mailto:|tel:|#|data:)"))
@@ -264,31 +228,20 @@ def gallery_images(pages: DataFrame) -> DataFrame:
 
 def page_images(pages: DataFrame) -> DataFrame:
     """Representative image: declared, full-size link, or largest picture."""
-    html = F.col("html")
-    none = F.lit("")
-
-    def meta_cand(m: Column, i: Column) -> Column:
-        wanted = m.rlike(r"(?i)\b(?:property|name|itemprop|rel)\s*=\s*[\"']?(?:og:image|og:image:url|image|image_src)[\"'\s/>]")
-        return _cand(0, i, F.lit("declared"), F.when(wanted, F.coalesce(T.attribute(m, "content"), T.attribute(m, "href"))), none, none)
-
-    def size(m: Column, name: str) -> Column:
-        return F.coalesce(F.regexp_extract(m, rf"(?i)\b{name}\s*=\s*[\"']?([0-9]+)", 1).try_cast("bigint"), F.lit(0))
-
-    def link_cand(m: Column, i: Column) -> Column:
-        start = F.regexp_extract(m, r"^(<[^>]*>)", 1)
-        inner = F.regexp_extract(m, r"(?i)(<img\b[^>]*>)", 1)
-        return _cand(1, i, F.lit("link"), T.attribute(start, "href"), size(inner, "width").cast("string"), none)
+    wanted = S.rlike("m", r"(?i)\b(?:property|name|itemprop|rel)\s*=\s*[\"']?(?:og:image|og:image:url|image|image_src)[\"'\s/>]")
+    declared = f"coalesce({T.attribute_sql('m', 'content')}, {T.attribute_sql('m', 'href')})"
 
-    def img_cand(m: Column, i: Column) -> Column:
-        wide, high = size(m, "width"), size(m, "height")
-        big = (wide >= fv.PAGE_IMAGE_MIN[0]) & (high >= fv.PAGE_IMAGE_MIN[1])
-        src = F.coalesce(T.attribute(m, "src"), T.attribute(m, "data-src"), T.attribute(m, "data-original"))
-        return _cand(2, i, F.lit("picture"), F.when(big, src), (wide * high).cast("string"), none)
+    def size(tag: str, name: str) -> str:
+        return f"coalesce(try_cast({S.extract(tag, ci(rf'{chr(92)}b{name}{chr(92)}s*={chr(92)}s*[{chr(34)}{chr(39)}]?([0-9]+)'))} AS bigint), 0)"
 
+    start, inner = S.extract("m", r"^(<[^>]*>)"), S.extract("m", ci(r"(<img\b[^>]*>)"))
+    source = "coalesce(" + ", ".join(T.attribute_sql("m", n) for n in ["src", "data-src", "data-original"]) + ")"
+    picture = f"if(z.w >= {fv.PAGE_IMAGE_MIN[0]} AND z.h >= {fv.PAGE_IMAGE_MIN[1]}, {source}, NULL)"
+    sized = f"named_struct('w', {size('m', 'width')}, 'h', {size('m', 'height')})"
     rows = _explode(pages, [
-        F.transform(all_matches(html, r"<(?:meta|link)\b[^>]*>"), meta_cand),
-        F.transform(all_matches(html, r"<a\b[^>]*>[\s\S]*?</a>"), link_cand),
-        F.transform(all_matches(html, r"<img\b[^>]*>"), img_cand),
+        _each(r"<(?:meta|link)\b[^>]*>", _cand(0, "i", "'declared'", f"if({wanted}, {declared}, NULL)")),
+        _each(r"<a\b[^>]*>[\s\S]*?</a>", _cand(1, "i", "'link'", T.attribute_sql(start, "href"), f"cast({size(inner, 'width')} AS string)")),
+        _each(r"<img\b[^>]*>", S.let(sized, "z", _cand(2, "i", "'picture'", picture, "cast(z.w * z.h AS string)"))),
     ])
     rows = U.resolve_urls(rows.withColumn("ref", html_decode(F.col("raw"))), "ref", "url", "href").where("href IS NOT NULL")
     u = F.col("href")
@@ -330,7 +283,7 @@ def resource_union(html_assets: DataFrame, rendered: DataFrame, network: DataFra
     rows = rows.where(F.col("force") | matches(F.col("href"), fv.CRAWL_ASSET_EXT))
     order = F.struct("src", "ord")
 
-    def first_known(name: str) -> Column:
+    def first_known(name: str):
         return F.coalesce(F.min_by(name, F.when(F.col(name) != "", order)), F.lit("")).alias(name)
 
     return rows.groupBy("page_id", U.asset_key(F.col("href")).alias("file_key")).agg(

@@ -17,16 +17,16 @@ BLOCK = 1_000_000
 def with_ordinal(df: DataFrame, keys: list[str], order: str, out: str, block: int = BLOCK) -> DataFrame:
     """Add ``out``: 1-based place of the row in its group by ``order``."""
     rows = df.withColumn("_block", F.floor(F.col(order) / block))
-    counts = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_ord_n"))
     # one row per (group, block): small even for the largest group
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    offsets = counts.select(*keys, "_block", F.coalesce(F.sum("_ord_n").over(earlier), F.lit(0)).alias("_ord_before"))
     joined = rows.join(offsets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                                      F.col("_block").alias("_b"), "_before"),
+                                      F.col("_block").alias("_b"), "_ord_before"),
                        (F.col("_block") == F.col("_b"))
                        & _all_equal(keys))
     inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order))
-    return joined.withColumn(out, (inside + F.col("_before")).cast("bigint")).select(*df.columns, out)
+    return joined.withColumn(out, (inside + F.col("_ord_before")).cast("bigint")).select(*df.columns, out)
 
 
 def _all_equal(keys: list[str]):

@@ -99,9 +99,13 @@ def slug(text: Column) -> Column:
 
 def shorten(cleaned: Column) -> Column:
     """Names over 64 characters keep their head plus a 4-digit hash."""
-    head = F.regexp_replace(F.substring(cleaned, 1, fv.TOPIC_NAME_LIMIT - 5), "_+$", "")
-    short = F.concat(head, F.lit("_"), F.substring(F.sha1(F.encode(cleaned, "UTF-8")), 1, 4))
-    return F.when(F.length(cleaned) > fv.TOPIC_NAME_LIMIT, short).otherwise(cleaned)
+
+    def short(name: Column) -> Column:
+        head = F.regexp_replace(F.substring(name, 1, fv.TOPIC_NAME_LIMIT - 5), "_+$", "")
+        cut = F.concat(head, F.lit("_"), F.substring(F.sha1(F.encode(name, "UTF-8")), 1, 4))
+        return F.when(F.length(name) > fv.TOPIC_NAME_LIMIT, cut).otherwise(name)
+
+    return bind(cleaned, short)
 
 
 def name_from_url(u: Column) -> Column:
@@ -117,12 +121,13 @@ def name_from_url(u: Column) -> Column:
 
     cat = bind(U.param_pairs(u), lambda ps: F.coalesce(exact(ps, "cat_id"), exact(ps, "cat"), exact(ps, "id")))
     last = plain(F.regexp_replace(U.last_segment(u), r"(?i)\.[a-z0-9]+$", ""))
-    raw = (
-        F.when(cat.isNotNull(), F.concat(label, F.lit("_cat_"), cat))
-        .when((last != "") & (F.length(last) <= 40), F.concat(label, F.lit("_"), last))
-        .otherwise(F.concat(label, F.lit("_page")))
+    tail = bind(
+        F.struct(cat.alias("cat"), last.alias("last")),
+        lambda x: F.when(x["cat"].isNotNull(), F.concat(F.lit("_cat_"), x["cat"]))
+        .when((x["last"] != "") & (F.length(x["last"]) <= 40), F.concat(F.lit("_"), x["last"]))
+        .otherwise(F.lit("_page")),
     )
-    return shorten(slug(F.substring(raw, 1, 56)))
+    return shorten(slug(F.substring(F.concat(label, tail), 1, 56)))
 
 
 def topic_names(topics: DataFrame) -> DataFrame:

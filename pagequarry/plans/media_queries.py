@@ -34,7 +34,7 @@ def media_candidates(t: Tables):
 
 
 @plan(f"""WITH {_MEDIA} SELECT page_id, href, kind, CASE WHEN kind = 'document' THEN 'a-href+href+javascript-string'
-   WHEN kind = 'video' THEN discovered_via || '+src' ELSE discovered_via || CASE WHEN kind = 'video_embed' THEN '' ELSE '' END END AS discovered_via,
+   ELSE discovered_via END AS discovered_via,
    CASE WHEN kind = 'document' AND contains(href, '/files/') THEN 'download' WHEN kind = 'document' THEN 'attachment' ELSE NULL END AS link_text FROM m WHERE kind <> 'image'""")
 def attachments(t: Tables):
     """Attachment candidates per page."""

@@ -21,7 +21,7 @@ c = F.col
 # pages of vendor-built sites: scripts of one vendor, mail of another, menus
 MENU = """
 SELECT p_partkey AS page_id, concat('http://www.town', CAST(p_size % 20 AS VARCHAR(20)), '.example.org/index.php') AS url,
-  concat('<html><body><a href="/news.php?cat_id=', CAST(p_size % 9 AS VARCHAR(20)), '"><img src="m.gif" alt="', p_name, ' menu"></a>',
+  concat('<html><body><li><a href="/news.php?cat_id=', CAST(p_size % 9 AS VARCHAR(20)), '"><img src="m.gif" alt="', p_name, ' menu"></a></li>',
     '<script>menu.add("p1i0",[0,"', p_type, ' topic","","",-1,"/news.php?cat_id=', CAST(p_partkey % 9 AS VARCHAR(20)), '"],1)</script>',
     CASE p_size % 5 WHEN 0 THEN '<a href="/datacenter/procedure.php">procurement</a><a href="/album/index.php">album</a><p>CJ  World Communication</p>'
       WHEN 1 THEN '<a href="/albums/index.php">photo gallery</a><p>pasworld</p>'

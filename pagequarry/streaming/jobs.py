@@ -23,7 +23,9 @@ from pagequarry.sources import sinks
 def table_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
     """A stored table as a stream of its files, schema taken from the table."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    # as a pattern the path may be one file or a folder of files
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
 
 
 def _run(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
