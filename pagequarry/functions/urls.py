@@ -1,6 +1,6 @@
 """URL columns: resolution against a base, parts, canonical forms, parameters.
 
-``resolve_urls`` produces serialised URLs; every other builder here expects
+``resolve`` produces serialised URLs; every other builder here expects
 such a serialised URL (lower-case scheme and host, non-empty path, percent
 encoding applied), so a single simple pattern per part is enough.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagequarry import fixed_values as fv
 from pagequarry.functions import sqltext as S
-from pagequarry.functions.text import bind, ci, html_decode
+from pagequarry.functions.text import bind, ci, decode_sql
 
 # --- parts of a serialised URL ----------------------------------------------
 def scheme(u: Column) -> Column:
@@ -122,33 +122,50 @@ def _dots_sql(x: str) -> str:
     return S.let(x, "t", f"if({dotted}, concat(array_join({kept}, '/'), {rest}), t)")
 
 
-def _resolve_sql(keep_other_schemes: bool) -> str:
-    """SQL text over ``v``: the joined base and reference."""
-    joined = "v"
+def resolve_sql(ref: str, base: str, keep_other_schemes: bool = False) -> str:
+    """SQL text of ``resolve``.
+
+    The common shapes (absolute, root-relative, query-only) are told apart by
+    their first characters; only the rest goes through the pattern rules.
+    """
+    rules = f"concat({base}, {S.quote(_SEP)}, r)"
     for pattern, replacement in _JOIN_RULES:
-        joined = S.replace(joined, pattern, replacement)
-    joined = S.replace(joined, r"\G([^?#\\]*)\\", "$1/")
-    joined = S.replace(joined, r"(?i)^(https?://[^/?#]+)(?=[?#]|$)", "$1/")
+        rules = S.replace(rules, pattern, replacement)
+    with_path = S.replace("r", r"^(https?://[^/?#]+)(?=[?#]|$)", "$1/")
+    joined = (
+        f"CASE WHEN {S.rlike('r', '^https?://[^/]')} THEN {with_path} "
+        f"WHEN startswith(r, '/') AND {S.rlike('r', '^/[^/' + chr(92) * 2 + ']')} THEN concat({S.extract(base, '^(https?://[^/?#]*)')}, r) "
+        f"WHEN startswith(r, '?') AND {S.rlike(base, '^https?://[^/?#]+/')} THEN concat({S.extract(base, '^([^?#]*)')}, r) "
+        f"ELSE {S.replace(rules, '(?i)^(https?://[^/?#]+)(?=[?#]|$)', '$1/')} END"
+    )
+    slashes = S.replace("j", r"\G([^?#\\]*)\\", "$1/")
+    joined = S.let(joined, "j", f"if(instr(j, {S.quote(chr(92))}) > 0, {slashes}, j)")
     head = f"lower({S.extract('u', '(?i)^(https?://[^/?#]*)')})"
-    head = S.replace(head, r"^(http://[^/]*?):(?:80)?$|^(https://[^/]*?):(?:443)?$", "$1$2")
-    tail = S.extract("u", r"(?i)^https?://[^/?#]*([\s\S]*)$")
-    web = S.let(head, "h", f"if({S.rlike('h', _VALID_ORIGIN)}, concat(h, {_encode_sql(_dots_sql(tail))}), NULL)")
+    ports = S.replace("h", r"^(http://[^/]*?):(?:80)?$|^(https://[^/]*?):(?:443)?$", "$1$2")
+    tail = "substring(u, length(h) + 1)"
+    valid = S.let(
+        f"if(instr(substring(h, 8), ':') > 0, {ports}, h)", "o",
+        f"if({S.rlike('o', _VALID_ORIGIN)}, concat(o, {_encode_sql(_dots_sql(tail))}), NULL)",
+    )
+    web = S.let(head, "h", valid)
     other = (
         f"WHEN {S.rlike('u', '(?i)^[a-z][a-z0-9+.-]*:[^' + _SEP + ']*$')} THEN "
         f"concat(lower({S.extract('u', '^([^:]*)')}), {S.extract('u', '^[^:]*([' + chr(92) + 's' + chr(92) + 'S]*)$')})"
     )
-    return S.let(
+    serialised = S.let(
         joined, "u",
         f"CASE WHEN {S.rlike('u', '(?i)^https?://')} THEN {web} WHEN {S.rlike('u', '(?i)^https?:')} THEN NULL {other if keep_other_schemes else ''} END",
     )
+    trimmed = S.replace("r0", r"[\t\r\n\x1f]|^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return S.let(S.let(ref, "r0", f"if({S.rlike('r0', '[' + chr(92) + 'x00-' + chr(92) + 'x20]')}, {trimmed}, r0)"), "r", serialised)
 
 
-def clean_reference(raw: Column, unescape_slashes: bool = False) -> Column:
-    """Attribute text to a reference: decode, drop one quote at either end."""
-    ref = F.regexp_replace(html_decode(F.trim(raw)), "^['\"]|['\"]$", "")
+def reference_sql(raw: str, unescape_slashes: bool = False) -> str:
+    """SQL text: attribute text to a reference, one quote dropped at either end."""
+    ref = S.replace(decode_sql(f"trim({raw})"), "^['\"]|['\"]$", "")
     if unescape_slashes:
-        ref = F.replace(ref, F.lit("\\/"), F.lit("/"))
-    return F.regexp_replace(ref, "(?i)&amp;", "&")
+        ref = f"replace({ref}, {S.quote(chr(92) + '/')}, '/')"
+    return S.replace(ref, "(?i)&amp;", "&")
 
 
 def resolve(ref: Column, base: Column, keep_other_schemes: bool = False) -> Column:
@@ -156,18 +173,20 @@ def resolve(ref: Column, base: Column, keep_other_schemes: bool = False) -> Colu
 
     NULL when it is not a URL, or not http(s) unless ``keep_other_schemes``.
     """
-    trimmed = F.regexp_replace(ref, r"[\t\r\n\x1f]|^[\x00-\x20]+|[\x00-\x20]+$", "")
-    return S.apply(_resolve_sql(keep_other_schemes), F.concat(base, F.lit(_SEP), trimmed))
+    body = resolve_sql("v.ref", "v.base", keep_other_schemes)
+    return S.apply(body, F.struct(ref.alias("ref"), base.alias("base")))
+
 
+def resolved(df: DataFrame, ref: str, base: str, out: str, keep_other_schemes: bool = False) -> DataFrame:
+    """Add ``out``, the URL of SQL text ``ref``; rows without one are dropped.
 
-def resolve_urls(
-    df: DataFrame, ref: str, base: str, out: str, keep_other_schemes: bool = False
-) -> DataFrame:
-    """Add ``out``: the serialised URL of column ``ref`` relative to ``base``."""
-    return df.withColumn(out, resolve(F.col(ref), F.col(base), keep_other_schemes))
+    The value comes out of a generator, which no filter is pushed through, so
+    it is computed once per row.
+    """
+    value = resolve_sql(ref, base, keep_other_schemes)
+    return df.selectExpr("*", f"explode(filter(array({value}), h -> h IS NOT NULL)) AS {out}")
 
 
-# --- parameters -------------------------------------------------------------------
 _QUERY = r"^[^?#]*\?([^#]*)"
 
 

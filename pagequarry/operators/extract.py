@@ -16,7 +16,7 @@ from pagequarry import fixed_values as fv
 from pagequarry.functions import sqltext as S
 from pagequarry.functions import tags as T
 from pagequarry.functions import urls as U
-from pagequarry.functions.text import all_matches, ci, clean_text, decode_sql, html_decode, letters, squeeze
+from pagequarry.functions.text import all_matches, ci, clean_sql, clean_text, decode_sql, html_decode, letters, squeeze
 
 ANCHOR = r"<a\b[^>]*href\s*=\s*(?:\"([^\"]+)\"|'([^']+)'|([^\s>]+))[^>]*>([\s\S]*?)</a>"
 
@@ -35,50 +35,43 @@ def tagged(values: Column, via: str, name: str) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(via).alias("via"), v.alias(name)))
 
 
-def href_rows(pages: DataFrame) -> DataFrame:
-    """Resolved href values per page, repeats inside the page mostly gone."""
-    raw = explode_matches(pages, F.array_distinct(T.assignments(F.col("html"), ["href"], boundary=False)))
-    raw = raw.select("page_id", "url", html_decode(T.unquote(F.col("m"))).alias("ref"))
-    links = U.resolve_urls(raw, "ref", "url", "href", keep_other_schemes=True)
-    return links.where("href IS NOT NULL").select("page_id", "url", "href")
+def _matches_sql(pattern: str) -> str:
+    return f"regexp_extract_all(html, {S.quote(ci(pattern))}, 0)"
+
+
+def references(pages: DataFrame, names: list[str], keep_other_schemes: bool = True, distinct: bool = True, boundary: bool = False,
+               decode: bool = True) -> DataFrame:
+    """Resolved values of the listed attributes, one row each.
+
+    Resolution and the per-page distinct both happen inside the page row, so
+    no shuffle is needed (a page is one row).
+    """
+    found = _matches_sql((r"\b" if boundary else "") + f"(?:{'|'.join(names)}){T.VALUE}")
+    ref = decode_sql(T.unquote_sql("m")) if decode else T.unquote_sql("m")
+    value = U.resolve_sql(ref, "url", keep_other_schemes)
+    links = f"filter(transform({f'array_distinct({found})' if distinct else found}, m -> {value}), h -> h IS NOT NULL)"
+    return pages.selectExpr("page_id", "url", f"explode({f'array_distinct({links})' if distinct else links}) AS href")
 
 
 def page_hrefs(pages: DataFrame) -> DataFrame:
     """Distinct resolved href values per page."""
-    return href_rows(pages).distinct()
+    return references(pages, ["href"])
 
 
 def page_anchors(pages: DataFrame) -> DataFrame:
     """Closed anchors with their text, duplicates kept, in page order."""
-    m = F.col("m")
-    raw = explode_matches(pages, all_matches(F.col("html"), ANCHOR)).select(
-        "page_id", "url", "pos",
-        html_decode(
-            F.coalesce(*[F.nullif(F.regexp_extract(m, ci(ANCHOR), g), F.lit("")) for g in (1, 2, 3)])
-        ).alias("ref"),
-        clean_text(F.regexp_extract(m, ci(ANCHOR), 4)).alias("text"),
-    )
-    links = U.resolve_urls(raw, "ref", "url", "href", keep_other_schemes=True)
-    return links.where("href IS NOT NULL").select("page_id", "url", "pos", "href", "text")
+    g = [S.extract("m", ci(ANCHOR), k) for k in (1, 2, 3, 4)]
+    href = U.resolve_sql(decode_sql(f"concat({g[0]}, {g[1]}, {g[2]})"), "url", True)
+    item = f"named_struct('pos', i, 'href', {href}, 'text', {clean_sql(g[3])})"
+    every = f"filter(transform({_matches_sql(ANCHOR)}, (m, i) -> {item}), a -> a.href IS NOT NULL)"
+    return pages.selectExpr("page_id", "url", f"explode({every}) AS a").select("page_id", "url", "a.*")
 
 
 def page_sources(pages: DataFrame) -> DataFrame:
     """Distinct resolved src and object data URLs per page and channel."""
-    html = F.col("html")
-    channels = [
-        ("src", T.assignments(html, ["src"], boundary=False)),
-        ("object-data", T.assignments(html, ["data"])),
-    ]
-    found = F.flatten(
-        F.array(*[
-            tagged(F.array_distinct(m), via, "m") for via, m in channels
-        ])
-    )
-    raw = pages.select("page_id", "url", F.explode(found).alias("x")).select(
-        "page_id", "url", "x.via", html_decode(T.unquote(F.col("x.m"))).alias("ref")
-    )
-    links = U.resolve_urls(raw, "ref", "url", "href", keep_other_schemes=True)
-    return links.where("href IS NOT NULL").select("page_id", "via", "href").distinct()
+    src = references(pages, ["src"]).select("page_id", F.lit("src").alias("via"), "href")
+    data = references(pages, ["data"], boundary=True).select("page_id", F.lit("object-data").alias("via"), "href")
+    return src.unionByName(data)
 
 
 def script_matches(source: Column) -> Column:
@@ -92,10 +85,8 @@ def script_matches(source: Column) -> Column:
 
 def resolve_links(rows: DataFrame) -> DataFrame:
     """Resolve ``raw`` against ``url``, keep http links, add their page key."""
-    refs = rows.withColumn("_cleaned", U.clean_reference(F.col("raw")))
-    refs = refs.where(~F.col("_cleaned").rlike(r"(?i)^(?:javascript:|mailto:|tel:|#)") & (F.col("_cleaned") != ""))
-    links = U.resolve_urls(refs, "_cleaned", "url", "href").drop("_cleaned").where("href IS NOT NULL")
-    return links.withColumn("canon", U.canonical(F.col("href")))
+    ref = S.let(U.reference_sql("raw"), "c", f"if(c = '' OR {S.rlike('c', '(?i)^(?:javascript:|mailto:|tel:|#)')}, NULL, c)")
+    return U.resolved(rows, ref, "url", "href").withColumn("canon", U.canonical(F.col("href")))
 
 
 def script_urls(pages: DataFrame) -> DataFrame:
@@ -107,12 +98,11 @@ def script_urls(pages: DataFrame) -> DataFrame:
 
 def fingerprint_urls(pages: DataFrame) -> DataFrame:
     """Distinct URLs a page mentions, its own address included."""
-    raw = explode_matches(
-        pages, F.array_distinct(T.assignments(F.col("html"), ["href", "src", "data-src", "data-url", "action"]))
-    ).select("page_id", "url", T.unquote(F.col("m")).alias("ref"))
-    found = U.resolve_urls(raw, "ref", "url", "href", keep_other_schemes=True)
+    found = references(pages, ["href", "src", "data-src", "data-url", "action"], boundary=True, decode=False)
     own = pages.select("page_id", F.col("url").alias("href"))
-    return found.select("page_id", "href").unionByName(own).where("href IS NOT NULL").distinct()
+    # a page may link to itself; everything else is distinct already
+    foreign = found.where(F.col("href") != F.col("url")).select("page_id", "href")
+    return foreign.unionByName(own.where("href IS NOT NULL"))
 
 
 def css_urls(sheets: DataFrame) -> DataFrame:
@@ -128,8 +118,8 @@ def css_urls(sheets: DataFrame) -> DataFrame:
         ])
     )
     rows = sheets.select("page_id", "url", F.explode(found).alias("x")).select("page_id", "url", "x.via", "x.raw")
-    links = U.resolve_urls(rows.withColumn("raw", F.trim("raw")), "raw", "url", "href")
-    return links.where("href IS NOT NULL").select("page_id", "via", U.crawl_canonical(F.col("href")).alias("href"))
+    links = U.resolved(rows, "trim(raw)", "url", "href")
+    return links.select("page_id", "via", U.crawl_canonical(F.col("href")).alias("href"))
 
 
 # --- navigation links ---------------------------------------------------------------
@@ -287,7 +277,7 @@ def _form_mentions(pages: DataFrame) -> DataFrame:
     method = F.lower(F.coalesce(T.attribute(c("attrs"), "method"), F.lit("get")))
     action = F.coalesce(F.nullif(T.attribute(c("attrs"), "action"), F.lit("")), c("url"))
     rows = rows.where(method == "get").withColumn("action", F.regexp_replace(action, "^(?:\"\"|'')$", ""))
-    rows = U.resolve_urls(rows, "action", "url", "target").where("target IS NOT NULL")
+    rows = U.resolved(rows, "action", "url", "target")
     # a later input of the same name replaces the value, at its first place
     inputs = F.filter(
         F.transform(

@@ -16,7 +16,7 @@ from pagequarry.functions import media as M
 from pagequarry.functions import sqltext as S
 from pagequarry.functions import tags as T
 from pagequarry.functions import urls as U
-from pagequarry.functions.text import bind, ci, clean_sql, clean_text, html_decode, matches
+from pagequarry.functions.text import bind, ci, clean_sql, clean_text, decode_sql, matches
 from pagequarry.operators.extract import ANCHOR
 from pagequarry.operators.ordinals import with_ordinal
 
@@ -101,12 +101,15 @@ def _explode(pages: DataFrame, channels: list[str]) -> DataFrame:
 _NO_LINK = r"(?i)^(?:javascript:|mailto:|tel:|#|data:|blob:)"
 
 
+def _usable(refused: str) -> str:
+    """SQL text: the cleaned reference of ``raw``, NULL for refused schemes."""
+    return S.let(U.reference_sql("raw", unescape_slashes=True), "c", f"if(c = '' OR {S.rlike('c', refused)}, NULL, c)")
+
+
 def _media_rows(pages: DataFrame) -> DataFrame:
     """Resolved, classified media mentions; links and noise dropped."""
     rows = _explode(pages, media_channels())
-    rows = rows.withColumn("ref", U.clean_reference(F.col("raw"), unescape_slashes=True))
-    rows = rows.where((F.col("ref") != "") & ~F.col("ref").rlike(_NO_LINK))
-    rows = U.resolve_urls(rows, "ref", "url", "href").where("href IS NOT NULL").drop("ref", "raw")
+    rows = U.resolved(rows, _usable(_NO_LINK), "url", "href").drop("raw")
     u = F.col("href")
     rows = rows.where(~M.is_media_noise(u, F.col("context"))).withColumn("provider", M.provider(u))
     rows = rows.withColumn("kind", M.media_kind(u, F.concat_ws(" ", "via", "context"), F.col("provider")))
@@ -145,7 +148,7 @@ def attachments(pages: DataFrame) -> DataFrame:
         anchors, _attributes(1, ["src"], "src", context=False, boundary=False), _attributes(2, ["data"], "object-data"),
         _attributes(3, fv.ATTACHMENT_DATA_ATTRS), _pattern(4, "javascript-string", fv.ATTACHMENT_QUOTED),
     ])
-    rows = U.resolve_urls(rows.withColumn("ref", html_decode(F.col("raw"))), "ref", "url", "href").where("href IS NOT NULL")
+    rows = U.resolved(rows, decode_sql("raw"), "url", "href")
     u = F.col("href")
     kind = F.when(M.is_content_image(u), "image").when(M.is_document(u), "document")
     plain = rows.select(
@@ -178,7 +181,7 @@ def page_assets(pages: DataFrame) -> DataFrame:
         _pattern(13, "inline-css-url", r"url\(\s*[\"']?([^\"')]+)[\"']?\s*\)"),
         _pattern(14, "javascript-string", fv.ASSET_QUOTED),
     ])
-    rows = U.resolve_urls(rows.withColumn("ref", F.trim("raw")), "ref", "url", "href").where("href IS NOT NULL")
+    rows = U.resolved(rows, "trim(raw)", "url", "href")
     rows = rows.select(
         "page_id", "rank", "at", "via", U.crawl_canonical(F.col("href")).alias("href"),
         (F.col("via") == "download-anchor").alias("force"), F.col("text").alias("link_text"),
@@ -206,9 +209,7 @@ def gallery_images(pages: DataFrame) -> DataFrame:
         _pattern(2, "json", r"[\"'](?:src|image|photo|full|original|large|url)[\"']\s*:\s*[\"']([^\"']+)[\"']"),
         _pattern(3, "script", r"[\"']([^\"']+\.(?:jpe?g|png|gif|webp|bmp)(?:\?[^\"']*)?)[\"']"),
     ])
-    rows = rows.withColumn("ref", U.clean_reference(F.col("raw"), unescape_slashes=True))
-    rows = rows.where((F.col("ref") != "") & ~F.col("ref").rlike(r"(?i)^(?:javascript:|mailto:|tel:|#|data:)"))
-    rows = U.resolve_urls(rows, "ref", "url", "href").where("href IS NOT NULL")
+    rows = U.resolved(rows, _usable(r"(?i)^(?:javascript:|mailto:|tel:|#|data:)"), "url", "href")
     u, context, via = F.col("href"), F.col("context"), F.col("via")
     rows = rows.withColumn("p", F.lower(U.path(u)))
     evidence = matches(F.col("p"), fv.GALLERY_PATH) | matches(context, fv.GALLERY_CONTEXT) | matches(F.col("p"), fv.GALLERY_FILE_LIKE)
@@ -243,7 +244,7 @@ def page_images(pages: DataFrame) -> DataFrame:
         _each(r"<a\b[^>]*>[\s\S]*?</a>", _cand(1, "i", "'link'", T.attribute_sql(start, "href"), f"cast({size(inner, 'width')} AS string)")),
         _each(r"<img\b[^>]*>", S.let(sized, "z", _cand(2, "i", "'picture'", picture, "cast(z.w * z.h AS string)"))),
     ])
-    rows = U.resolve_urls(rows.withColumn("ref", html_decode(F.col("raw"))), "ref", "url", "href").where("href IS NOT NULL")
+    rows = U.resolved(rows, decode_sql("raw"), "url", "href")
     u = F.col("href")
     rows = rows.where(u.rlike(r"(?i)\.(?:jpe?g|png|gif|webp|bmp)(?:[?#]|$)") & ~matches(u, fv.PAGE_IMAGE_NOISE))
     rows = rows.where(~((F.col("rank") == 1) & matches(u, fv.PAGE_IMAGE_THUMB)))

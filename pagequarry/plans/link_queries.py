@@ -63,7 +63,7 @@ SELECT href, coalesce(known, tok) AS record_id, CASE WHEN known IS NOT NULL THEN
        coalesce(album_known, album_tok) AS album_id FROM f""")
 def record_identity(t: Tables):
     """Record and album identity of every distinct link."""
-    rows = X.href_rows(t.all_pages).select("href").distinct().withColumn("params", U.first_params(c("href")))
+    rows = X.page_hrefs(t.all_pages).select("href").distinct().withColumn("params", U.first_params(c("href")))
     source = U.record_id_source(c("href"), c("params"))
     return rows.select(
         "href", U.record_id(c("href"), c("params")).alias("record_id"),
@@ -84,9 +84,7 @@ def page_numbers(t: Tables):
 
 
 def _references(t: Tables):
-    refs = P.raw_references(t.all_pages, ["href", "src"])
-    links = U.resolve_urls(refs, "ref", "url", "href").where("href IS NOT NULL")
-    return links.select("page_id", "url", "href")
+    return X.references(t.all_pages, ["href", "src"], keep_other_schemes=False, distinct=False)
 
 
 _REFS = f"""{D.ALL_PAGES}, refs AS (SELECT page_id, url, {D.resolve(D.decode(D.unquote('m')), 'url')} AS href FROM (

@@ -34,7 +34,7 @@ _MENU = f"menu_pages AS ({MENU})"
 
 
 def menu_view(t: Tables):
-    return t.view(MENU, "part")
+    return t.built_pages(MENU)
 
 
 def _rule_sql() -> str:

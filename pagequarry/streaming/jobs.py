@@ -16,7 +16,7 @@ from pagequarry import fixed_values as fv
 from pagequarry.functions import urls as U
 from pagequarry.operators import audit as A
 from pagequarry.operators import file_index as X
-from pagequarry.operators.extract import href_rows
+from pagequarry.operators.extract import page_hrefs
 from pagequarry.sources import sinks
 
 
@@ -106,7 +106,7 @@ def first_per_key_stream(audit: DataFrame, folder: str, delay: str = "30 days")
 def page_links_stream(pages: DataFrame, folder: str) -> StreamingQuery:
     """New captured pages to their links; stateless, exactly-once file sink."""
     query = (
-        href_rows(pages).writeStream.outputMode("append").format("parquet")
+        page_hrefs(pages).writeStream.outputMode("append").format("parquet")
         .option("checkpointLocation", f"{folder}/_offsets").option("path", f"{folder}/links")
         .trigger(availableNow=True).start()
     )
