@@ -22,7 +22,7 @@ _EDGES = f"edges AS ({V.EDGES})"
 _REACH = f"""{_EDGES}, roots AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS host, min(page_id) AS node FROM pages GROUP BY 1),
 walk(host, node, depth, parent) AS (SELECT host, node, 0, CAST(NULL AS BIGINT) FROM roots UNION ALL
   SELECT e.host, e.dst, w.depth + 1, w.node FROM walk w JOIN edges e ON e.host = w.host AND e.src = w.node WHERE w.depth < 12),
-reached AS (SELECT host, node, min(depth) AS depth, arg_min(parent, depth * 1000000000 + coalesce(parent, 0)) AS discovered_from FROM walk GROUP BY host, node)"""
+reached AS (SELECT host, node, min(depth) AS depth, arg_min(parent, CAST(depth AS BIGINT) * 1000000000 + coalesce(parent, 0)) AS discovered_from FROM walk GROUP BY host, node)"""
 
 
 def _reached(t: Tables):
