@@ -3,8 +3,10 @@
 Building an expression node by node costs a JVM call per node.  The builders
 that occur everywhere (entity decoding, tag stripping, URL resolution, page
 keys) are written as SQL text over one variable ``v`` instead, parsed once,
-and applied with ``transform(array(value), v -> ...)[0]``.  That also makes the
-value computed once, however often the text mentions ``v``.
+and applied with ``array_max(transform(array(value), v -> ...))``.  That also makes
+the value computed once, however often the text mentions ``v``.  ``array_max`` of
+the one result is used rather than an index because it resolves its type once,
+not by walking the whole nested expression for every row.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ def extract(value: str, pattern: str, group: int = 1) -> str:
 
 def let(value: str, name: str, body: str) -> str:
     """SQL text of ``body`` with ``name`` bound to ``value``."""
-    return f"transform(array({value}), {name} -> {body})[0]"
+    return f"array_max(transform(array({value}), {name} -> {body}))"
 
 
 def strings(values: list[str]) -> str:
@@ -52,7 +54,7 @@ def lambda_text(text: str) -> Column:
 
 def apply(body: str, value: Column) -> Column:
     """``body``, SQL text over ``v``, for this value."""
-    return F.get(F.call_function("transform", F.array(value), lambda_text(f"v -> {body}")), F.lit(0))
+    return F.array_max(F.call_function("transform", F.array(value), lambda_text(f"v -> {body}")))
 
 
 def apply_all(body: str, values: Column) -> Column:

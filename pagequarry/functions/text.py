@@ -21,7 +21,7 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     Nested builders that mention their input several times would otherwise
     grow exponentially once the optimizer inlines or pushes them down.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.array_max(F.transform(F.array(value), body))
 
 
 def ci(pattern: str) -> str:

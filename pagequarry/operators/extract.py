@@ -74,12 +74,20 @@ def page_sources(pages: DataFrame) -> DataFrame:
     return src.unionByName(data)
 
 
+_SCRIPT_NEEDS = {4: r"\.php\?[^'\"]", 5: r"[?&](?:news_?id|id|nid|detail_?id|item_?id)="}
+
+
 def script_matches(source: Column) -> Column:
     """array<struct<family, at, raw>> of URLs named in script text."""
-    families = ", ".join(
-        f"transform(regexp_extract_all(t, {S.quote(ci(p))}, 1), (m, i) -> named_struct('family', {n}, 'at', i, 'raw', m))"
-        for n, p in enumerate(fv.SCRIPT_URLS)
-    )
+
+    def family(n: int, pattern: str) -> str:
+        found = f"regexp_extract_all(t, {S.quote(ci(pattern))}, 1)"
+        if n in _SCRIPT_NEEDS:
+            # the long quoted-text patterns only run where they can succeed
+            found = f"if({S.rlike('t', ci(_SCRIPT_NEEDS[n]))}, {found}, cast(array() AS array<string>))"
+        return f"transform({found}, (m, i) -> named_struct('family', {n}, 'at', i, 'raw', m))"
+
+    families = ", ".join(family(n, p) for n, p in enumerate(fv.SCRIPT_URLS))
     return S.apply(S.let(decode_sql("v"), "t", f"flatten(array({families}))"), source)
 
 
@@ -157,7 +165,7 @@ def _context(at: str, end: str) -> str:
     return f"coalesce({', '.join(enclosing)}, concat({before}, {T.span('tags', at, end)}, {after}))"
 
 
-def _anchor_rows(marked: DataFrame) -> DataFrame:
+def _anchor_rows(marked: DataFrame, with_context: bool) -> DataFrame:
     """One row per <a> start tag with its three texts and its context."""
     inside = "^<[^>]*>"
     close, previous = T.first_after("a_close", "i"), f"coalesce({T.last_before('a_close', 'i')}, -1)"
@@ -167,12 +175,17 @@ def _anchor_rows(marked: DataFrame) -> DataFrame:
     )
     closed = "(k.close IS NOT NULL AND k.opens)"
     rest = S.replace(T.span("tags", "i", "coalesce(k.stop, size(tags))"), inside, "")
+    context = S.let(f"if({closed}, k.close, i)", "e", _context("i", "e"))
+    if not with_context:
+        # anchors without own text still borrow the text around them
+        bare = S.replace(rest, r"(?i)<[^>]*>|&nbsp;|\s", "")
+        context = f"if({bare} = '', {context}, '')"
     row = (
         f"named_struct('pos', i, 'tag', tags[i], "
         f"'closed', if({closed}, {S.replace(T.span('tags', 'i', 'k.close'), inside, '')}, NULL), "
         f"'loose', if(k.stop IS NOT NULL, {rest}, substring({rest}, 1, 1000)), "
         f"'row', if(k.row_start < i AND k.row_stop IS NOT NULL, {T.span('tags', 'k.row_start', 'k.row_stop')}, NULL), "
-        f"'context', {S.let(f'if({closed}, k.close, i)', 'e', _context('i', 'e'))})"
+        f"'context', {context})"
     )
     rows = marked.selectExpr("page_id", "url", f"explode(transform(a_open, i -> {S.let(facts, 'k', row)})) AS a").select(
         "page_id", "url", "a.*"
@@ -218,12 +231,12 @@ def _mention(rank: int, via: Column, text: Column) -> Column:
     return F.array(F.struct(F.lit(rank).alias("rank"), via.alias("via"), text.alias("text")))
 
 
-def _tag_mentions(marked: DataFrame) -> DataFrame:
+def _tag_mentions(marked: DataFrame, with_context: bool) -> DataFrame:
     """data-* attributes, onclick handlers and meta refresh, per tag."""
     c = F.col
     wanted = r"(?i)^[^>]+\b(?:onclick|data-href|data-url|data-link|data-target|data-detail-url|http-equiv)\s*="
     found = f"filter(transform(tags, (t, i) -> named_struct('pos', i, 'tag', t)), x -> {S.rlike('x.tag', wanted)})"
-    each = f"transform({found}, x -> named_struct('pos', x.pos, 'tag', x.tag, 'context', {_context('x.pos', 'x.pos')}))"
+    each = f"transform({found}, x -> named_struct('pos', x.pos, 'tag', x.tag, 'context', {_context('x.pos', 'x.pos') if with_context else chr(39) * 2}))"
     tags = marked.selectExpr("page_id", "url", f"explode({each}) AS x").select("page_id", "url", "x.*")
     tags = tags.withColumn("tag", F.concat(F.lit("<"), F.regexp_extract("tag", r"^([^>]*>)", 1)))
     data = rf"\b({'|'.join(fv.NAV_DATA_ATTRS)}){T.VALUE}"
@@ -315,7 +328,7 @@ def navigation_links(pages: DataFrame, with_context: bool = True) -> DataFrame:
     c = F.col
     marked = _tag_marks(pages)
     mentions = union_all([
-        _anchor_mentions(_anchor_rows(marked)), _tag_mentions(marked), _script_mentions(pages), _form_mentions(pages),
+        _anchor_mentions(_anchor_rows(marked, with_context)), _tag_mentions(marked, with_context), _script_mentions(pages), _form_mentions(pages),
     ])
     if not with_context:
         mentions = mentions.withColumn("context", F.lit("")).withColumn("context_text", F.lit(""))
