@@ -178,6 +178,7 @@ def file_signatures(t: Tables):
 @plan()
 def decoded_bodies(t: Tables):
     """Page bodies decoded with the charset they name, Thai ones included."""
+    t.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     name = F.element_at(F.array(*[F.lit(x) for x in ["utf-8", "tis-620", "iso-8859-1"]]), (c("page_id") % 3 + 1).cast("int"))
     # the three charsets agree on ASCII, so the page text is compared there
     body = F.encode(F.regexp_replace("html", r"[^\x00-\x7f]", "?"), "UTF-8")
