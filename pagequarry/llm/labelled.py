@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,12 +21,26 @@ def labelled_sample(
 
     Null ids and null labels are left out; of several labels of a document the
     largest counts.  The chosen ids are the only broadcast, bounded by ``max_rows``.
+    Copies would count a text's words many times: of documents whose smallest
+    shingle is the same, the one with the smallest id is used.
     """
     kept = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.lit(True) if where is None else where))
     one = kept.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return written(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    found = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_with_smallest, f"doc_id {kind}, text string, label int, near long")
+    one_each = found.groupBy("near").agg(F.min(F.struct("doc_id", "label", "text")).alias("r")).select("r.*")
+    return written(one_each.dropDuplicates(["doc_id"]), "labelled")
+
+
+def _with_smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pagequarry.llm.jaccard_join import shingle_sets
+    from pagequarry.llm.tokens import sliced
+
+    for batch in sliced(batches, "text", 2 << 20):
+        near = pa.array([int(s[0].view(np.int64)) if len(s) else 0 for s in shingle_sets(batch.column("text"))], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text", "label")), near], names=["doc_id", "text", "label", "near"])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -122,7 +122,7 @@ def _term_counts(sample: DataFrame) -> pd.DataFrame:
     total = partial.groupBy("term").agg(*[F.sum(c).alias(c) for c in columns])
     pos = sum(F.col(c) for c in columns if c[0] == "p")
     neg = sum(F.col(c) for c in columns if c[0] == "n")
-    return total.where((pos >= 2) & (pos > neg)).orderBy((neg / pos), F.desc(pos), "term").limit(MAX_TERMS).toPandas()
+    return total.where((pos >= 3) & (pos > neg)).orderBy((neg / pos), F.desc(pos), "term").limit(MAX_TERMS).toPandas()
 
 
 def fit_chain(
@@ -137,8 +137,8 @@ def fit_chain(
     """
     ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, max_rows, where, id_col, text_col).withColumn("fold", _folded(F.col("doc_id")))
-    counts = _term_counts(sample)
     sizes = {(r["label"], r["fold"]): r["count"] for r in sample.groupBy("label", "fold").count().collect()}
+    counts = _term_counts(sample)
     p, n = counts[[f"p{f}" for f in range(FOLDS)]].to_numpy(), counts[[f"n{f}" for f in range(FOLDS)]].to_numpy()
 
     def table(leave: int | None) -> dict[str, float]:
