@@ -31,8 +31,10 @@ WORDS = 5
 PERCENT = 75
 #: Counters of the sketch that orders shingles.
 SKETCH = 1 << 16
-#: Rounds in which shingles compare their documents with one of them.
-STAR_ROUNDS = 3
+#: Orders in which shingles choose the document that the others are compared with.
+STAR_ORDERS = 3
+#: Blocks of hashes for the bound of a pair's overlap.
+BLOCKS = 256
 #: Bits of the filter that spares texts without a possible partner; false hits only cost time.
 FILTER_BITS = 1 << 23
 SLICE = 2 << 20
@@ -138,7 +140,9 @@ def _postings(nodes: DataFrame) -> DataFrame:
     # counted by 32 bits of the shingle: a collision only lets a row through
     short = F.shiftright("shingle", 32).cast("int")
     met = rows.select(short.alias("short")).groupBy("short").count().where("count > 1").select("short")
-    return written(rows.join(met, short == F.col("short"), "left_semi"), "postings")
+    some = written(rows.join(met, short == F.col("short"), "left_semi"), "some-postings")
+    exact = some.groupBy("shingle").count().where("count > 1").select("shingle")
+    return written(some.join(exact, "shingle", "left_semi"), "postings")
 
 
 def _possible(n_a: Column, n_b: Column) -> Column:
@@ -155,44 +159,71 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes, from their texts."""
+def _from_texts(rows: DataFrame, wanted: DataFrame, counted: bool) -> DataFrame:
+    """(node, shingles), or (node, blocks): the sets of the wanted nodes, or their sizes by block of hashes.
+
+    A filter of fixed size over the wanted ids lets few other texts through;
+    those find no partner later.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(_id_filter(wanted))
     hashed = rows.where("doc_id IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    name, kind = ("blocks", pa.int32()) if counted else ("shingles", pa.int64())
+
+    def values(s: np.ndarray) -> np.ndarray:
+        return np.bincount((s >> np.uint64(40)).astype(np.int64) % BLOCKS, minlength=BLOCKS).astype(np.int32) if counted else s.view(np.int64)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("at").to_numpy(zero_copy_only=False).astype(np.uint64)
             hit = (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
             for some in sliced(iter([batch.filter(pa.array(hit))]), "text", SLICE):
-                found = shingle_sets(some.column("text"))
-                yield pa.RecordBatch.from_pydict({
-                    "node": some.column("doc_id"),
-                    "shingles": pa.ListArray.from_arrays(
-                        pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).view(np.int64))
-                    ),
-                })
-
-    made = hashed.mapInArrow(sets, "node long, shingles array<long>")
-    return written(made.join(wanted, "node", "left_semi"), "sets")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
-    return joined.where(100 * F.col("both") >= PERCENT * (F.col("total") - F.col("both"))).select("a", "b")
-
-
-def _star_pairs(placed: DataFrame, turn: int) -> DataFrame:
-    """Each shingle's documents with one of them, chosen by a hash of the round."""
-    order = F.xxhash64("node", F.lit(turn)) if turn == 0 else F.xxhash64("node", "shingle", F.lit(turn))
-    leaders = placed.groupBy("shingle").agg(
-        F.min(F.struct(order.alias("o"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("comp").alias("lead_comp"))).alias("l")
+                found = [values(s) for s in shingle_sets(some.column("text"))]
+                ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), kind))], names=["node", name]
+                )
+
+    return written(hashed.mapInArrow(sets, f"node long, {name} array<{'int' if counted else 'bigint'}>"), name)
+
+
+def _ids_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _with_both(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    left = sets.select(F.col("node").alias("a"), F.col(name).alias("va"))
+    right = sets.select(F.col("node").alias("b"), F.col(name).alias("vb"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _enough(both: Column, total: Column) -> Column:
+    return 100 * both >= PERCENT * (total - both)
+
+
+def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets link.
+
+    First the product is bounded block by block: sets cannot share more of a
+    block of hashes than the smaller one has there.  Only pairs that the sum of
+    these bounds leaves are compared as sets.
+    """
+    size = lambda v: F.aggregate(v, F.lit(0), lambda t, x: t + x)
+    most = size(F.zip_with("va", "vb", lambda x, y: F.least(x, y)))
+    total = size(F.col("va")) + size(F.col("vb"))
+    left = _with_both(pairs, _from_texts(rows, _ids_of(pairs), True), "blocks").where(_enough(most, total))
+    left = written(left.select("a", "b").distinct(), "bounded")
+    both, total = F.size(F.array_intersect("va", "vb")), F.size("va") + F.size("vb")
+    return _with_both(left, _from_texts(rows, _ids_of(left), False), "shingles").where(_enough(both, total)).select("a", "b")
+
+
+def _star_pairs(postings: DataFrame) -> DataFrame:
+    """Each shingle's documents with one of them, chosen by the hashes of several orders."""
+    orders = [F.xxhash64("node")] + [F.xxhash64("node", "shingle", F.lit(i)) for i in range(1, STAR_ORDERS)]
+    leaders = postings.groupBy("shingle").agg(
+        F.array(*[F.min(F.struct(o.alias("o"), F.col("node").alias("lead"), F.col("n").alias("lead_n"))) for o in orders]).alias("leaders")
     )
-    met = placed.join(leaders.select("shingle", "l.*"), "shingle").where((F.col("comp") != F.col("lead_comp")) & _possible(F.col("n"), F.col("lead_n")))
+    met = postings.join(leaders, "shingle").select("node", "n", F.explode("leaders").alias("l")).select("node", "n", "l.lead", "l.lead_n")
+    met = met.where((F.col("node") != F.col("lead")) & _possible(F.col("n"), F.col("lead_n")))
     return met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
@@ -224,26 +255,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     signatures = written(rows.mapInArrow(_signatures, "doc_id long, n long, set_key binary"), "signatures")
     nodes = _nodes(rows, _sketch(signatures))
     postings = _postings(nodes)
-    ids = postings.select("node").distinct()
-    sets = None
-    comps, links, tried = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = postings.withColumn("comp", F.col("node"))
-        if comps is not None:
-            known = comps.select("node", F.col("component").alias("known"))
-            placed = postings.join(known, "node", "left").withColumn("comp", F.coalesce("known", "node")).drop("known")
-        pairs = _star_pairs(placed, turn) if turn < STAR_ROUNDS else _cross_pairs(placed)
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if turn < STAR_ROUNDS:
-                continue
-            break
-        sets = _sets(rows, ids) if sets is None else sets
-        found = written(_linked(pairs, sets), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            comps = written(connected(links), "components")
+    comps = None
+    stars = written(_star_pairs(postings), "pairs")
+    links = written(_linked(stars, rows), "links")
+    placed = postings.withColumn("comp", F.col("node"))
+    if not links.isEmpty():
+        comps = written(connected(links), "components")
+        known = comps.select("node", F.col("component").alias("known"))
+        placed = written(postings.join(known, "node", "left").withColumn("comp", F.coalesce("known", "node")).drop("known"), "placed")
+    crossing = written(_cross_pairs(placed).join(stars, ["a", "b"], "left_anti"), "pairs")
+    if not crossing.isEmpty():
+        more = written(_linked(crossing, rows), "links")
+        if not more.isEmpty():
+            comps = written(connected(links.unionByName(more)), "components")
     members = signatures.where("set_key IS NOT NULL")
     same = members.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"))
     named = members.join(same, "set_key", "left")
