@@ -21,7 +21,7 @@ from pagequarry.llm.shared import ship
 from pagequarry.llm.tokens import sliced
 
 #: Labelled rows the field is fitted on, at most.
-MAX_ROWS = 4_000
+MAX_ROWS = 3_000
 #: Longer texts are fitted as several chains of so many lines.
 CHAIN_LINES = 64
 GOOD_FROM = 0.7
@@ -96,6 +96,13 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.c_[own, before, after], size, first
 
 
+def _features_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` a few texts at a time, so that byte-level arrays stay small."""
+    parts = [line_features(pa.array(texts[lo : lo + 100], pa.large_string())) for lo in range(0, len(texts), 100)]
+    counts = np.concatenate([np.diff(first) for _, _, first in parts])
+    return np.concatenate([x for x, _, _ in parts]), np.concatenate([s for _, s, _ in parts]), np.r_[0, np.cumsum(counts)]
+
+
 @dataclass
 class LineField:
     """``emit``: weights of a line's log-odds of good; ``move``: log weights of the transitions."""
@@ -186,7 +193,7 @@ def fit_field(
     if len(set(y)) < 2:
         return LineField(np.zeros(width + 1), np.zeros((2, 2)), np.zeros(5))
     label = np.array(y)
-    x, size, first = line_features(pa.array(texts, pa.large_string()))
+    x, size, first = _features_of(texts)
     of_text = np.repeat(np.arange(len(label)), np.diff(first))
     state = label[of_text].astype(float)
     place = np.arange(len(x)) - first[:-1][of_text]
