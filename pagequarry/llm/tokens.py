@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts a worker keeps; later new parts are encoded each time they come.
-CACHE_PARTS = 500_000
+CACHE_PARTS = 250_000
 #: Bytes of text encoded at a time, so that memory does not follow the row count.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def _table(chars: bytes) -> np.ndarray:

@@ -107,15 +107,14 @@ def _term_counts(sample: DataFrame) -> pd.DataFrame:
     columns = [f"{kind}{f}" for kind in "np" for f in range(FOLDS)]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter] = {i: Counter() for i in range(2 * FOLDS)}
-        for batch in sliced(batches, "text"):
+        # a slice of texts at a time, so that the terms of a task need not fit in memory
+        for batch in sliced(batches, "text", 1 << 20):
+            counts: dict[int, Counter] = {i: Counter() for i in range(2 * FOLDS)}
             words, number, first = _words(batch.column("text"))
             terms = [_terms(w) for w in words]
             for i, (label, fold) in enumerate(zip(batch.column("label").to_pylist(), batch.column("fold").to_pylist())):
                 counts[label * FOLDS + fold].update({t for w in np.unique(number[first[i] : first[i + 1]]) for t in terms[w]})
-        names = list(set().union(*counts.values()))
-        for lo in range(0, len(names), 20_000):
-            some = names[lo : lo + 20_000]
+            some = list(set().union(*counts.values()))
             yield pa.RecordBatch.from_pydict({"term": some} | {c: pa.array([counts[i][t] for t in some], pa.int64()) for i, c in enumerate(columns)})
 
     partial = sample.mapInArrow(counted, "term string, " + ", ".join(f"{c} long" for c in columns))
@@ -151,7 +150,7 @@ def fit_chain(
     width = len(LEVELS) * 2 + 2
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 2 << 20):
             x = _features(batch.column("text"), tables, batch.column("fold").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column("doc_id").cast(pa.string()), "label": batch.column("label"), "fold": batch.column("fold")}
@@ -190,7 +189,7 @@ def scored(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 2 << 20):
             p = shared.value.probabilities(batch.column("text"))
             columns = {f"p_{c}": p[:, i] for i, c in enumerate(CATEGORIES)}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | columns | {"toxic": columns["p_toxic"] >= reject_from})
@@ -208,7 +207,7 @@ def without_toxic(docs: DataFrame, chain: Chain, text_col: str = "text", reject_
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             named = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
-            for some in sliced(iter([named]), f"c{place}"):
+            for some in sliced(iter([named]), f"c{place}", 2 << 20):
                 p = shared.value.probabilities(some.column(place))[:, CATEGORIES.index("toxic")]
                 yield some.filter(pa.array(p < reject_from)).rename_columns(batch.schema.names)
 
