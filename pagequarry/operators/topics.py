@@ -151,9 +151,3 @@ def topic_names(topics: DataFrame) -> DataFrame:
     marked = rows.join(first.withColumn("_first", F.lit(True)), "seq", "left")
     error = F.coalesce("_error", F.when(F.col("_first").isNull(), "duplicate_name"))
     return marked.select(*topics.columns, "table_name", "truncated", error.alias("error"))
-
-
-def site_key(name: Column) -> Column:
-    """Stable lower-case key of a website name."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.concat(F.lit("scrape_"), F.substring(F.when(plain != "", plain).otherwise("scraper_site"), 1, 56))
