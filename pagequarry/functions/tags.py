@@ -53,12 +53,20 @@ def positions_sql(tags: str, pattern: str) -> str:
     return f"filter(transform({tags}, (t, i) -> if({S.rlike('t', ci('^(?:' + pattern + ')'))}, i, NULL)), i -> i IS NOT NULL)"
 
 
+def _count_sql(positions: str, below: str) -> str:
+    """SQL text: how many of the ascending positions are ``below`` (``<`` or ``<=``) ``q``, by halving."""
+    bits = f"sequence(length(bin(size({positions}))) - 1, 0, -1)"
+    return f"aggregate({bits}, 0, (n, b) -> if(coalesce(get({positions}, n + shiftleft(1, b) - 1) {below} q, false), n + shiftleft(1, b), n))"
+
+
 def last_before(positions: str, at: str) -> str:
-    return f"array_max(filter({positions}, p -> p < {at}))"
+    """SQL text: the last of the ascending positions before ``at``, or NULL."""
+    return S.let(at, "q", f"get({positions}, {_count_sql(positions, '<')} - 1)")
 
 
 def first_after(positions: str, at: str) -> str:
-    return f"array_min(filter({positions}, p -> p > {at}))"
+    """SQL text: the first of the ascending positions after ``at``, or NULL."""
+    return S.let(at, "q", f"if(q IS NULL, NULL, get({positions}, {_count_sql(positions, '<=')}))")
 
 
 def span(tags: str, start: str, stop: str) -> str:

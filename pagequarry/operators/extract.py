@@ -157,10 +157,13 @@ def _context(at: str, end: str) -> str:
         start, closed = T.last_before(f"open_{t}", f"{at} + 1"), T.last_before(f"close_{t}", f"{at} + 1")
         facts = f"named_struct('a', {start}, 'b', coalesce({closed}, -1), 'z', {T.first_after(f'close_{t}', end)})"
         text = S.let(f"concat({T.span('tags', 'f.a', 'f.z')}, '</{t}>')", "x", f"if(length(x) <= {_CONTEXT_LIMIT}, x, NULL)")
-        enclosing.append(S.let(facts, "f", f"if(f.a > f.b AND f.z IS NOT NULL, {text}, NULL)"))
-    left = f"coalesce({T.last_before('breaks', at)}, 0)"
-    right = f"coalesce({T.first_after('breaks', end)}, size(tags))"
-    before = f"right({S.extract(T.span('tags', left, at), '([^' + chr(92) + 'n]*)$')}, {_WINDOW})"
+        # a tag has a character at least, so a span of more tags is over the limit
+        enclosing.append(S.let(facts, "f", f"if(f.a > f.b AND f.z - f.a <= {_CONTEXT_LIMIT}, {text}, NULL)"))
+    # likewise, no more tags are put together than the window can show
+    left = f"greatest(coalesce({T.last_before('breaks', at)}, 0), {at} - {_WINDOW} - 2)"
+    right = f"least(coalesce({T.first_after('breaks', end)}, size(tags)), {end} + 2 * {_WINDOW})"
+    near = f"right({T.span('tags', left, at)}, {_WINDOW} + 2)"
+    before = f"right({S.extract(near, r'([^\n]*)$')}, {_WINDOW})"
     after = S.extract(T.span("tags", end, right), r"^(<[^>]*>[^\n]{0," + str(_WINDOW) + "})")
     return f"coalesce({', '.join(enclosing)}, concat({before}, {T.span('tags', at, end)}, {after}))"
 
@@ -277,12 +280,13 @@ def _form_mentions(pages: DataFrame) -> DataFrame:
     """GET forms as links: action plus their named, non-empty inputs."""
     c = F.col
     form = r"<form\b([^>]*)>([\s\S]*?)</form>"
-    # text before each form gives its tag position
-    pieces = F.split(c("html"), r"(?i)(?=<form\b)")
-    rows = pages.select("page_id", "url", F.posexplode(pieces).alias("n", "piece"), pieces.alias("pieces"))
+    # the page cut at its forms, beside the forms' places in the tag list
+    pieces = F.filter(F.split(c("html"), r"(?i)(?=<form\b)"), lambda p: p.rlike(ci(r"^<form\b")))
+    places = F.expr(T.positions_sql("split(html, '<')", r"form\b"))
+    rows = pages.select("page_id", "url", pieces.alias("piece"), places.alias("pos"))
+    rows = rows.select("page_id", "url", F.inline(F.arrays_zip("piece", "pos")))
     rows = rows.where(c("piece").rlike(ci("^" + form))).select(
-        "page_id", "url",
-        (F.length(F.regexp_replace(F.array_join(F.slice("pieces", 1, c("n")), ""), "[^<]", "")) + 1).alias("pos"),
+        "page_id", "url", "pos",
         F.regexp_extract("piece", ci("^" + form), 0).alias("context"),
         F.regexp_extract("piece", ci("^" + form), 1).alias("attrs"),
         F.regexp_extract("piece", ci("^" + form), 2).alias("body"),
