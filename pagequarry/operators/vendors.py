@@ -58,18 +58,19 @@ def vendor_matches(pages: DataFrame) -> DataFrame:
     )
 
 
-def vendor_scores(found: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+def vendor_scores(found: DataFrame, manual: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
     """Score and evidence per site and vendor; vendors without hits score 0.
 
-    ``manual``: ``site, vendor_id`` chosen by a person.
+    ``manual``: ``site, vendor_id`` chosen by a person.  ``sites``: ``site`` of
+    all sites, so that those without any hit are scored too.
     """
     summed = found.groupBy("site", "vendor_id").agg(
         F.sum("weight").alias("score"),
         F.array_sort(F.collect_list(F.struct("rule", "target", "label", "value", "weight"))).alias("evidence"),
     )
     vendors = F.array(*[F.struct(F.lit(v).alias("vendor_id"), F.lit(i).alias("vendor_order")) for v, i in _ORDER.items()])
-    sites = found.select("site") if manual is None else found.select("site").union(manual.select("site"))
-    every = sites.distinct().select("site", F.inline(vendors))
+    named = reduce(DataFrame.union, [rows.select("site") for rows in (found, manual, sites) if rows is not None])
+    every = named.distinct().select("site", F.inline(vendors))
     scored = every.join(summed, ["site", "vendor_id"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
     if manual is None:
         return scored

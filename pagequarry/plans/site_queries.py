@@ -31,12 +31,23 @@ SELECT p_partkey AS page_id, concat('http://www.town', CAST(p_size % 20 AS VARCH
 FROM part
 """
 _MENU = f"menu_pages AS ({MENU})"
+# the same and sites that no vendor built
+VENDOR_PAGES = f"""{MENU}UNION ALL
+SELECT 1000000000 + p_partkey AS page_id, concat('http://www.town', CAST(100 + p_size % 5 AS VARCHAR(20)), '.example.org/index.html') AS url,
+  concat('<html><body><p>', p_name, '</p></body></html>') AS html
+FROM part
+"""
+_VENDOR_PAGES = f"menu_pages AS ({VENDOR_PAGES})"
 
 
 def menu_view(t: Tables):
     return t.built_pages(MENU)
 
 
+def _scores(pages):
+    return Y.vendor_scores(Y.vendor_matches(pages), sites=pages.select(U.site(c("url")).alias("site")))
+
+
 def _rule_sql() -> str:
     rows = []
     for n, (vendor, target, pattern, weight, label) in enumerate(fv.VENDOR_RULES):
@@ -53,32 +64,32 @@ def _rule_sql() -> str:
     return " UNION ALL ".join(rows)
 
 
-_HITS = f"""{_MENU}, menu_refs AS (SELECT page_id, url, unnest({D.extract_all('html', r'\b(?:href|src|data-src|data-url|action)' + D.VALUE)}) AS m FROM menu_pages),
+_HITS = f"""{_VENDOR_PAGES}, menu_refs AS (SELECT page_id, url, unnest({D.extract_all('html', r'\b(?:href|src|data-src|data-url|action)' + D.VALUE)}) AS m FROM menu_pages),
 menu_urls AS (SELECT {D.site('url')} AS site, {D.resolve(D.unquote('m'), 'url')} AS href FROM menu_refs UNION SELECT {D.site('url')}, url FROM menu_pages),
 hits AS ({_rule_sql()})"""
 _SCORES = f"""{_HITS}, vend AS (SELECT * FROM (VALUES {", ".join(f"({D.lit(v)}, {i})" for i, (v, _) in enumerate(fv.VENDORS))}) v(vendor_id, vendor_order)),
 scores AS (SELECT s.site, v.vendor_id, v.vendor_order, CAST(coalesce(sum(h.weight), 0) AS BIGINT) AS score, count(h.rule) AS n_rules
- FROM (SELECT DISTINCT site FROM hits) s CROSS JOIN vend v LEFT JOIN hits h ON h.site = s.site AND h.vendor_id = v.vendor_id GROUP BY ALL)"""
+ FROM (SELECT DISTINCT {D.site('url')} AS site FROM menu_pages) s CROSS JOIN vend v LEFT JOIN hits h ON h.site = s.site AND h.vendor_id = v.vendor_id GROUP BY ALL)"""
 _RANKED = f"""{_SCORES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, vendor_order) AS rank, lead(score, 1, 0) OVER (PARTITION BY site ORDER BY score DESC, vendor_order) AS next_score FROM scores)"""
 
 
 @plan(f"WITH {_HITS} SELECT site, rule, vendor_id, target, weight, label FROM hits")
 def vendor_matches(t: Tables):
     """Fingerprint rules that match each site."""
-    return Y.vendor_matches(menu_view(t)).select("site", "rule", "vendor_id", "target", "weight", "label")
+    return Y.vendor_matches(t.built_pages(VENDOR_PAGES)).select("site", "rule", "vendor_id", "target", "weight", "label")
 
 
 @plan(f"WITH {_SCORES} SELECT site, vendor_id, score, n_rules FROM scores")
 def vendor_scores(t: Tables):
     """Score and evidence size per site and vendor."""
-    scores = Y.vendor_scores(Y.vendor_matches(menu_view(t)))
+    scores = _scores(t.built_pages(VENDOR_PAGES))
     return scores.select("site", "vendor_id", c("score").cast("bigint").alias("score"), F.coalesce(F.size("evidence"), F.lit(0)).cast("bigint").alias("n_rules"))
 
 
 @plan(f"WITH {_RANKED} SELECT site, vendor_id, score, rank FROM ranked")
 def vendor_ranking(t: Tables):
     """Vendor candidates of each site, best first."""
-    return Y.vendor_ranking(Y.vendor_scores(Y.vendor_matches(menu_view(t)))).select("site", "vendor_id", "score", "rank")
+    return Y.vendor_ranking(_scores(t.built_pages(VENDOR_PAGES))).select("site", "vendor_id", "score", "rank")
 
 
 _NAMES = "CASE vendor_id " + " ".join(f"WHEN {D.lit(v)} THEN {D.lit(n)}" for v, n in fv.VENDORS) + " END"
@@ -88,7 +99,7 @@ _NAMES = "CASE vendor_id " + " ".join(f"WHEN {D.lit(v)} THEN {D.lit(n)}" for v,
   score, score - next_score AS margin, CASE WHEN score >= 60 THEN greatest(35, least(100, round(45 + least(35.0, score / 6.0) + least(20.0, (score - next_score) / 5.0)))) ELSE least(34, round(score / 2.0)) END AS confidence FROM ranked WHERE rank = 1""")
 def vendor_winner(t: Tables):
     """Winning vendor per site with margin and confidence."""
-    return Y.vendor_winner(Y.vendor_scores(Y.vendor_matches(menu_view(t))))
+    return Y.vendor_winner(_scores(t.built_pages(VENDOR_PAGES)))
 
 
 def _section_sql() -> str:
@@ -128,11 +139,11 @@ j AS (SELECT s.site, x.section, CASE WHEN x.section = 'procurementUrl' AND CAST(
 SELECT site, section, coalesce(own, href, dflt, '') AS suggested, CASE WHEN own IS NOT NULL THEN 'configured' WHEN href IS NOT NULL THEN 'discovered' WHEN dflt IS NOT NULL THEN 'vendor-default' ELSE 'none' END AS source FROM j""")
 def suggested_sections(t: Tables):
     """Section URL per site: configured, discovered or vendor default."""
-    pages = menu_view(t)
+    pages = t.built_pages(VENDOR_PAGES)
     sites = pages.select(U.site(c("url")).alias("site"), U.origin(c("url")).alias("origin")).distinct()
     number = F.regexp_extract("site", "town([0-9]+)", 1).cast("int")
     configured = sites.where(number % 4 == 0).select("site", F.lit("procurementUrl").alias("section"), F.concat("origin", F.lit("/own.php")).alias("value"))
-    winners = Y.vendor_winner(Y.vendor_scores(Y.vendor_matches(pages)))
+    winners = Y.vendor_winner(_scores(pages))
     return Y.suggested_sections(sites, configured, Y.section_links(X.page_anchors(pages)), winners)
 
 
