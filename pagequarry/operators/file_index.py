@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import urls as U
+from pagequarry.session import cut_lineage
 
 
 def content_duplicates(files: DataFrame) -> DataFrame:
@@ -79,10 +80,37 @@ def register(fetched: DataFrame) -> DataFrame:
     )
 
 
-def new_by_content(fetched: DataFrame) -> DataFrame:
-    """First row per digest among results that are not stored yet."""
-    first = fetched.groupBy("sha256").agg(F.min("seq").alias("seq")).select("seq")
-    return fetched.join(first, "seq", "left_semi")
+def _earlier_in_batch(fetched: DataFrame) -> DataFrame:
+    """(seq, lead): the first row of the batch, by ``seq``, that registers a key of this row."""
+    keys = index_keys(fetched).select("kind", "lookup", "seq", F.expr("url IS NOT NULL AND local_path IS NOT NULL").alias("_kept"))
+    first = keys.where("_kept").groupBy("kind", "lookup").agg(F.min("seq").alias("lead"))
+    return keys.join(first, ["kind", "lookup"]).where("lead < seq").groupBy("seq").agg(F.min("lead").alias("lead"))
+
+
+def batch_lookup(fetched: DataFrame, index: DataFrame) -> DataFrame:
+    """``index_lookup`` as if the rows, in ``seq`` order, were looked up and registered one by one.
+
+    A row that shares a URL or a digest with an earlier row of the batch repeats
+    that row's file, or the file which that row repeats.  A missing digest
+    matches nothing.  ``seq`` is unique.
+    """
+    known = index_lookup(fetched, index).join(_earlier_in_batch(fetched), "seq", "left")
+    known = cut_lineage(known.withColumn("root", F.when(F.col("stored_path").isNull(), F.col("lead")).otherwise(F.col("seq"))))
+    known = known.withColumn("root", F.coalesce("root", "seq"))
+    point, moved = known.select("seq", "root"), True
+    while moved:  # each round halves the way to the row whose file counts
+        onward = point.select(F.col("seq").alias("root"), F.col("root").alias("far"))
+        ahead = cut_lineage(point.join(onward, "root").select("seq", "root", "far"))
+        moved = not ahead.where("root <> far").isEmpty()
+        point = ahead.select("seq", F.col("far").alias("root"))
+    paths = known.select(F.col("seq").alias("root"), F.coalesce("stored_path", "local_path").alias("_path"))
+    rows = known.drop("root").join(point.join(paths, "root"), "seq")
+    repeats = F.col("root") != F.col("seq")
+    return rows.select(
+        *fetched.columns, F.when(repeats, F.col("_path")).otherwise(F.col("stored_path")).alias("stored_path"),
+        F.when(repeats, "batch").otherwise(F.col("found_by")).alias("found_by"),
+        F.when(repeats, "already_exists").otherwise(F.col("status")).alias("status"),
+    )
 
 
 def suppress_known_bad(fetched: DataFrame) -> DataFrame:

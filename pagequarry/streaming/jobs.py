@@ -55,14 +55,11 @@ def index_stream(fetched: DataFrame, folder: str) -> StreamingQuery:
         spark = batch.sparkSession
         batch = batch.persist()
         index = _earlier(spark, f"{folder}/index", batch_id, sinks.conform(batch, "file_index"))
-        judged = X.index_lookup(batch, index).persist()
-        fresh = judged.where("status = 'downloaded'")
-        first = X.new_by_content(fresh).select("seq", F.lit(True).alias("_new"))
-        result = judged.join(first, "seq", "left").withColumn(
-            "status", F.when(F.col("_new"), "downloaded").otherwise("already_exists")
-        )
-        result.drop("_new").write.mode("overwrite").parquet(f"{folder}/results/batch={batch_id}")
-        sinks.conform(X.register(batch), "file_index").write.mode("overwrite").parquet(f"{folder}/index/batch={batch_id}")
+        judged = X.batch_lookup(batch, index).persist()
+        judged.write.mode("overwrite").parquet(f"{folder}/results/batch={batch_id}")
+        # a repeated file is registered where it is stored, not where its copy would have gone
+        kept = judged.withColumn("local_path", F.coalesce("stored_path", "local_path"))
+        sinks.conform(X.register(kept), "file_index").write.mode("overwrite").parquet(f"{folder}/index/batch={batch_id}")
         judged.unpersist()
         batch.unpersist()
 
