@@ -414,9 +414,7 @@ SECTION_PENALTY = (r"login|admin|contact|policy|facebook|youtube", -100)
 
 # --- titles (fixed values) --------------------------------------------------
 TITLE_NOISE = [
-    "nongtalay.go.th", "naboncity.go.th", "องค์การบริหารส่วนตำบลหนองทะเล",
-    "เทศบาลตำบลนาบอน", "หน้าหลัก", "เมนู", "search", "login",
-    "ดาวน์โหลดเอกสาร",
+    "หน้าหลัก", "เมนู", "search", "login", "ดาวน์โหลดเอกสาร",
 ]
 # ordered families; group 1 is the candidate (Java syntax)
 DETAIL_TITLE_PATTERNS = [
@@ -431,7 +429,8 @@ DETAIL_TITLE_PATTERNS = [
     r"<strong[^>]*>([\s\S]*?)</strong>",
     r"<title[^>]*>([\s\S]*?)</title>",
 ]
-DETAIL_TITLE_TAIL = r"\s*[-|:]\s*(?:องค์การบริหารส่วนตำบลหนองทะเล|เทศบาลตำบลนาบอน).*$"
+# what comes before a site's name at the end of a title
+DETAIL_TITLE_TAIL = r"\s*[-|:]\s*"
 SITE_NAME_EXACT = r"^(?:หน้าแรก|หน้าหลัก|home|index|menu|เมนู)$"
 SITE_NAME_WORDS = (
     r"(?:อบต\.|เทศบาล|องค์การบริหารส่วนตำบล|องค์การบริหารส่วนจังหวัด|"

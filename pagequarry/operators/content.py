@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -92,15 +94,19 @@ def published_dates(records: DataFrame, raw: str = "raw_text") -> DataFrame:
 
 
 # --- titles -----------------------------------------------------------------------------
-def detail_title(html: Column, u: Column, ident: Column) -> Column:
-    """First Thai candidate of ten pattern families, else first useful one."""
+def detail_title(html: Column, u: Column, ident: Column, site_names: Sequence[str] = ()) -> Column:
+    """First Thai candidate of ten pattern families, else first useful one.
+
+    ``site_names``: names that end a site's titles and are no titles themselves.
+    """
+    names = "|".join(re.escape(n) for n in site_names)
 
     def candidate(raw: Column) -> Column:
-        text = F.regexp_replace(clean_text(raw), ci(fv.DETAIL_TITLE_TAIL), "")
+        text = F.regexp_replace(clean_text(raw), ci(f"{fv.DETAIL_TITLE_TAIL}(?:{names}).*$"), "") if names else clean_text(raw)
         return F.trim(F.regexp_replace(text, r"^เรื่อง\s*:?\s*", ""))
 
     found = F.flatten(F.array(*[F.transform(all_matches(html, p, 1), candidate) for p in fv.DETAIL_TITLE_PATTERNS]))
-    useful = F.filter(found, is_useful_title)
+    useful = F.filter(found, lambda t: is_useful_title(t, site_names))
     return bind(
         useful,
         lambda c: F.coalesce(

@@ -7,6 +7,7 @@ merges or shuffles the narrow rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -105,11 +106,11 @@ def script_urls(pages: DataFrame) -> DataFrame:
 
 
 def fingerprint_urls(pages: DataFrame) -> DataFrame:
-    """Distinct URLs a page mentions, its own address included."""
+    """``page_id, url, href``: distinct URLs a page mentions, its own address included."""
     found = references(pages, ["href", "src", "data-src", "data-url", "action"], boundary=True, decode=False)
-    own = pages.select("page_id", F.col("url").alias("href"))
+    own = pages.select("page_id", "url", F.col("url").alias("href"))
     # a page may link to itself; everything else is distinct already
-    foreign = found.where(F.col("href") != F.col("url")).select("page_id", "href")
+    foreign = found.where(F.col("href") != F.col("url")).select("page_id", "url", "href")
     return foreign.unionByName(own.where("href IS NOT NULL"))
 
 
@@ -377,13 +378,14 @@ def is_useful_text(text: Column) -> Column:
     return F.length(t).between(4, 1000) & ~t.rlike(ci(fv.NAV_TEXT)) & (letters(t) >= 4)
 
 
-def is_useful_title(text: Column) -> Column:
+def is_useful_title(text: Column, site_names: Sequence[str] = ()) -> Column:
+    """Neither short nor a menu word nor one of the sites' own names."""
     low = F.lower(text)
-    noise = [n.lower() for n in fv.TITLE_NOISE]
+    noise = [n.lower() for n in [*site_names, *fv.TITLE_NOISE]]
     starts = reduce(lambda a, b: a | b, [low.startswith(n + " ") for n in noise])
     return (F.length(text) >= 5) & ~low.isin(noise) & ~starts
 
 
-def useful_links(anchors: DataFrame) -> DataFrame:
+def useful_links(anchors: DataFrame, site_names: Sequence[str] = ()) -> DataFrame:
     """Anchors whose text can serve as a title."""
-    return anchors.where(is_useful_text(F.col("text")) & is_useful_title(F.col("text")))
+    return anchors.where(is_useful_text(F.col("text")) & is_useful_title(F.col("text"), site_names))

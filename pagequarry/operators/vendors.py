@@ -44,14 +44,12 @@ def vendor_matches(pages: DataFrame) -> DataFrame:
         U.site(F.col("url")).alias("site"), "page_id",
         F.explode(rule_hits("text", lambda p: matches(text, p), F.lit(None).cast("string"))).alias("h"),
     )
-    owner = pages.select("page_id", U.site(F.col("url")).alias("site"))
-    urls = fingerprint_urls(pages).select(
-        "page_id", "href",
+    in_url = fingerprint_urls(pages).select(
+        U.site(F.col("url")).alias("site"), "page_id",
         F.explode(
             rule_hits("url", lambda p: matches(F.col("href"), p) | matches(F.lower(U.host(F.col("href"))), p), F.col("href"))
         ).alias("h"),
     )
-    in_url = urls.join(owner, "page_id").select("site", "page_id", "h")
     hits = in_text.unionByName(in_url).select("site", "page_id", "h.*")
     return hits.groupBy("site", "rule", "vendor_id", "target", "weight", "label").agg(
         F.min_by("value", F.struct("page_id", "value")).alias("value")

@@ -178,7 +178,7 @@ SELECT page_id, href FROM (
   UNION SELECT page_id, url FROM all_pages)""")
 def fingerprint_urls(t: Tables):
     """Every URL a page mentions, its own included."""
-    return X.fingerprint_urls(t.all_pages)
+    return X.fingerprint_urls(t.all_pages).select("page_id", "href")
 
 
 _NOISE = " AND ".join(f"lower(text) <> {D.lit(n.lower())} AND NOT starts_with(lower(text), {D.lit(n.lower() + ' ')})" for n in fv.TITLE_NOISE)

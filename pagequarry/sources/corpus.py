@@ -55,15 +55,16 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def validate_seeds(seeds: DataFrame, cap: int = fv.TOPIC_LIMIT) -> DataFrame:
-    """First ``cap`` seeds with an error where a title is duplicated or a URL bad.
+    """All seeds, with an error where one is beyond the first ``cap``, its title repeated or its URL bad.
 
-    The sorted limit is a top-k: each task keeps at most ``cap`` rows.
+    The last accepted ``seq`` comes from a top-k: each task keeps at most ``cap`` rows.
     """
-    head = seeds.orderBy("seq").limit(cap)
-    first = head.where("title <> ''").groupBy(F.lower("title").alias("_k")).agg(F.min("seq").alias("seq")).select("seq")
-    marked = head.join(first.withColumn("_first", F.lit(True)), "seq", "left")
+    last = seeds.orderBy("seq").limit(cap).agg(F.max("seq")).scalar()
+    first = seeds.where("title <> ''").groupBy(F.lower("title").alias("_k")).agg(F.min("seq").alias("seq")).select("seq")
+    marked = seeds.join(first.withColumn("_first", F.lit(True)), "seq", "left")
     error = (
-        F.when(F.coalesce("url", F.lit("")) == "", "missing_url")
+        F.when(F.col("seq") > last, "over_limit")
+        .when(F.coalesce("url", F.lit("")) == "", "missing_url")
         .when(~U.is_http(F.col("url")), "bad_url")
         .when((F.col("title") != "") & F.col("_first").isNull(), "duplicate_title")
     )
