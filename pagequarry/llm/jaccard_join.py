@@ -6,9 +6,11 @@ partner must meet (its prefix) enters the product.  Overlaps are accumulated
 per pair in blocks of the product; pairs below the bound that the sizes set are
 discarded, the others are compared as whole sets.
 
-A shingle of many documents is never squared at once.  First its documents are
-compared with one of them; what is linked forms components, and only documents
-of different components meet again, until all such pairs have been compared.
+Shingles with the same list of documents are one row of the product, with their
+number as its weight.  A row of many documents is never squared at once.  First
+its documents are compared with one of them; what is linked forms components,
+and only documents of different components meet again, until all such pairs
+have been compared.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ WORDS = 5
 PERCENT = 75
 #: Counters of the sketch that orders shingles.
 SKETCH = 1 << 16
-#: Orders in which shingles choose the document that the others are compared with.
+#: Orders in which rows choose the document that the others are compared with.
 STAR_ORDERS = 3
 #: Blocks of hashes for the bound of a pair's overlap.
 BLOCKS = 256
@@ -216,32 +218,78 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return _with_both(left, _from_texts(rows, _ids_of(left), False), "shingles").where(_enough(both, total)).select("a", "b")
 
 
-def _star_pairs(postings: DataFrame) -> DataFrame:
-    """Each shingle's documents with one of them, chosen by the hashes of several orders."""
-    orders = [F.xxhash64("node")] + [F.xxhash64("node", "shingle", F.lit(i)) for i in range(1, STAR_ORDERS)]
-    leaders = postings.groupBy("shingle").agg(
-        F.array(*[F.min(F.struct(o.alias("o"), F.col("node").alias("lead"), F.col("n").alias("lead_n"))) for o in orders]).alias("leaders")
+def _merged(postings: DataFrame) -> DataFrame:
+    """(row, node, n, w, pos): shingles with the same list of documents as one row of the product.
+
+    ``w`` counts the row's shingles, ``pos`` is the last of their places.  Lists
+    that collide share a row; overlaps are bounded by the smaller ``w`` of a
+    pair, so a collision only costs time.
+    """
+    lists = postings.groupBy("shingle").agg(
+        F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1)))).alias("row")
+    )
+    rows = postings.join(lists, "shingle").groupBy("row", "node", "n").agg(F.count(F.lit(1)).alias("w"), F.max("pos").alias("pos"))
+    return written(rows, "rows")
+
+
+def _placed(merged: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """The rows with documents of several components, and the component of each document."""
+    placed = merged.withColumn("comp", F.col("node"))
+    if comps is not None:
+        known = comps.select("node", F.col("component").alias("known"))
+        placed = merged.join(known, "node", "left").withColumn("comp", F.coalesce("known", "node")).drop("known")
+    split = placed.groupBy("row").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("row")
+    return written(placed.join(split, "row", "left_semi"), "placed")
+
+
+def _star_pairs(placed: DataFrame, orders: list[Column]) -> DataFrame:
+    """Each row's documents with one of another component, chosen by the smallest hash of each order."""
+    leaders = placed.groupBy("row").agg(
+        F.array(
+            *[F.min(F.struct(o.alias("o"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("comp").alias("lead_comp"))) for o in orders]
+        ).alias("leaders")
     )
-    met = postings.join(leaders, "shingle").select("node", "n", F.explode("leaders").alias("l")).select("node", "n", "l.lead", "l.lead_n")
-    met = met.where((F.col("node") != F.col("lead")) & _possible(F.col("n"), F.col("lead_n")))
+    met = placed.join(leaders, "row").select("node", "n", "comp", F.explode("leaders").alias("l")).select("node", "n", "comp", "l.*")
+    met = met.where((F.col("comp") != F.col("lead_comp")) & _possible(F.col("n"), F.col("lead_n")))
     return met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
 def _cross_pairs(placed: DataFrame) -> DataFrame:
     """All pairs of different components whose accumulated overlap can still suffice."""
-    split = placed.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
-    left = placed.join(split, "shingle", "left_semi")
-    names = ["node", "n", "pos", "comp"]
-    a, b = left.select("shingle", *[F.col(c).alias(f"{c}_a") for c in names]), left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in names])
-    met = a.join(b, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _possible(F.col("n_a"), F.col("n_b")))
+    names = ["node", "n", "w", "pos", "comp"]
+    a, b = placed.select("row", *[F.col(c).alias(f"{c}_a") for c in names]), placed.select("row", *[F.col(c).alias(f"{c}_b") for c in names])
+    met = a.join(b, "row").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _possible(F.col("n_a"), F.col("n_b")))
     overlap = met.groupBy("node_a", "node_b", "n_a", "n_b").agg(
-        F.count(F.lit(1)).alias("c"), F.max("pos_a").alias("pa"), F.max("pos_b").alias("pb")
+        F.sum(F.least("w_a", "w_b")).alias("c"), F.max("pos_a").alias("pa"), F.max("pos_b").alias("pb")
     )
     most = F.col("c") + F.least(F.col("n_a") - F.col("pa") - 1, F.col("n_b") - F.col("pb") - 1)
     enough = most * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b"))
     return overlap.where(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
+def _components(nodes: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """(node, component) of the linked nodes, or None without links.
+
+    A star of one order over all documents links most of a group with few
+    pairs; stars of other orders and the product itself then see only rows whose
+    documents are still in different components.
+    """
+    merged = _merged(_postings(nodes))
+    more = [F.xxhash64("node", "row", F.lit(i)) for i in range(1, STAR_ORDERS)]
+    tried = links = comps = None
+    for pairs_of in (lambda p: _star_pairs(p, [F.xxhash64("node")]), lambda p: _star_pairs(p, more), _cross_pairs):
+        pairs = pairs_of(_placed(merged, comps))
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = written(_linked(pairs, rows), "links")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            comps = written(connected(links), "components")
+    return comps
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``.
 
@@ -254,20 +302,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signatures = written(rows.mapInArrow(_signatures, "doc_id long, n long, set_key binary"), "signatures")
     nodes = _nodes(rows, _sketch(signatures))
-    postings = _postings(nodes)
-    comps = None
-    stars = written(_star_pairs(postings), "pairs")
-    links = written(_linked(stars, rows), "links")
-    placed = postings.withColumn("comp", F.col("node"))
-    if not links.isEmpty():
-        comps = written(connected(links), "components")
-        known = comps.select("node", F.col("component").alias("known"))
-        placed = written(postings.join(known, "node", "left").withColumn("comp", F.coalesce("known", "node")).drop("known"), "placed")
-    crossing = written(_cross_pairs(placed).join(stars, ["a", "b"], "left_anti"), "pairs")
-    if not crossing.isEmpty():
-        more = written(_linked(crossing, rows), "links")
-        if not more.isEmpty():
-            comps = written(connected(links.unionByName(more)), "components")
+    comps = _components(nodes, rows)
     members = signatures.where("set_key IS NOT NULL")
     same = members.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"))
     named = members.join(same, "set_key", "left")
