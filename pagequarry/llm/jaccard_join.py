@@ -35,8 +35,8 @@ PERCENT = 75
 SKETCH = 1 << 16
 #: Orders in which rows choose the document that the others are compared with.
 STAR_ORDERS = 3
-#: Blocks of hashes for the bound of a pair's overlap.
-BLOCKS = 256
+#: Bits of the number of hash blocks for the bound of a pair's overlap: about one block a shingle, within these.
+BLOCK_BITS = (8, 20)
 #: Bits of the filter that spares texts without a possible partner; false hits only cost time.
 FILTER_BITS = 1 << 23
 SLICE = 2 << 20
@@ -161,6 +161,18 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return bits
 
 
+def _block_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles each block of hashes has; a power of two of blocks, at least one a shingle up to the limit."""
+    bits = min(max((len(shingles) - 1).bit_length(), BLOCK_BITS[0]), BLOCK_BITS[1])
+    return np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+
+
+def _coarser(blocks: Column, other: Column) -> Column:
+    """``blocks`` at the number of the other side; sizes that can link differ by one halving at most."""
+    pairs = F.sequence(F.lit(0), F.size(blocks) - 2, F.lit(2))
+    return F.when(F.size(blocks) > F.size(other), F.transform(pairs, lambda i: F.get(blocks, i) + F.get(blocks, i + 1))).otherwise(blocks)
+
+
 def _from_texts(rows: DataFrame, wanted: DataFrame, counted: bool) -> DataFrame:
     """(node, shingles), or (node, blocks): the sets of the wanted nodes, or their sizes by block of hashes.
 
@@ -171,15 +183,12 @@ def _from_texts(rows: DataFrame, wanted: DataFrame, counted: bool) -> DataFrame:
     hashed = rows.where("doc_id IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
     name, kind = ("blocks", pa.int32()) if counted else ("shingles", pa.int64())
 
-    def values(s: np.ndarray) -> np.ndarray:
-        return np.bincount((s >> np.uint64(40)).astype(np.int64) % BLOCKS, minlength=BLOCKS).astype(np.int32) if counted else s.view(np.int64)
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("at").to_numpy(zero_copy_only=False).astype(np.uint64)
             hit = (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
             for some in sliced(iter([batch.filter(pa.array(hit))]), "text", SLICE):
-                found = [values(s) for s in shingle_sets(some.column("text"))]
+                found = [_block_counts(s) if counted else s.view(np.int64) for s in shingle_sets(some.column("text"))]
                 ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [some.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), kind))], names=["node", name]
@@ -210,7 +219,7 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     these bounds leaves are compared as sets.
     """
     size = lambda v: F.aggregate(v, F.lit(0), lambda t, x: t + x)
-    most = size(F.zip_with("va", "vb", lambda x, y: F.least(x, y)))
+    most = size(F.zip_with(_coarser(F.col("va"), F.col("vb")), _coarser(F.col("vb"), F.col("va")), lambda x, y: F.least(x, y)))
     total = size(F.col("va")) + size(F.col("vb"))
     left = _with_both(pairs, _from_texts(rows, _ids_of(pairs), True), "blocks").where(_enough(most, total))
     left = written(left.select("a", "b").distinct(), "bounded")
