@@ -124,6 +124,16 @@ def test_similar_groups_of_chained_near_copies(spark):
     assert sorted([tuple(r) for r in jaccard_join.similar_groups(docs).collect()], key=key) == brute_components(rows)
 
 
+def test_near_copies_whose_block_counts_differ(spark):
+    """500 and 540 shingles: 512 and 1,024 blocks; 500 of 540 shared links, 500 of 700 does not."""
+    long = [f"w{i}" for i in range(704)]
+    docs = spark.createDataFrame([(1, " ".join(long[:504])), (2, " ".join(long[:544])), (3, " ".join(long)), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(docs).collect()}
+    assert got == {1: (500, 1), 2: (540, 1), 3: (700, 1), 4: (0, 4)}
+    apart = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(docs.where("doc_id <> 2")).collect()}
+    assert apart == {1: 1, 3: 3, 4: 4}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = dict(map(tuple, components.connected(spark.createDataFrame(edges, "a long, b long")).collect()))
