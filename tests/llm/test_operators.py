@@ -281,6 +281,30 @@ def test_pieces_equal_the_library(spark, docs, empty):
     assert piece_lattice.encoded(empty, vocab).count() == 0
 
 
+def test_pieces_of_long_words_equal_the_library(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, vocab = sentencepiece.SentencePieceProcessor(model_file=path), piece_lattice.load_vocabulary(spark, path)
+    letters = "".join("etaoinshrdlu"[i * i * 7 % 97 % 12] for i in range(5_000))
+    texts = [letters, "-" * 5_000, " " * 5_000, "a" + " " * 5_000 + "é😀" * 2_600, letters[:64], letters[:65], letters[:63], "=" * 63, "=" * 64, "=" * 65]
+    some = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: list(r["ids"]) for r in piece_lattice.encoded(some, vocab).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == model.encode(text), i
+    assert all(r["decodes"] for r in piece_lattice.round_trip(some, vocab).collect())
+
+
+@pytest.mark.parametrize("bpe", [True, False])
+def test_long_words_have_the_pieces_of_the_fold(spark, monkeypatch, bpe):
+    rows = [(p, i, s) for i, (p, s) in enumerate([("a", -3.0), ("b", -3.5), ("ab", -2.0), ("ba", -2.0), ("aba", -2.5), ("bb", -1.0), ("abab", -4.0)])]
+    vocab = piece_lattice.vocabulary(spark, rows, bpe=bpe, unknown=99)
+    words = spark.createDataFrame([("".join("abx"[n // 3**k % 3] for k in range(6)),) for n in range(729)], "word string")
+    folded = {r["word"]: list(r["ids"]) for r in piece_lattice.encoded_words(words, vocab).collect()}
+    monkeypatch.setattr(piece_lattice, "FOLD_CHARS", 0)
+    assert {r["word"]: list(r["ids"]) for r in piece_lattice.encoded_words(words, vocab).collect()} == folded
+
+
 def test_viterbi_finds_the_best_path(spark):
     rows = [("▁", 1, -3.0), ("a", 2, -2.5), ("b", 3, -2.0), ("ab", 4, -4.0), ("▁a", 5, -3.5), ("ba", 6, -2.2), ("bab", 7, -5.5), ("aa", 8, -4.1)]
     vocab = piece_lattice.vocabulary(spark, rows, bpe=False)
