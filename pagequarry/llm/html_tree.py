@@ -30,6 +30,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose inside is never shown as text.
 HIDDEN = frozenset("script style noscript template svg math head title iframe object canvas select textarea button audio video map datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+#: Any other opening tag ends an open head.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template noframes".split())
 #: An opening tag ends an open element of these, as HTML lets authors leave out end tags.
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -58,7 +60,7 @@ _NAME_NUMBER = {w: i for i, words in enumerate(NAMES) for w in words}
 N_FEATURES = len(TAGS) + 1 + len(NAMES) + 8
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*+)>", re.S
 )
 _NAMES_OF = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
@@ -95,13 +97,15 @@ def parse(source: str) -> Page:
         page.states.append(int(keep))
         return len(page.tags) - 1
 
-    links = keep = 0
+    links = keep = hidden = 0  # open elements of each sort
     stack.append(("", block("html", "")))
     fresh = True  # the next text starts a new run
 
     def text(raw: str) -> None:
         nonlocal fresh
-        if not raw:
+        if hidden and stack[-1][0] == "head" and raw.strip():
+            close(len(stack) - 1)
+        if hidden or not raw:
             return
         value = html.unescape(raw) if "&" in raw else raw
         at = stack[-1][1]
@@ -114,9 +118,10 @@ def parse(source: str) -> Page:
         page.link_chars[at] += n if links else 0
 
     def close(to: int) -> None:
-        nonlocal links, fresh
+        nonlocal links, fresh, hidden
         for tag, _ in stack[to:]:
             links -= tag == "a"
+            hidden -= tag in HIDDEN
             fresh = fresh or tag not in INLINE
         del stack[to:]
 
@@ -128,22 +133,28 @@ def parse(source: str) -> Page:
             if stack[i][0] in scope:
                 return
 
-    at, hidden = 0, None
-    lowered = None
+    last: dict[str, int] = {}
+
+    def ends_later(tag: str, at: int) -> bool:
+        if tag not in last:
+            last[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", source, re.I)), default=-1)
+        return last[tag] >= at
+
+    at, lowered = 0, None
     found = _MARKUP.search(source)
     while found:
-        if hidden is None:
-            text(source[at : found.start()])
+        text(source[at : found.start()])
         at = found.end()
         tag = (found[2] or "").lower()
+        alone = bool(tag) and found[3].rstrip().endswith("/")
+        if hidden and tag and not found[1] and (tag == "body" or stack[-1][0] == "head" and tag not in IN_HEAD):
+            end(("head",), ())
         if not tag:
             pass
         elif tag == "keep-text":
             keep = not found[1]
             if keep:
                 page.states[stack[-1][1]] = 1
-        elif hidden is not None:
-            hidden = None if found[1] and tag == hidden else hidden
         elif found[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
@@ -151,9 +162,15 @@ def parse(source: str) -> Page:
                     break
         elif tag == "br":
             text(" ")
+        elif tag == "head":
+            if stack[-1][0] in ("", "html"):
+                stack.append((tag, stack[-1][1]))
+                hidden += 1
         elif tag in HIDDEN:
             fresh = fresh or tag not in INLINE
-            if tag in RAW:  # ends at its own end tag, whatever is inside
+            if tag in ("button", "select"):  # do not nest
+                end((tag,), ())
+            if tag in RAW and not (alone and any(t in ("svg", "math") for t, _ in stack)):  # ends at its own end tag, whatever is inside
                 lowered = source.lower() if lowered is None else lowered
                 stop = lowered.find(f"</{tag}", at)
                 if stop < 0 or len(lowered) != len(source):
@@ -161,11 +178,14 @@ def parse(source: str) -> Page:
                     stop = again.start() if again else len(source)
                 close_at = source.find(">", stop)
                 at = close_at + 1 if 0 <= close_at else len(source)
-            elif not found[3].rstrip().endswith("/"):
-                hidden = tag
+            elif not alone and ends_later(tag, at):  # ends with its parent at the latest
+                stack.append((tag, stack[-1][1]))
+                hidden += 1
         elif tag in VOID:
             fresh = fresh or tag not in INLINE
-        elif tag in INLINE:
+        elif hidden and alone:
+            pass
+        elif hidden or tag in INLINE:
             stack.append((tag, stack[-1][1]))
             links += tag == "a"
         else:
@@ -177,8 +197,7 @@ def parse(source: str) -> Page:
                 fresh = True
                 stack.append((tag, block(tag, found[3])))
         found = _MARKUP.search(source, at)
-    if hidden is None:
-        text(source[at:])
+    text(source[at:])
     return page
 
 
