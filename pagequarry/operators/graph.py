@@ -7,6 +7,8 @@ folder), so plans stay short and a lost executor costs one level at most.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,12 +65,13 @@ def css_closure(sheets: DataFrame, start: DataFrame, max_depth: int = 100) -> Da
     return reach(edges, roots, [], max_depth)
 
 
-def sitemap_urls(maps: DataFrame, starts: DataFrame, max_maps: int = 30, max_urls: int = 5000) -> DataFrame:
+def sitemap_urls(maps: DataFrame, starts: DataFrame, max_maps: int | None = None, max_urls: int | None = None) -> DataFrame:
     """Public same-site pages listed by a site's sitemaps, nested ones too.
 
     ``maps``: ``map_url, xml`` (a map may span rows); ``starts``: ``site,
-    start_url, map_url``.  Per site at most ``max_maps`` maps in breadth-first
-    order and ``max_urls`` pages, counted exactly.
+    start_url, map_url``.  All maps and pages, unless limited: per site at most
+    ``max_maps`` maps in breadth-first order and ``max_urls`` pages, counted
+    exactly (``fv.SITEMAP_LIMITS`` has the usual limits).
     """
     locs = maps.select("map_url", F.explode(F.regexp_extract_all("xml", F.lit(r"(?i)<loc\b[^>]*>([\s\S]*?)</loc>"), F.lit(1))).alias("raw"))
     locs = locs.withColumn("loc", U.crawl_canonical(U.resolve(clean_text(F.col("raw")), F.col("map_url")))).where("loc <> ''")
@@ -78,20 +81,26 @@ def sitemap_urls(maps: DataFrame, starts: DataFrame, max_maps: int = 30, max_url
     # nested maps inherit their site by joining level by level
     roots = edges.select("site", F.col("map_url").alias("node"), F.lit(0).alias("depth"))
     sited = reach_by_src(nested, roots)
-    order = Window.partitionBy("site").orderBy("depth", "node")
-    # only map addresses are ranked here, a site has few of them
-    chosen = sited.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_maps)
+    chosen = sited
+    if max_maps is not None or max_urls is not None:
+        order = Window.partitionBy("site").orderBy("depth", "node")
+        # only map addresses are ranked here, a site has few of them
+        chosen = sited.withColumn("n", F.row_number().over(order))
+    if max_maps is not None:
+        chosen = chosen.where(F.col("n") <= max_maps)
     pages = locs.where("NOT is_map").join(chosen, F.col("map_url") == F.col("node"))
     pages = pages.where((U.site(F.col("loc")) == F.col("site")) & is_public_page(F.col("loc")))
+    if max_urls is None:
+        return pages.select("site", "loc").distinct()
     first = pages.groupBy("site", "loc").agg(F.min("n").alias("map_no"))
     return _first_pages(first, max_urls)
 
 
-def reach_by_src(nested: DataFrame, roots: DataFrame, max_depth: int = 30) -> DataFrame:
-    """Closure where only the roots know their site."""
+def reach_by_src(nested: DataFrame, roots: DataFrame) -> DataFrame:
+    """Closure where only the roots know their site; ends when a level is empty."""
     nested = cut_lineage(nested.distinct())
     known = level = cut_lineage(roots)
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         fresh = level.join(nested, F.col("node") == F.col("src")).select("site", F.col("dst").alias("node"), F.lit(depth).alias("depth"))
         level = cut_lineage(fresh.distinct().join(known.select("site", "node"), ["site", "node"], "left_anti"))
         if level.isEmpty():
