@@ -21,19 +21,20 @@ from pagequarry.operators.policy import is_public_page
 from pagequarry.session import cut_lineage
 
 
-def reach(edges: DataFrame, roots: DataFrame, keys: list[str], max_depth: int = fv.CRAWL_LIMITS["max_depth"]) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, keys: list[str], max_depth: int | None = None) -> DataFrame:
     """Breadth-first levels: ``*keys, node, depth, discovered_from``.
 
     ``edges``: ``*keys, src, dst``; ``roots``: ``*keys, node, depth`` (entries
     may start deeper, like sitemap pages at depth 1).  A node's depth is its
-    first level, its parent the smallest node of the level before.
+    first level, its parent the smallest node of the level before.  Levels are
+    followed until one is empty, unless ``max_depth`` is given.
     """
     edges = cut_lineage(edges.select(*keys, "src", "dst").distinct())
     entry = roots.groupBy(*keys, "node").agg(F.min("depth").alias("depth"))
     entry = cut_lineage(entry.withColumn("discovered_from", F.lit(None).cast(edges.schema["src"].dataType)))
     level = entry.where("depth = 0")
     known = level
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         found = level.select(*keys, F.col("node").alias("src")).join(edges, [*keys, "src"])
         found = found.select(*keys, F.col("dst").alias("node"), F.col("src").alias("discovered_from"))
         late = entry.where(F.col("depth") == depth).select(*keys, "node", "discovered_from")

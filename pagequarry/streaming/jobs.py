@@ -6,13 +6,13 @@ retried after a failure replaces its own output and nothing else.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pagequarry import fixed_values as fv
 from pagequarry.functions import urls as U
 from pagequarry.operators import audit as A
 from pagequarry.operators import file_index as X
@@ -130,11 +130,12 @@ def latest_registry(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def resumable_reach(
-    edges: DataFrame, roots: DataFrame, keys: list[str], folder: str, max_depth: int = fv.CRAWL_LIMITS["max_depth"]
+    edges: DataFrame, roots: DataFrame, keys: list[str], folder: str, max_depth: int | None = None
 ) -> DataFrame:
     """Crawl reach whose levels are stored; a rerun continues after the last.
 
-    Stored levels count only when they were derived from the same roots.
+    Stored levels count only when they were derived from the same roots.  Levels
+    are followed until one is empty, unless ``max_depth`` is given.
     """
     spark = edges.sparkSession
     start = roots.select(*keys, "node").distinct()
@@ -145,7 +146,7 @@ def resumable_reach(
     else:
         start.write.mode("overwrite").parquet(f"{folder}/roots")
     known = None
-    for depth in range(max_depth + 1):
+    for depth in itertools.count() if max_depth is None else range(max_depth + 1):
         path = f"{folder}/levels/depth={depth}"
         if not _complete(spark, path):
             if depth == 0:

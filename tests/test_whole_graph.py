@@ -1,6 +1,7 @@
 """Sitemaps, closures and crawls beyond the sizes that used to be cut."""
 
 from pagequarry.operators import graph as G
+from pagequarry.streaming import jobs as S
 
 SITE = "http://a.example.org"
 
@@ -20,3 +21,14 @@ def test_sitemap_of_6000_pages_and_33_levels(spark):
     assert G.sitemap_urls(maps, starts, 1, 5_000).count() == 5_000
     some = {r["loc"] for r in G.sitemap_urls(maps, starts, max_maps=3).collect()}
     assert some == {f"{SITE}/p/{i}" for i in range(6_000)} | {f"{SITE}/q/{i}" for i in range(3)}
+
+
+def test_crawl_of_15_levels(spark, tmp_path):
+    edges = spark.createDataFrame([("h", i, i + 1) for i in range(15)] + [("h", 15, 3)], "host string, src long, dst long")
+    roots = spark.createDataFrame([("h", 0, 0)], "host string, node long, depth int")
+    want = [(i, i, i - 1 if i else None) for i in range(16)]
+    pick = lambda df: sorted((r["node"], r["depth"], r["discovered_from"]) for r in df.collect())
+    assert pick(G.reach(edges, roots, ["host"])) == want
+    assert pick(G.reach(edges, roots, ["host"], max_depth=12)) == want[:13]
+    S.resumable_reach(edges, roots, ["host"], f"{tmp_path}/r", max_depth=2)
+    assert pick(S.resumable_reach(edges, roots, ["host"], f"{tmp_path}/r")) == want
