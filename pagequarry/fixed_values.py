@@ -640,6 +640,24 @@ KNOWN_FILE_EXT = (
     r"oga|flac)$"
 )
 THAI_CHARSETS = ["tis-620", "tis620", "windows-874", "cp874"]
+#: The JVM's charset by the labels of web pages, as browsers read them; others are UTF-8.
+CHARSET_LABELS = {
+    "windows-874": "windows-874 iso-8859-11 iso8859-11 dos-874",
+    "windows-1252": "windows-1252 cp1252 x-cp1252 iso-8859-1 iso8859-1 iso_8859-1 iso88591 latin1 l1 ascii us-ascii cp819 ibm819",
+    "windows-1250": "windows-1250 cp1250 x-cp1250", "windows-1251": "windows-1251 cp1251 x-cp1251", "windows-1253": "windows-1253 cp1253 x-cp1253",
+    "windows-1254": "windows-1254 cp1254 x-cp1254 iso-8859-9 iso8859-9 iso_8859-9 iso88599 latin5 l5", "windows-1255": "windows-1255 cp1255 x-cp1255",
+    "windows-1256": "windows-1256 cp1256 x-cp1256", "windows-1257": "windows-1257 cp1257 x-cp1257", "windows-1258": "windows-1258 cp1258 x-cp1258",
+    "iso-8859-2": "iso-8859-2 iso8859-2 iso_8859-2 iso88592 latin2 l2", "iso-8859-3": "iso-8859-3 iso8859-3 iso_8859-3 iso88593 latin3 l3",
+    "iso-8859-4": "iso-8859-4 iso8859-4 iso_8859-4 iso88594 latin4 l4", "iso-8859-5": "iso-8859-5 iso8859-5 iso_8859-5 iso88595 cyrillic",
+    "iso-8859-6": "iso-8859-6 iso8859-6 iso_8859-6 iso88596 arabic", "iso-8859-7": "iso-8859-7 iso8859-7 iso_8859-7 iso88597 greek greek8",
+    "iso-8859-8": "iso-8859-8 iso8859-8 iso_8859-8 iso88598 hebrew iso-8859-8-i logical visual", "iso-8859-13": "iso-8859-13 iso8859-13 iso885913",
+    "iso-8859-15": "iso-8859-15 iso8859-15 iso_8859-15 iso885915 l9", "iso-8859-16": "iso-8859-16",
+    "koi8-r": "koi8-r koi8 koi8_r koi", "koi8-u": "koi8-u koi8-ru", "ibm866": "ibm866 cp866 866", "x-macroman": "macintosh mac x-mac-roman",
+    "gb18030": "gb18030 gbk x-gbk gb2312 gb_2312 gb_2312-80 chinese", "big5-hkscs": "big5 big5-hkscs cn-big5 x-x-big5",
+    "euc-jp": "euc-jp x-euc-jp", "windows-31j": "shift_jis shift-jis sjis x-sjis windows-31j ms_kanji ms932", "iso-2022-jp": "iso-2022-jp",
+    "x-windows-949": "euc-kr ks_c_5601-1987 ks_c_5601-1989 ksc5601 ksc_5601 korean windows-949",
+    "utf-16": "utf-16", "utf-16be": "utf-16be unicodefffe", "utf-16le": "utf-16le ucs-2 unicode unicodefeff csunicode iso-10646-ucs-2",
+}
 TIS620_OUTSIDE = r"[^\x09\x0A\x0D\x20-\x7E\x{0E01}-\x{0E5B}]"
 
 # --- stored tables (fixed values) ------------------------------------------

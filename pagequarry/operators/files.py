@@ -72,18 +72,27 @@ def body_charset(content: Column, header: Column) -> Column:
     return F.when(named == "", "utf-8").when(named.isin(fv.THAI_CHARSETS), "windows-874").otherwise(named)
 
 
-_DECODABLE = ["windows-874", "iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "windows-1252"]
+#: Bytes that browsers read as windows-1252 where ISO-8859-1 has control characters.
+_C1 = {bytes([b]).decode("latin-1"): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _decode(content: Column, charset: str) -> Column:
+    if charset == "windows-1252":
+        return F.translate(F.decode(content, "ISO-8859-1"), "".join(_C1), "".join(_C1.values()))
+    return F.decode(content, charset)
 
 
 def decoded_bodies(bodies: DataFrame, header: str = "declared_type") -> DataFrame:
     """Add ``charset`` and ``text``; unknown charsets read as UTF-8.
 
-    Thai legacy charsets need ``spark.sql.legacy.javaCharsets=true``.
+    Other charsets than ISO-8859-1 and UTF-16 need ``spark.sql.legacy.javaCharsets=true``;
+    with ``spark.sql.legacy.codingErrorAction=true`` bytes that a charset lacks
+    become U+FFFD, without it they end the query.
     """
     rows = bodies.withColumn("charset", body_charset(F.col("content"), F.col(header)))
     text = F
-    for name in _DECODABLE:
-        text = text.when(F.col("charset") == name, F.decode(F.col("content"), name))
+    for name, labels in fv.CHARSET_LABELS.items():
+        text = text.when(F.col("charset").isin(labels.split()), _decode(F.col("content"), name))
     return rows.withColumn("text", text.otherwise(F.col("content").cast("string")))
 
 

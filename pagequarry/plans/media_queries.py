@@ -175,15 +175,22 @@ def file_signatures(t: Tables):
     return I.signature_report(t.bodies)
 
 
+def declared_bodies(pages):
+    """Whole pages as bytes of a declared charset; UTF-8 where the charset lacks a character of the page."""
+    html, turn = c("html"), c("page_id") % 3
+    thai = (turn == 1) & ~html.rlike(r"[^\x00-\x7F\xA0\x{0E01}-\x{0E3A}\x{0E3F}-\x{0E5B}\x{20AC}\x{2013}\x{2014}\x{2018}\x{2019}\x{201C}\x{201D}\x{2022}\x{2026}]")
+    latin = (turn == 2) & ~html.rlike(r"[^\x00-\x7F\xA0-\xFF]")
+    body = F.when(thai, F.encode(html, "windows-874")).when(latin, F.encode(html, "ISO-8859-1")).otherwise(F.encode(html, "UTF-8"))
+    name = F.when(thai, "tis-620").when(latin, "iso-8859-1").otherwise("utf-8")
+    return pages.select("page_id", body.alias("content"), F.concat(F.lit("text/html; charset="), name).alias("declared_type"))
+
+
 @plan()
 def decoded_bodies(t: Tables):
     """Page bodies decoded with the charset they name, Thai ones included."""
     t.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    name = F.element_at(F.array(*[F.lit(x) for x in ["utf-8", "tis-620", "iso-8859-1"]]), (c("page_id") % 3 + 1).cast("int"))
-    # the three charsets agree on ASCII, so the page text is compared there
-    body = F.encode(F.regexp_replace("html", r"[^\x00-\x7f]", "?"), "UTF-8")
-    raw = t.pages.select("page_id", body.alias("content"), F.concat(F.lit("text/html; charset="), name).alias("declared_type"))
-    out = I.decoded_bodies(raw)
+    t.spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
+    out = I.decoded_bodies(declared_bodies(t.pages))
     return out.select("page_id", "charset", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 
