@@ -47,8 +47,8 @@ def reach(edges: DataFrame, roots: DataFrame, keys: list[str], max_depth: int |
     return known
 
 
-def pagination_closure(listing_links: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """All listing pages reachable from each seed.
+def pagination_closure(listing_links: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """All listing pages reachable from each seed, until no new page comes.
 
     ``listing_links``: ``seed_id, page_canon, target``; ``seeds``: ``seed_id,
     seed_canon``.

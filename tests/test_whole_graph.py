@@ -1,6 +1,11 @@
 """Sitemaps, closures and crawls beyond the sizes that used to be cut."""
 
+import re
+
+import __spark_entry__ as contract
 from pagequarry.operators import graph as G
+from pagequarry.plans.link_queries import seeds_view
+from pagequarry.plans.views import Tables
 from pagequarry.streaming import jobs as S
 
 SITE = "http://a.example.org"
@@ -32,3 +37,17 @@ def test_crawl_of_15_levels(spark, tmp_path):
     assert pick(G.reach(edges, roots, ["host"], max_depth=12)) == want[:13]
     S.resumable_reach(edges, roots, ["host"], f"{tmp_path}/r", max_depth=2)
     assert pick(S.resumable_reach(edges, roots, ["host"], f"{tmp_path}/r")) == want
+
+
+def test_pagination_of_all_categories_against_brute_force(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    seeds = {r["seed_url"] for r in seeds_view(t).collect()}
+    edges = {}
+    for url, html in ((r["url"], r["html"]) for r in t.html.select("url", "html").collect()):
+        listing = url.split("&id=")[0]
+        found = re.findall(r'href="/news/\?cid=(\d)&amp;page=(\d)"', html) + re.findall(r'name="cid" value="(\d)"><input name="page" value="(\d)"', html)
+        edges.setdefault(listing, set()).update(f"{listing}&page={page}" for cid, page in found if listing.endswith(f"cid={cid}"))
+    want = {(s, s, 0) for s in seeds} | {(s, n, 1) for s in seeds for n in edges.get(s, ())}
+    got = [(r["seed_url"], r["node"], r["depth"]) for r in contract.queries()["pagination_closure"](spark, t.sf_dir).collect()]
+    assert {s.rsplit("cid=", 1)[1] for s in seeds} == set("01234")
+    assert sorted(got) == sorted(want)
