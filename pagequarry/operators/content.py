@@ -229,8 +229,11 @@ def tidy_fragment(block: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, "\r\n", "\n"), "\n{3,}", "\n\n"))
 
 
-def page_text(html: Column, block: Column, title: Column) -> Column:
-    """Block text of 20+ characters, else the page body without furniture."""
+def page_text(html: Column, block: Column, title: Column, limit: int | None = None) -> Column:
+    """Block text of 20+ characters, else the page body without furniture.
+
+    ``limit``: characters kept (``fv.TEXT_LIMIT`` is usual); all if not given.
+    """
 
     def from_page(page: Column) -> Column:
         main = F.coalesce(
@@ -244,10 +247,8 @@ def page_text(html: Column, block: Column, title: Column) -> Column:
     quiet = F.regexp_replace(
         strip_scripts(html), r"(?i)<(?:nav|header|footer|aside|form)\b[\s\S]*?</(?:nav|header|footer|aside|form)>", " "
     )
-    return bind(
-        clean_text(block),
-        lambda t: F.substring(F.when(F.length(t) >= 20, t).otherwise(bind(quiet, from_page)), 1, fv.TEXT_LIMIT),
-    )
+    text = bind(clean_text(block), lambda t: F.when(F.length(t) >= 20, t).otherwise(bind(quiet, from_page)))
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def _replace_first(text: Column, part: Column) -> Column:

@@ -79,11 +79,10 @@ def content_blocks(t: Tables):
  q AS (SELECT page_id, t, {D.clean(D.sub(D.sub(D.sub('html', '<script(?s:.*?)</script>', ' '), '<style(?s:.*?)</style>', ' '), '<(?:nav|header|footer|aside|form)(?s:.*?)</(?:nav|header|footer|aside|form)>', ' '))} AS whole FROM b)
 SELECT page_id, length(t) >= 20 AS from_block, substr(CASE WHEN length(t) >= 20 THEN t ELSE '' END, 1, 50000) AS detail_text FROM q""")
 def page_text(t: Tables):
-    """Readable text of every page that has a long enough block."""
+    """Readable text of every page, from its block or else from its body."""
     rows = t.all_pages.withColumn("block", N.content_html(c("html")))
     rows = rows.select("page_id", N.clean_text(c("block")).alias("t"), N.page_text(c("html"), c("block"), F.lit("")).alias("txt"))
-    long_block = F.length("t") >= 20
-    return rows.select("page_id", long_block.alias("from_block"), F.when(long_block, c("txt")).otherwise("").alias("detail_text"))
+    return rows.select("page_id", (F.length("t") >= 20).alias("from_block"), c("txt").alias("detail_text"))
 
 
 @plan("""SELECT 'https://www.site' || (p_size % 10) || '.example.org/news/?cid=' || (p_size % 5) AS seed, max(p_size) AS declared, count(*) AS n_pages FROM part GROUP BY 1""")
