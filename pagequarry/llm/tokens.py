@@ -51,6 +51,7 @@ class PartEncoder:
     ``drops_space``: the tokenizer ignores white space and case, as
     ``word_bpe_49k.json`` does; otherwise it is byte-level and takes a blank
     with the word behind it, so texts with runs of white space are not cut.
+    Texts that may hold a special token, whose case counts, are not cut either.
     """
 
     def __init__(self, path: str, drops_space: bool):
@@ -87,13 +88,15 @@ class PartEncoder:
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
+        uncut = np.zeros(len(texts), dtype=bool)
+        text_of = lambda at: np.searchsorted(offsets, at, side="right") - 1
         if self.drops_space:
+            # the case of special tokens counts
+            uncut[text_of(np.flatnonzero((data[:-2] == ord("<")) & (data[1:-1] == ord("|")) & _LETTER[data[2:]]))] = True
             data = _LOWER[data]
         cut = _SPACE[data]
-        uncut = np.zeros(len(texts), dtype=bool)
         if not self.drops_space and len(data):
             pairs = np.flatnonzero(cut[1:] & cut[:-1]) + 1
-            text_of = lambda at: np.searchsorted(offsets, at, side="right") - 1
             pairs = pairs[text_of(pairs) == text_of(pairs - 1)]
             uncut[text_of(np.r_[pairs, _odd_spaces(data)])] = True
         cut[1:] |= _POINT[data[1:]] & _LETTER[data[:-1]]
