@@ -15,6 +15,7 @@ from pagequarry.llm import (
     jaccard_join,
     line_crf,
     packing,
+    phrases,
     piece_lattice,
     token_store,
     toxicity,
@@ -90,3 +91,8 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(url_cascade.SQL)
 def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judged_urls(table(spark, sf_dir, "pages"))
+
+
+@query(phrases.SQL)
+def op11_collocation_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

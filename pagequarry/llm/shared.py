@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -36,7 +36,10 @@ def ship(spark: SparkSession) -> None:
         return
     _SHIPPED.add(app)
     root = Path(pagequarry.__file__).parent.parent
-    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/pagequarry", "zip", root, "pagequarry")
+    archive = f"{tempfile.mkdtemp(prefix='spark-')}/pagequarry.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.glob("pagequarry/**/*.py")):
+            out.write(file, file.relative_to(root))
     spark.sparkContext.addPyFile(archive)
 
 
