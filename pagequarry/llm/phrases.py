@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagequarry.llm.gather import combined, summed_rows
 from pagequarry.llm.labelled import runs, text_bytes
 from pagequarry.llm.shared import ship, written
 from pagequarry.llm.tokens import sliced
@@ -34,8 +35,8 @@ LONGEST = 5
 KEY_BITS, FILTER_BITS = 16, 1 << 28
 #: First pairs that start more than this share of all pairs; their windows are dealt out by all their words.
 HOT_SHARE = 1 / 1000
-#: Bytes of text read at a time; rows and bytes that a task gathers before it counts them.
-SLICE, GATHER_ROWS, GATHER_BYTES = 4 << 20, 1 << 21, 48 << 20
+#: Bytes of text read at a time.
+SLICE = 4 << 20
 
 _SEP = 9
 _BLANK = np.zeros(256, dtype=bool)
@@ -100,15 +101,17 @@ class Words:
         self.reach = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n)
         size = end - first
         self.begin = np.r_[0, np.cumsum(size + 1)]
-        inside = np.arange(self.begin[-1]) - np.repeat(self.begin[:-1], size + 1)
-        last = inside == np.repeat(size, size + 1)
-        self.flat = data[np.minimum(np.repeat(first, size + 1) + inside, max(len(data) - 1, 0))]
-        self.flat[last] = _SEP
+        inside = np.arange(self.begin[-1], dtype=np.int32) - np.repeat(self.begin[:-1].astype(np.int32), size + 1)
+        at = np.repeat(first.astype(np.int32), size + 1) + inside
+        # the byte behind the last word may be behind the last text
+        self.flat = data.take(at, mode="clip") if len(data) else np.zeros(0, dtype=np.uint8)
+        self.flat[self.begin[1:] - 1] = _SEP
         coded = pa.array([_escaped_lang(x) for x in batch.column("lang").to_pylist()], pa.string()).dictionary_encode()
         self.langs = coded.dictionary
         self.lang = coded.indices.to_numpy(zero_copy_only=False)[row] if n else np.zeros(0, dtype=np.int32)
         power = np.cumprod(np.r_[np.uint64(1), np.full(int(size.max(initial=0)), _ODD[0], dtype=np.uint64)])
-        total = np.r_[np.uint64(0), np.cumsum((self.flat.astype(np.uint64) + np.uint64(7)) * power[inside], dtype=np.uint64)]
+        total = np.zeros(len(inside) + 1, dtype=np.uint64)
+        np.cumsum((self.flat + np.uint64(7)) * power[inside], out=total[1:])
         seeds = np.array([int.from_bytes(x.encode(), "little") % (2**61 - 1) for x in self.langs.to_pylist()] or [0], dtype=np.uint64)
         self.hash = _mixed(total[self.begin[1:]] - total[self.begin[:-1]] + _mixed(seeds)[self.lang] * _ODD[1])
 
@@ -127,30 +130,6 @@ class Words:
         return pa.DictionaryArray.from_arrays(pa.array(self.lang[at], pa.int32()), self.langs).cast(pa.string())
 
 
-def _sums(table: pa.Table) -> pa.Table:
-    keys = [c for c in table.column_names if c != "n"]
-    return table.group_by(keys).aggregate([("n", "sum")]).select([*keys, "n_sum"]).rename_columns([*keys, "n"])
-
-
-def _combined(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
-    """Rows with equal keys added up, as far as bounded memory goes; sorted, as sorted rows are stored small."""
-    held: list[pa.Table] = []
-    fresh = 0
-
-    def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield from table.sort_by([(c, "ascending") for c in table.column_names if c != "n"]).combine_chunks().to_batches(max_chunksize=65_536)
-
-    for table in tables:
-        held.append(table)
-        fresh += table.num_rows
-        if fresh >= GATHER_ROWS // 2 or sum(t.nbytes for t in held) >= GATHER_BYTES:
-            held, fresh = [_sums(pa.concat_tables(held))], 0
-            if held[0].num_rows >= GATHER_ROWS // 2 or held[0].nbytes >= GATHER_BYTES // 2:
-                yield from out(held.pop())
-    if held:
-        yield from out(_sums(pa.concat_tables(held)))
-
-
 def _ones(n: int) -> pa.Array:
     return pa.array(np.ones(n, dtype=np.int64))
 
@@ -162,9 +141,9 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             every = np.arange(len(words.hash))
             texts = words.strings(every, np.ones(len(every), dtype=np.int64)).cast(pa.string())
             rows = pa.table({"lang": words.lang_of(every), "key": texts, "hash": pa.array(words.hash.view(np.int64)), "n": _ones(len(every))})
-            yield _sums(rows)
+            yield summed_rows(rows)
 
-    yield from _combined(tables())
+    yield from combined(tables())
 
 
 class HashFilter:
@@ -209,7 +188,7 @@ def _pair_counts(rows: DataFrame, common: HashFilter) -> DataFrame:
                 hashes, n = np.unique(words.pair_hash(_pairs_of(words, shared.value)).view(np.int64), return_counts=True)
                 yield pa.table({"hash": pa.array(hashes), "n": pa.array(n, pa.int64())})
 
-        yield from _combined(tables())
+        yield from combined(tables())
 
     return rows.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
@@ -244,9 +223,9 @@ def _windows(rows: DataFrame, common: HashFilter, pairs: HashFilter, hot: np.nda
                 part = np.where(is_hot, whole, first).view(np.int64)
                 texts = words.strings(at, more + 1).cast(pa.string())
                 keys = pc.binary_join_element_wise(words.lang_of(at), texts, "\t")
-                yield _sums(pa.table({"part": pa.array(part), "key": keys, "hot": pa.array(is_hot), "n": _ones(len(at))}))
+                yield summed_rows(pa.table({"part": pa.array(part), "key": keys, "hot": pa.array(is_hot), "n": _ones(len(at))}))
 
-        yield from _combined(tables())
+        yield from combined(tables())
 
     return rows.mapInArrow(cut, "part long, key string, hot boolean, n long")
 

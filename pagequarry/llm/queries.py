@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm import (
+    bpe_replay,
     exact_dedup,
     host_rules,
     html_tree,
@@ -19,6 +20,7 @@ from pagequarry.llm import (
     piece_lattice,
     token_store,
     toxicity,
+    turn_trie,
     url_cascade,
 )
 from pagequarry.llm.shared import new_folder, table
@@ -96,3 +98,14 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(phrases.SQL)
 def op11_collocation_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_replay.digests(bpe_replay.encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+
+
+@query(turn_trie.SQL)
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.conversation_trie(table(spark, sf_dir, "conversations"))
