@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 #: Rows and bytes that a task gathers before it adds up equal ones.
-ROWS, BYTES = 1 << 20, 48 << 20
+ROWS, BYTES = 1 << 21, 96 << 20
 
 
 def summed_rows(table: pa.Table) -> pa.Table:

@@ -36,7 +36,7 @@ KEY_BITS, FILTER_BITS = 16, 1 << 28
 #: First pairs that start more than this share of all pairs; their windows are dealt out by all their words.
 HOT_SHARE = 1 / 1000
 #: Bytes of text read at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 _SEP = 9
 _BLANK = np.zeros(256, dtype=bool)
