@@ -115,6 +115,7 @@ ASSET_CLASSES = [
     ),
 ]
 CRAWL_LIMITS = {"max_pages": 1000, "max_assets": 10000, "max_depth": 12, "max_file_mb": 500}
+SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml"]
 SITEMAP_LIMITS = {"max_maps": 30, "max_urls": 5000}
 
 # --- media (fixed values) ---------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions import urls as U
@@ -200,10 +200,56 @@ def missing_ids(seeds: DataFrame, details: DataFrame, cap: int | None = None) ->
     return ids.join(details, ["seed", "detail_id"], "left_anti")
 
 
-def scan_hits(pages: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Scanned pages that mention their seed's category."""
-    wanted = F.concat(F.lit("(?i)news\\.php\\?cat_id=\\Q"), F.col("cat_id"), F.lit("\\E"))
-    return pages.join(seeds.select("seed", "cat_id"), "seed").where(F.regexp_like("html", wanted)).drop("cat_id")
+def id_gap_ranges(seeds: DataFrame, details: DataFrame, cap: int | None = None, ranges: int | None = None) -> DataFrame:
+    """(seed, first, last): the runs of ids to probe per seed that declares more records than were found.
+
+    Ids run from 1 to ``cap``, or to the largest id seen; a seed without either
+    has no runs.  Ids are sorted over the cluster by ranges; a gap lies between
+    neighbours inside a range or between the ends of ranges, so neither a hot
+    seed nor a far id is spelled out or gathered.
+    """
+    n = ranges or int(details.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = details.where("detail_id >= 1").select("seed", F.col("detail_id").cast("bigint").alias("detail_id")).distinct()
+    found = details.groupBy("seed").agg(F.count_distinct("detail_id").alias("found"), F.max("detail_id").alias("max_id"))
+    short = seeds.join(found, "seed", "left").where("has_category AND declared > coalesce(found, 0)")
+    short = short.select("seed", F.coalesce(F.lit(cap), "max_id").cast("bigint").alias("top")).where("top >= 1")
+    dealt = cut_lineage(ids.join(short, "seed").repartitionByRange(n, "seed", "detail_id").withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range", "seed").orderBy("detail_id")
+    near = dealt.select("seed", "top", F.lag("detail_id").over(inside).alias("before"), F.col("detail_id").alias("after")).where("before IS NOT NULL")
+    # the first and last id of each range meet the neighbouring ranges of their seed: one row per seed and range
+    ends = dealt.groupBy("seed", "top", "_range").agg(F.min("detail_id").alias("lo"), F.max("detail_id").alias("hi"))
+    order = Window.partitionBy("seed", "top").orderBy("_range")
+    ends = ends.select("seed", "top", "lo", "hi", F.lag("hi", 1, 0).over(order).alias("earlier"), F.lead("lo").over(order).alias("later"))
+    between = ends.select("seed", "top", F.col("earlier").alias("before"), F.col("lo").alias("after"))
+    behind = ends.where("later IS NULL").select("seed", "top", F.col("hi").alias("before"), (F.col("top") + 1).alias("after"))
+    whole = short.join(ids.select("seed").distinct(), "seed", "left_anti").select("seed", "top", F.lit(0).alias("before"), (F.col("top") + 1).alias("after"))
+    gaps = near.unionByName(between).unionByName(behind).unionByName(whole)
+    return gaps.select("seed", (F.col("before") + 1).alias("first"), F.least(F.col("after") - 1, "top").alias("last")).where("first <= last")
+
+
+#: Longest category id that a mention is compared with.
+CATEGORY_ID_CHARS = 64
+
+
+def scan_readmitted(scanned: DataFrame, seeds: DataFrame, details: DataFrame) -> DataFrame:
+    """(seed, detail_id, url): scanned pages that name their seed's category and were not known before.
+
+    ``scanned``: ``detail_id, url, html``; ``seeds``: ``seed, cat_id``;
+    ``details``: ``seed, detail_id``.  A page names a category if the category's
+    id stands behind ``cat_id=``, whatever follows.  The beginnings of what
+    stands there, at the lengths that category ids have, are keys; they leave
+    the page's row, its text does not.
+    """
+    wanted = seeds.where("cat_id <> ''").select("seed", F.lower("cat_id").alias("cat_key")).distinct()
+    longest = f"(?i)news\\.php\\?cat_id=(?=([\\s\\S]{{0,{CATEGORY_ID_CHARS}}}))"
+    lengths = wanted.agg(F.collect_set(F.char_length("cat_key"))).first()[0]  # at most CATEGORY_ID_CHARS numbers count
+    if any(n > CATEGORY_ID_CHARS for n in lengths):
+        raise ValueError(f"category ids of more than {CATEGORY_ID_CHARS} characters")
+    named = F.transform(F.regexp_extract_all("html", F.lit(longest), F.lit(1)), lambda m: F.lower(m))
+    keys = F.array_distinct(F.flatten(F.transform(named, lambda m: F.array(*[F.substring(m, 1, n) for n in sorted(lengths)])))) if lengths else F.array().cast("array<string>")
+    rows = scanned.select("detail_id", "url", F.explode(keys).alias("cat_key"))
+    hits = rows.join(wanted, "cat_key").select("seed", "detail_id", "url").distinct()
+    return hits.join(details.select("seed", "detail_id").distinct(), ["seed", "detail_id"], "left_anti")
 
 
 def missing_files(recorded: DataFrame, listing: DataFrame) -> DataFrame:

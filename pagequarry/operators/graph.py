@@ -8,6 +8,8 @@ folder), so plans stay short and a lost executor costs one level at most.
 from __future__ import annotations
 
 import itertools
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ from pagequarry.functions.text import clean_text, matches
 from pagequarry.operators.extract import css_urls
 from pagequarry.operators.ordinals import with_ordinal
 from pagequarry.operators.policy import is_public_page
-from pagequarry.session import cut_lineage
+from pagequarry.session import cut_lineage, work_dir
+from pagequarry.sources.buckets import BucketStore, KnownKeys
 
 
 def reach(edges: DataFrame, roots: DataFrame, keys: list[str], max_depth: int | None = None) -> DataFrame:
@@ -47,6 +50,64 @@ def reach(edges: DataFrame, roots: DataFrame, keys: list[str], max_depth: int |
     return known
 
 
+def captured_links(hrefs: DataFrame) -> DataFrame:
+    """(src, dst): public links of captured pages to pages of the same site.
+
+    ``hrefs``: ``url`` (the page) and ``href``; both ends are canonical.
+    """
+    pairs = hrefs.select(U.crawl_canonical(F.col("url")).alias("src"), U.crawl_canonical(F.col("href")).alias("dst"))
+    inside = (F.col("dst") != "") & (F.col("src") != F.col("dst")) & (U.site(F.col("src")) == U.site(F.col("dst")))
+    return pairs.where(inside & is_public_page(F.col("dst"))).distinct()
+
+
+def crawl(
+    links: DataFrame, roots: DataFrame, listed: DataFrame | None = None, folder: str | None = None, max_depth: int | None = None
+) -> DataFrame:
+    """Pages reached over captured links: ``node, depth, discovered_from``.
+
+    ``links``: ``src, dst``; ``roots``: ``node``; ``listed``: ``node``, pages
+    that a sitemap names, which enter at depth 1 as found by ``sitemap``.  A
+    page's depth is its first level, its discoverer the smallest page of the
+    level before.  Levels are followed until one is empty, unless ``max_depth``
+    is given.
+
+    Links and known pages are tables with the same buckets, so a level moves
+    only the links that its own pages have found.  With a ``folder`` the crawl
+    goes on behind the last level that was committed there, if its roots are
+    the same.
+    """
+    spark = links.sparkSession
+    store = BucketStore(spark, folder or f"{work_dir(spark).rstrip('/')}/crawl-{uuid.uuid4().hex}")
+    start = roots.select("node").where("node <> ''").distinct()
+    if "roots" in store:
+        before = store.load("roots")
+        if not (before.exceptAll(start).isEmpty() and start.exceptAll(before).isEmpty()):
+            raise ValueError(f"{store.folder} holds a crawl with other roots")
+    else:
+        store.save(start, "roots", "node")
+    edges = store.load("links") if "links" in store else store.save(links.select("src", "dst").distinct(), "links", "src")
+    known, levels = KnownKeys(store, "node"), []
+    for depth in itertools.count() if max_depth is None else range(max_depth + 1):
+        name = f"level-{depth}"
+        if name not in store:
+            if depth == 0:
+                fresh = start.withColumn("discovered_from", F.lit(None).cast("string"))
+            else:
+                found = levels[-1].select(F.col("node").alias("src")).join(edges, "src")
+                found = found.select(F.col("dst").alias("node"), F.col("src").alias("discovered_from"), F.lit(1).alias("rank"))
+                if depth == 1 and listed is not None:
+                    entry = listed.select("node", F.lit("sitemap").alias("discovered_from"), F.lit(0).alias("rank")).where("node <> ''")
+                    found = found.unionByName(entry)
+                first = found.groupBy("node").agg(F.min(F.struct("rank", "discovered_from")).alias("first"))
+                fresh = known.unknown(first.select("node", "first.discovered_from"))
+            store.save(fresh.select("node", F.lit(depth).alias("depth"), "discovered_from"), name, "node")
+        if depth and not store.rows(name):
+            break
+        levels.append(store.load(name))
+        known.add(levels[-1], store.rows(name))
+    return reduce(DataFrame.unionByName, levels)
+
+
 def pagination_closure(listing_links: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All listing pages reachable from each seed, until no new page comes.
 
@@ -58,7 +119,7 @@ def pagination_closure(listing_links: DataFrame, seeds: DataFrame, max_depth: in
     return reach(edges, roots, ["seed_id"], max_depth)
 
 
-def css_closure(sheets: DataFrame, start: DataFrame, max_depth: int = 100) -> DataFrame:
+def css_closure(sheets: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Resources reachable through stylesheets: ``url, css`` and start URLs."""
     owner = sheets.withColumn("page_id", F.col("url"))
     edges = css_urls(owner).select(F.col("page_id").alias("src"), F.col("href").alias("dst"))
@@ -97,6 +158,11 @@ def sitemap_urls(maps: DataFrame, starts: DataFrame, max_maps: int | None = None
     return _first_pages(first, max_urls)
 
 
+def sitemap_starts(sites: DataFrame) -> DataFrame:
+    """``site, start_url, map_url``: the usual addresses of a site's map; ``sites``: ``site, start_url`` (its origin)."""
+    return sites.select("site", "start_url", F.explode(F.array(*[F.concat("start_url", F.lit(p)) for p in fv.SITEMAP_PATHS])).alias("map_url"))
+
+
 def reach_by_src(nested: DataFrame, roots: DataFrame) -> DataFrame:
     """Closure where only the roots know their site; ends when a level is empty."""
     nested = cut_lineage(nested.distinct())
@@ -147,16 +213,16 @@ def frontier(links: DataFrame, visited: DataFrame, resources: DataFrame) -> Data
 def page_caps(reached: DataFrame, cap: int, keys: list[str]) -> DataFrame:
     """First ``cap`` pages per key in discovery order (depth, then node).
 
-    ``node`` is numeric.  Whole levels pass or fail by their counts; only
-    the level that crosses the cap is ranked, block by block.
+    Whole levels pass or fail by their counts; only the level that crosses the
+    cap is ranked, range by range.
     """
     sizes = reached.groupBy(*keys, "depth").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("depth").rowsBetween(Window.unboundedPreceding, -1))
     room = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < cap)
     rows = reached.join(room, [*keys, "depth"])
-    ranked = with_ordinal(rows, [*keys, "depth"], "node", "_i")
-    kept = ranked.where(F.col("_i") + F.col("_before") <= cap)
-    return kept.select(*reached.columns, (F.col("_i") + F.col("_before")).alias("page_index"))
+    ranked = with_ordinal(rows.withColumnRenamed("_before", "_room"), [*keys, "depth"], "node", "_i")
+    kept = ranked.where(F.col("_i") + F.col("_room") <= cap)
+    return kept.select(*reached.columns, (F.col("_i") + F.col("_room")).alias("page_index"))
 
 
 def crawl_summary(pages: DataFrame, assets: DataFrame, queued: DataFrame) -> DataFrame:

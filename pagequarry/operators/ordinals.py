@@ -1,9 +1,10 @@
-"""Ordinals inside groups of any size.
+"""Ordinals inside groups of any size, by any order.
 
-``row_number`` over a window gathers a whole group in one task.  Here rows are
-first cut into blocks of a bounded width along their unique, numeric order
-column; a row's ordinal is its place inside its block plus the row counts of
-the group's earlier blocks.  No task sees more than one block of a group.
+``row_number`` over a window gathers a whole group in one task.  Here all rows
+are sorted over the cluster by ranges of (group, order).  A row's ordinal is its
+place among its group's rows of its range plus the group's rows in earlier
+ranges.  A range holds about as many rows as the others, whatever its groups'
+sizes and whether the order is a dense number, a hash or a text.
 """
 
 from __future__ import annotations
@@ -11,31 +12,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1_000_000
-
-
-def with_ordinal(df: DataFrame, keys: list[str], order: str, out: str, block: int = BLOCK) -> DataFrame:
-    """Add ``out``: 1-based place of the row in its group by ``order``."""
-    rows = df.withColumn("_block", F.floor(F.col(order) / block))
-    counts = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_ord_n"))
-    # one row per (group, block): small even for the largest group
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_block", F.coalesce(F.sum("_ord_n").over(earlier), F.lit(0)).alias("_ord_before"))
-    joined = rows.join(offsets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                                      F.col("_block").alias("_b"), "_ord_before"),
-                       (F.col("_block") == F.col("_b"))
-                       & _all_equal(keys))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order))
-    return joined.withColumn(out, (inside + F.col("_ord_before")).cast("bigint")).select(*df.columns, out)
-
-
-def _all_equal(keys: list[str]):
-    test = F.lit(True)
+from pagequarry.session import cut_lineage
+
+
+def with_ordinal(df: DataFrame, keys: list[str], order: str | list[str], out: str, ranges: int | None = None) -> DataFrame:
+    """Add ``out``: 1-based place of the row in its group by ``order``, nulls first.
+
+    Rows of one group and order get their places in any order; they lie in one
+    range.  Null keys are a group.
+    """
+    by = [order] if isinstance(order, str) else order
+    spark = df.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # stored, as the ranges are drawn from a sample and must not change between the two uses
+    dealt = cut_lineage(df.repartitionByRange(n, *keys, *by).withColumn("_ordinals_range", F.spark_partition_id()))
+    counts = dealt.groupBy(*keys, "_ordinals_range").agg(F.count(F.lit(1)).alias("_ordinals_rows"))
+    # one row per group and range that has rows of it
+    earlier = Window.partitionBy(*keys).orderBy("_ordinals_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *[F.col(k).alias(f"_ordinals_key{i}") for i, k in enumerate(keys)], F.col("_ordinals_range").alias("_ordinals_of"),
+        F.coalesce(F.sum("_ordinals_rows").over(earlier), F.lit(0)).alias("_ordinals_before"),
+    )
+    same = F.col("_ordinals_range") == F.col("_ordinals_of")
     for i, k in enumerate(keys):
-        test = test & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return test
-
-
-def first_in_order(df: DataFrame, keys: list[str], order: str, cap: int) -> DataFrame:
-    """The first ``cap`` rows of each group in ``order``, exactly."""
-    return with_ordinal(df, keys, order, "_ordinal").where(F.col("_ordinal") <= cap).drop("_ordinal")
+        same = same & F.col(k).eqNullSafe(F.col(f"_ordinals_key{i}"))
+    inside = F.row_number().over(Window.partitionBy("_ordinals_range", *keys).orderBy(*by))
+    placed = dealt.withColumn("_ordinals_inside", inside).join(offsets, same)
+    return placed.withColumn(out, (F.col("_ordinals_inside") + F.col("_ordinals_before")).cast("bigint")).select(*df.columns, out)

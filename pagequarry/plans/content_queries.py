@@ -9,6 +9,7 @@ from pagequarry.functions import urls as U
 from pagequarry.functions.text import bind
 from pagequarry.operators import classify as C
 from pagequarry.operators import content as N
+from pagequarry.operators import file_index as I
 from pagequarry.operators import extract as X
 from pagequarry.plans import duck as D
 from pagequarry.plans import views as V
@@ -149,19 +150,44 @@ def coverage(t: Tables):
 
 
 @plan(f"""WITH {_IDS}, s AS (SELECT category AS seed, max(detail_id) AS top, count(DISTINCT detail_id) AS found FROM ids GROUP BY 1),
-g AS (SELECT seed, unnest(range(1, CAST(top + 1 AS BIGINT))) AS detail_id FROM s WHERE CAST(substr(seed, 5) AS INT) % 4 = 0)
+g AS (SELECT seed, unnest(range(1, CAST(top + 1 AS BIGINT))) AS detail_id FROM s)
 SELECT seed, count(*) AS n_missing, min(detail_id) AS first_id, max(detail_id) AS last_id FROM g ANTI JOIN ids i ON i.category = g.seed AND i.detail_id = g.detail_id GROUP BY seed""")
 def id_gaps(t: Tables):
     """Ids still to be probed per category that is short of records."""
     details = t.ids.select(c("category").alias("seed"), "detail_id")
-    number = F.substring("seed", 5, 10).cast("int")
-    seeds = details.groupBy("seed").agg((F.count("*") + 1).alias("declared")).withColumn("has_category", number % 4 == 0)
-    from pagequarry.operators.file_index import missing_ids
-
-    gaps = missing_ids(seeds, details)
+    seeds = details.groupBy("seed").agg((F.count("*") + 1).alias("declared")).withColumn("has_category", F.lit(True))
+    gaps = I.missing_ids(seeds, details)
     return gaps.groupBy("seed").agg(F.count("*").alias("n_missing"), F.min("detail_id").alias("first_id"), F.max("detail_id").alias("last_id"))
 
 
+# one seed has an id far from all others
+_FAR = "SELECT seed, detail_id FROM (SELECT category AS seed, detail_id FROM ids) UNION ALL SELECT 'cat_3', 900000000000000000"
+
+
+@plan(f"""WITH {_IDS}, d AS ({_FAR}), n AS (SELECT seed, detail_id AS after, lag(detail_id, 1, 0) OVER (PARTITION BY seed ORDER BY detail_id) AS before FROM (SELECT DISTINCT * FROM d))
+SELECT seed, CAST(before + 1 AS BIGINT) AS first, CAST(after - 1 AS BIGINT) AS last FROM n WHERE after - before > 1""")
+def id_gap_ranges(t: Tables):
+    """Runs of ids still to be probed, per category that is short of records."""
+    details = t.ids.select(c("category").alias("seed"), "detail_id")
+    far = t.spark.sql("SELECT 'cat_3' AS seed, 900000000000000000L AS detail_id")
+    details = details.unionByName(far)
+    seeds = details.groupBy("seed").agg((F.count("*") + 1).alias("declared")).withColumn("has_category", F.lit(True))
+    return I.id_gap_ranges(seeds, details)
+
+
+_NAMED = "concat(html, '<a href=\"/NEWS.php?cat_id=', CAST(page_id % 23 AS {0}), '&p=1\">a</a><a href=\"news.php?cat_id=', CAST(page_id % 7 AS {0}), '\">b</a>')"
+
+
+@plan(f"""WITH {_IDS}, s AS (SELECT DISTINCT category AS seed, substr(category, 5) AS cat_id FROM ids), h AS (SELECT page_id AS detail_id, url, lower({_NAMED.format('VARCHAR')}) AS html FROM pages)
+SELECT seed, detail_id, url FROM h JOIN s ON contains(html, 'news.php?cat_id=' || cat_id) ANTI JOIN ids i ON i.category = s.seed AND i.detail_id = h.detail_id""")
+def scan_readmitted(t: Tables):
+    """Scanned pages that name a category and are not among its records."""
+    details = t.ids.select(c("category").alias("seed"), "detail_id")
+    seeds = details.select("seed", F.substring("seed", 5, 10).alias("cat_id")).distinct()
+    scanned = t.pages.select(c("page_id").alias("detail_id"), "url", F.expr(_NAMED.format("STRING")).alias("html"))
+    return I.scan_readmitted(scanned, seeds, details)
+
+
 @plan("""SELECT o_custkey % 50 AS seed, o_orderkey % 7 + 1 AS page_no, o_orderkey AS pos, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey % 7, o_orderkey) AS listing_pos FROM orders""")
 def listing_order(t: Tables):
     """Place of each record in its seed's listing order."""

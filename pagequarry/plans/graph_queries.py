@@ -18,38 +18,51 @@ from pagequarry.plans.registry import plan
 from pagequarry.plans.views import Tables
 
 c = F.col
-_EDGES = f"edges AS ({V.EDGES})"
-_REACH = f"""{_EDGES}, roots AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS host, min(page_id) AS node FROM pages GROUP BY 1),
-walk(host, node, depth, parent) AS (SELECT host, node, 0, CAST(NULL AS BIGINT) FROM roots UNION ALL
-  SELECT e.host, e.dst, w.depth + 1, w.node FROM walk w JOIN edges e ON e.host = w.host AND e.src = w.node WHERE w.depth < 12),
-reached AS (SELECT host, node, min(depth) AS depth, arg_min(parent, CAST(depth AS BIGINT) * 1000000000 + coalesce(parent, 0)) AS discovered_from FROM walk GROUP BY host, node)"""
-
-
-def _reached(t: Tables):
-    host = F.regexp_extract("url", "://([^/]+)", 1)
-    roots = t.pages.groupBy(host.alias("host")).agg(F.min("page_id").alias("node")).withColumn("depth", F.lit(0))
-    return G.reach(t.edges, roots, ["host"])
-
-
-@plan(f"WITH RECURSIVE {_REACH} SELECT host, node, depth, discovered_from FROM reached")
+# every raw page is listed by its host's sitemap; the first page of each site, by address, is its root
+_REACH = f"""{D.HREFS}, own AS (SELECT DISTINCT {D.crawl_canonical('url')} AS node, page_id >= 0 AS listed FROM all_pages),
+roots AS (SELECT {D.site('node')} AS site, min(node) AS node FROM own GROUP BY 1),
+links AS (SELECT DISTINCT src, dst FROM (SELECT {D.crawl_canonical('url')} AS src, {D.crawl_canonical('href')} AS dst FROM hrefs WHERE href IS NOT NULL)
+  WHERE dst <> '' AND src <> dst AND {D.site('src')} = {D.site('dst')} AND {D.public_page('dst')}),
+e AS (SELECT src, dst, 1 AS rank, src AS via FROM links UNION ALL
+  SELECT r.node, o.node, 0, 'sitemap' FROM own o JOIN roots r ON r.site = {D.site('o.node')} WHERE o.listed AND {D.public_page('o.node')}),
+reached(node, depth, discovered_from) USING KEY (node) AS (SELECT node, 0, CAST(NULL AS VARCHAR) FROM roots UNION
+  SELECT e.dst, w.depth + 1, arg_min(e.via, e.rank || e.via) FROM reached w JOIN e ON e.src = w.node
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.reached k WHERE k.node = e.dst) GROUP BY e.dst, w.depth + 1)"""
+
+
+def crawl_inputs(t: Tables):
+    """(links, roots, listed) of the captured pages and their sites' sitemaps."""
+    pages = t.all_pages.select("page_id", "url", "html")
+    own = pages.select(U.crawl_canonical(c("url")).alias("node"))
+    roots = own.groupBy(U.site(c("node")).alias("site")).agg(F.min("node").alias("node"))
+    starts = t.pages.select(U.site(c("url")).alias("site"), U.origin(c("url")).alias("start_url")).distinct()
+    listed = G.sitemap_urls(t.view(SITEMAPS, "pages"), G.sitemap_starts(starts)).select(c("loc").alias("node"))
+    return G.captured_links(X.page_hrefs(pages)), roots, listed
+
+
+@plan(f"WITH RECURSIVE {_REACH} SELECT node, CAST(depth AS INTEGER) AS depth, discovered_from FROM reached")
 def crawl_reach(t: Tables):
-    """Depth and discoverer of every page reachable from its host's root."""
-    return _reached(t)
+    """Depth and discoverer of every page reachable over captured links and sitemaps."""
+    return G.crawl(*crawl_inputs(t))
 
 
-@plan(f"""WITH RECURSIVE {_REACH}, r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY depth, node) AS page_index FROM reached) SELECT host, node, depth, page_index FROM r WHERE page_index <= 5""")
+@plan(f"""WITH RECURSIVE {_REACH}, r AS (SELECT {D.site('node')} AS site, node, CAST(depth AS INTEGER) AS depth FROM reached), n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY depth, node) AS page_index FROM r)
+SELECT site, node, depth, page_index FROM n WHERE page_index <= 5""")
 def page_caps(t: Tables):
-    """First pages per host in discovery order."""
-    return G.page_caps(_reached(t), 5, ["host"]).select("host", "node", "depth", "page_index")
+    """First pages per site in discovery order."""
+    reached = G.crawl(*crawl_inputs(t)).withColumn("site", U.site(c("node")))
+    return G.page_caps(reached, 5, ["site"]).select("site", "node", "depth", "page_index")
 
 
 @plan(f"""WITH RECURSIVE {_NAV_HTML}, {_SEEDS}, j AS (SELECT DISTINCT s.seed_url, {D.canonical('s.seed_url')} AS seed_canon, {D.canonical('n.url')} AS page_canon, n.canon, {D.pick('n.canon', ['cid'])} AS got, s.cid
-   FROM nav n JOIN seeds s ON {D.site('n.url')} = {D.site('s.seed_url')} WHERE s.cid IN ('0', '1') AND {D.path('n.canon')} = '/news/' AND {D.site('n.canon')} = {D.site('s.seed_url')}
+   FROM nav n JOIN seeds s ON {D.site('n.url')} = {D.site('s.seed_url')} WHERE {D.path('n.canon')} = '/news/' AND {D.site('n.canon')} = {D.site('s.seed_url')}
    AND {D.pick('n.canon', ['id'])} IS NULL),
  l AS (SELECT DISTINCT seed_url, page_canon, canon AS target FROM j WHERE got = cid AND (canon = seed_canon OR {D.pick('canon', ['page'])} IS NOT NULL)),
  e AS (SELECT DISTINCT seed_url, regexp_replace(page_canon, '&id=[0-9]+', '') AS src, target AS dst FROM l),
- w(seed_url, node, depth) AS (SELECT DISTINCT seed_url, {D.canonical('seed_url')}, 0 FROM seeds WHERE cid IN ('0', '1') UNION SELECT w.seed_url, e.dst, w.depth + 1 FROM w JOIN e ON e.seed_url = w.seed_url AND e.src = w.node WHERE w.depth < 3)
-SELECT seed_url, node, min(depth) AS depth FROM w GROUP BY ALL""")
+ w(seed_url, node, depth) USING KEY (seed_url, node) AS (SELECT DISTINCT seed_url, {D.canonical('seed_url')}, 0 FROM seeds UNION
+  SELECT DISTINCT w.seed_url, e.dst, w.depth + 1 FROM w JOIN e ON e.seed_url = w.seed_url AND e.src = w.node
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.w k WHERE k.seed_url = w.seed_url AND k.node = e.dst))
+SELECT seed_url, node, depth FROM w""")
 def pagination_closure(t: Tables):
     """Listing pages reachable from each seed through pagination links."""
     pages = t.html.selectExpr("-page_id - 1 AS page_id", "url", "html")
@@ -89,8 +102,8 @@ SELECT DISTINCT site, loc FROM p WHERE {D.public_page('loc')}""")
 def sitemap_urls(t: Tables):
     """Public pages listed by each site's sitemaps."""
     maps = t.view(SITEMAPS, "pages")
-    starts = t.pages.select(U.site(c("url")).alias("site"), F.concat(U.origin(c("url")), F.lit("/sitemap.xml")).alias("map_url")).distinct()
-    return G.sitemap_urls(maps, starts)
+    starts = t.pages.select(U.site(c("url")).alias("site"), U.origin(c("url")).alias("start_url")).distinct()
+    return G.sitemap_urls(maps, G.sitemap_starts(starts))
 
 
 @plan(f"""WITH {D.HREFS}, {D.anchors('all_pages')} SELECT DISTINCT page_id, link FROM (SELECT page_id, {D.crawl_canonical('href')} AS link FROM hrefs WHERE href IS NOT NULL UNION ALL

@@ -70,15 +70,6 @@ SELECT p_partkey AS seq, concat('file_', CAST(p_size AS VARCHAR(20))) AS file_na
 FROM part
 """
 
-EDGES = """
-SELECT p.host, p.page_id AS src, c.page_id AS dst
-FROM (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host,
-             row_number() OVER (PARTITION BY regexp_extract(url, '://([^/]+)', 1) ORDER BY page_id) AS n FROM pages) p
-JOIN (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host,
-             row_number() OVER (PARTITION BY regexp_extract(url, '://([^/]+)', 1) ORDER BY page_id) AS n FROM pages) c
-  ON p.host = c.host AND p.n = CAST(floor(c.n / 2.0) AS BIGINT)
-"""
-
 REGISTRY = """
 SELECT p_partkey AS seq, p_brand AS table_name, p_name AS full_title,
        concat('https://', lower(p_type), '.example.org/?cat_id=', CAST(p_size AS VARCHAR(20))) AS source_url
@@ -139,12 +130,10 @@ class Tables:
         return self.built_pages(HTML)
 
     def built_pages(self, sql: str) -> DataFrame:
-        """Pages built from ``part``; a single small input file is spread
-        over the cores first, while its rows are still a few bytes each."""
+        """Pages built from ``part``, whose few files are spread over the
+        cores first, while the rows are still a few bytes each."""
         rows, cores = self.table("part"), self.spark.sparkContext.defaultParallelism
-        if rows.rdd.getNumPartitions() < cores:
-            rows = rows.repartition(cores, "p_partkey")
-        rows.createOrReplaceTempView("part_rows")
+        rows.repartition(cores, "p_partkey").createOrReplaceTempView("part_rows")
         return self.view(sql.replace("FROM part", "FROM part_rows"))
 
     @property
@@ -176,10 +165,6 @@ class Tables:
     def bodies(self) -> DataFrame:
         return self.view(BODIES, "part")
 
-    @property
-    def edges(self) -> DataFrame:
-        return self.view(EDGES, "pages")
-
     @property
     def registry(self) -> DataFrame:
         return self.view(REGISTRY, "part")

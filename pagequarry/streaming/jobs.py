@@ -1,12 +1,12 @@
 """Structured Streaming jobs: incremental index, audit, crawl, registry.
 
 Batches write to ``<folder>/batch=<id>`` with overwrite, so a batch that is
-retried after a failure replaces its own output and nothing else.
+retried after a failure replaces its own output and nothing else.  What a job
+remembers is a keyed table: a batch reads the buckets of its own keys.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,7 @@ from pagequarry.operators import audit as A
 from pagequarry.operators import file_index as X
 from pagequarry.operators.extract import page_hrefs
 from pagequarry.sources import sinks
+from pagequarry.sources.keyed import KeyedTable
 
 
 def table_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
@@ -35,69 +36,123 @@ def _run(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None],
     return query
 
 
-def _earlier(spark: SparkSession, folder: str, batch_id: int, like: DataFrame) -> DataFrame:
-    """Output of the batches before this one (empty at the first)."""
-    if batch_id == 0:
-        return like.limit(0)
-    return spark.read.schema(like.schema).option("basePath", folder).parquet(
-        *[f"{folder}/batch={i}" for i in range(batch_id)]
-    )
+def _index_table(spark: SparkSession, folder: str) -> KeyedTable:
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sinks.target_schema("file_index").fields)
+    return KeyedTable(spark, f"{folder}/index", f"kind string, lookup string, {columns}", ["kind", "lookup"])
 
 
 def index_stream(fetched: DataFrame, folder: str) -> StreamingQuery:
     """Each arriving file: new, known by URL, or known by content.
 
-    ``fetched`` has the file-index columns.  The index is looked up by three
-    keys, so it is a dataset rather than keyed state.
+    ``fetched`` has the file-index columns.  The index holds one row per lookup
+    key; a batch reads and rewrites the buckets of its own keys.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch = batch.persist()
-        index = _earlier(spark, f"{folder}/index", batch_id, sinks.conform(batch, "file_index"))
-        judged = X.batch_lookup(batch, index).persist()
+        table = _index_table(batch.sparkSession, folder)
+        conformed = sinks.conform(batch, "file_index")
+        known = table.touched(X.index_keys(conformed).select("kind", "lookup"), batch_id)
+        judged = X.batch_lookup(batch, known.drop("kind", "lookup").dropDuplicates(["seq"])).persist()
         judged.write.mode("overwrite").parquet(f"{folder}/results/batch={batch_id}")
         # a repeated file is registered where it is stored, not where its copy would have gone
         kept = judged.withColumn("local_path", F.coalesce("stored_path", "local_path"))
-        sinks.conform(X.register(kept), "file_index").write.mode("overwrite").parquet(f"{folder}/index/batch={batch_id}")
+        fresh = X.index_keys(sinks.conform(X.register(kept), "file_index"))
+        every = known.unionByName(fresh)
+        record = F.struct(*[c for c in every.columns if c not in ("kind", "lookup")])
+        latest = every.groupBy("kind", "lookup").agg(F.max_by(record, "seq").alias("r")).select("kind", "lookup", "r.*")
+        table.commit(latest, batch_id)
         judged.unpersist()
         batch.unpersist()
 
     return _run(fetched, folder, each)
 
 
+def _winners_table(spark: SparkSession, folder: str) -> KeyedTable:
+    return KeyedTable(spark, f"{folder}/winners", "file_key string, status string, seq long, n_references long", ["file_key"])
+
+
+def _measured(winners: DataFrame) -> dict[str, int]:
+    row = winners.agg(*A._measures(F.col("status"), F.col("n_references"))).first()
+    return {name: value or 0 for name, value in row.asDict().items()}
+
+
 def audit_winners_stream(audit: DataFrame, folder: str) -> StreamingQuery:
-    """Unique-file records as streaming state; every batch logs what changed."""
-    rank = F.struct(A.status_priority(F.col("status")), -F.col("seq"))
-    keyed = audit.withColumn("file_key", A.file_key(audit))
-    winners = keyed.groupBy("file_key").agg(
-        F.max_by("status", rank).alias("status"), F.max_by("seq", rank).alias("seq"), F.count("*").alias("n_references")
-    )
+    """Unique-file records and their measures, kept current batch by batch.
 
-    def each(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
+    A batch changes the records of its own files.  The measures are sums over
+    records, so the totals change by what the touched records add now less what
+    they added before: a batch reads one row of totals and its own buckets.
+    """
 
-    return _run(winners, folder, each, mode="update")
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rank = F.struct(A.status_priority(F.col("status")), -F.col("seq"))
+        rows = batch.select(A.file_key(batch).alias("file_key"), "status", "seq", F.lit(1).cast("long").alias("n_references")).persist()
+        table = _winners_table(spark, folder)
+        before = table.touched(rows, batch_id)
+        after = before.unionByName(rows).groupBy("file_key").agg(
+            F.max_by("status", rank).alias("status"), F.max_by("seq", rank).alias("seq"), F.sum("n_references").alias("n_references")
+        ).persist()
+        less, more = _measured(before), _measured(after)
+        old = dict.fromkeys(more, 0)
+        if batch_id:
+            old = spark.read.parquet(f"{folder}/totals/batch={batch_id - 1}").first().asDict()
+        totals = spark.createDataFrame([tuple(old[k] + more[k] - less[k] for k in more)], ", ".join(f"{k} long" for k in more))
+        totals.write.mode("overwrite").parquet(f"{folder}/totals/batch={batch_id}")
+        table.commit(after, batch_id)
+        after.unpersist()
+        rows.unpersist()
+
+    return _run(audit, folder, each)
 
 
 def live_audit_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Audit measures as of the last batch: newest change per file."""
-    log = spark.read.parquet(f"{folder}/changes")
-    latest = log.groupBy("file_key").agg(F.max_by(F.struct("status", "n_references"), "batch").alias("w")).select("w.*")
-    return latest.groupBy().agg(*A._measures(F.col("status"), F.col("n_references")))
+    """Audit measures as of the last batch: one stored row."""
+    every = spark.read.option("basePath", f"{folder}/totals").parquet(f"{folder}/totals")
+    return every.where(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
 
 
 def first_per_key_stream(audit: DataFrame, folder: str, delay: str = "30 days") -> StreamingQuery:
-    """First row per run and file; the watermark bounds the state."""
-    keyed = audit.withColumn("checked_at", F.col("checked_at").cast("timestamp")).withColumn("file_key", U.asset_key(F.col("file_url")))
-    once = keyed.withWatermark("checked_at", delay).dropDuplicatesWithinWatermark(["run_id", "file_key"])
-    query = (
-        once.select("run_id", "file_key").writeStream.outputMode("append").format("parquet")
-        .option("checkpointLocation", f"{folder}/_offsets").option("path", f"{folder}/first")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return query
+    """First row, by time, per run and file, whatever order the rows arrive in.
+
+    The firsts are a keyed table, so a row of any age still counts.  Rows that
+    arrive more than ``delay`` behind the newest time of the batches before are
+    also reported under ``late``, with whether they are now their file's first.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(
+            "run_id", U.asset_key(F.col("file_url")).alias("file_key"), F.col("checked_at").cast("timestamp").alias("checked_at"), "seq"
+        ).persist()
+        table = KeyedTable(spark, f"{folder}/first", "run_id string, file_key string, checked_at timestamp, seq long", ["run_id", "file_key"])
+        known = table.touched(rows, batch_id)
+        # rows without a time come after all others
+        order = F.struct(F.col("checked_at").isNull(), "checked_at", "seq")
+        first = known.unionByName(rows).groupBy("run_id", "file_key").agg(F.min_by(F.struct("checked_at", "seq"), order).alias("f"))
+        first = first.select("run_id", "file_key", "f.checked_at", "f.seq").persist()
+        newest = rows.agg(F.max("checked_at").alias("newest"))
+        if batch_id:
+            seen = spark.read.parquet(f"{folder}/newest/batch={batch_id - 1}")
+            behind = rows.where(F.col("checked_at") < seen.select(F.col("newest") - F.expr(f"INTERVAL {delay}")).scalar())
+            won = first.select("run_id", "file_key", F.col("seq").alias("first_seq"))
+            late = behind.join(won, ["run_id", "file_key"]).select(*rows.columns, (F.col("seq") == F.col("first_seq")).alias("is_first"))
+            newest = newest.unionByName(seen).agg(F.max("newest").alias("newest"))
+        else:
+            late = rows.limit(0).withColumn("is_first", F.lit(False))
+        late.write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+        newest.coalesce(1).write.mode("overwrite").parquet(f"{folder}/newest/batch={batch_id}")
+        table.commit(first, batch_id)
+        first.unpersist()
+        rows.unpersist()
+
+    return _run(audit, folder, each)
+
+
+def first_per_key(spark: SparkSession, folder: str) -> DataFrame:
+    """(run_id, file_key, checked_at, seq) as of the last batch."""
+    return KeyedTable(spark, f"{folder}/first", "run_id string, file_key string, checked_at timestamp, seq long", ["run_id", "file_key"]).rows()
 
 
 def page_links_stream(pages: DataFrame, folder: str) -> StreamingQuery:
@@ -111,58 +166,21 @@ def page_links_stream(pages: DataFrame, folder: str) -> StreamingQuery:
     return query
 
 
+def _registry_table(spark: SparkSession, folder: str, columns: str) -> KeyedTable:
+    return KeyedTable(spark, f"{folder}/registry", columns, ["table_name"])
+
+
 def registry_stream(entries: DataFrame, folder: str) -> StreamingQuery:
-    """Registry upserts batch by batch; each batch writes the next snapshot."""
+    """Registry upserts; a batch rewrites the buckets of its own tables."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema.fields)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        path = f"{folder}/registry/batch="
-        before = batch.limit(0) if batch_id == 0 else batch.sparkSession.read.schema(batch.schema).parquet(f"{path}{batch_id - 1}")
-        after = sinks.upsert_registry(before, batch).select(*batch.columns)
-        after.write.mode("overwrite").parquet(f"{path}{batch_id}")
+        table = _registry_table(batch.sparkSession, folder, columns)
+        table.upsert(batch.where("table_name IS NOT NULL"), batch_id, lambda old, new: sinks.upsert_registry(old, new).select(*entries.columns))
 
     return _run(entries, folder, each)
 
 
-def latest_registry(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest registry snapshot."""
-    every = spark.read.option("basePath", f"{folder}/registry").parquet(f"{folder}/registry")
-    return every.where(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
-
-
-def resumable_reach(
-    edges: DataFrame, roots: DataFrame, keys: list[str], folder: str, max_depth: int | None = None
-) -> DataFrame:
-    """Crawl reach whose levels are stored; a rerun continues after the last.
-
-    Stored levels count only when they were derived from the same roots.  Levels
-    are followed until one is empty, unless ``max_depth`` is given.
-    """
-    spark = edges.sparkSession
-    start = roots.select(*keys, "node").distinct()
-    if _complete(spark, f"{folder}/roots"):
-        stored = spark.read.parquet(f"{folder}/roots")
-        if not (stored.exceptAll(start).isEmpty() and start.exceptAll(stored).isEmpty()):
-            raise ValueError(f"{folder} holds a crawl with other roots")
-    else:
-        start.write.mode("overwrite").parquet(f"{folder}/roots")
-    known = None
-    for depth in itertools.count() if max_depth is None else range(max_depth + 1):
-        path = f"{folder}/levels/depth={depth}"
-        if not _complete(spark, path):
-            if depth == 0:
-                level = start.withColumn("discovered_from", F.lit(None).cast(edges.schema["src"].dataType))
-            else:
-                step = known.where(F.col("depth") == depth - 1).select(*keys, F.col("node").alias("src")).join(edges, [*keys, "src"])
-                fresh = step.groupBy(*keys, F.col("dst").alias("node")).agg(F.min("src").alias("discovered_from"))
-                level = fresh.join(known.select(*keys, "node"), [*keys, "node"], "left_anti")
-            level.write.mode("overwrite").parquet(path)
-        known = spark.read.option("basePath", f"{folder}/levels").parquet(*[f"{folder}/levels/depth={d}" for d in range(depth + 1)])
-        if known.where(F.col("depth") == depth).isEmpty():
-            break
-    return known
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    """The dataset was committed (its success marker exists)."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+def latest_registry(spark: SparkSession, folder: str, columns: str) -> DataFrame:
+    """The registry as of the last batch; ``columns`` is its DDL list."""
+    return _registry_table(spark, folder, columns).rows()

@@ -181,7 +181,7 @@ def test_index_modes(spark):
 
 def test_ordinals_across_blocks(spark):
     df = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE cast(id % 7 AS string) END AS k")
-    got = {(r.k, r.id): r.n for r in with_ordinal(df, ["k"], "id", "n", block=10).collect()}
+    got = {(r.k, r.id): r.n for r in with_ordinal(df, ["k"], "id", "n", ranges=10).collect()}
     seen = {}
     for (k, i) in sorted(got, key=lambda x: x[1]):
         seen[k] = seen.get(k, 0) + 1
