@@ -32,9 +32,9 @@ from pagequarry.llm.tokens import PartEncoder, sliced
 LEXICON = 100_000
 #: How often a part must occur among those that a task gathers to be reported as frequent.
 OFTEN = 8
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Ids decoded at a time.
-ID_SLICE = 1 << 20
+ID_SLICE = 1 << 18
 
 
 class Ranks:
