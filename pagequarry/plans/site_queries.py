@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagequarry import fixed_values as fv
+from pagequarry.functions import hosts as HO
 from pagequarry.functions import urls as U
 from pagequarry.operators import extract as X
 from pagequarry.operators import policy as P
+from pagequarry.operators import rules as RU
 from pagequarry.operators import topics as K
 from pagequarry.operators import vendors as Y
 from pagequarry.plans import duck as D
@@ -219,3 +221,49 @@ def topic_names(t: Tables):
     return named.select("seq", F.when(usable, c("table_name")).alias("table_name"), "truncated", "error")
 
 
+
+
+ADAPTERS = """
+SELECT CASE n_nationkey % 5 WHEN 0 THEN ' PASWORLD ' WHEN 1 THEN 'cjworld' WHEN 2 THEN 'generic' WHEN 3 THEN 'dungbhumi' ELSE concat('own', CAST(n_nationkey AS VARCHAR(20))) END AS adapter_id,
+       n_name AS adapter_name, CAST(n_regionkey AS VARCHAR(20)) AS news_mode FROM nation
+"""
+
+
+@plan(f"""WITH {_RANKED}, w AS (SELECT site, CASE WHEN score >= 60 THEN vendor_id ELSE 'none of these' END AS vendor_id FROM ranked WHERE rank = 1),
+a AS (SELECT lower(trim(adapter_id)) AS adapter_id, min(adapter_name) AS adapter_name, arg_min(news_mode, adapter_name) AS news_mode FROM ({ADAPTERS}) GROUP BY 1)
+SELECT w.site, w.vendor_id, coalesce(a.adapter_id, g.adapter_id) AS adapter_id, coalesce(a.adapter_name, g.adapter_name) AS adapter_name, coalesce(a.news_mode, g.news_mode) AS news_mode
+FROM w LEFT JOIN a ON a.adapter_id = w.vendor_id JOIN a g ON g.adapter_id = 'generic'""")
+def vendor_adapters(t: Tables):
+    """Adapter and settings of each site's vendor, read from a table; unknown vendors get the generic one."""
+    winners = Y.vendor_winner(_scores(t.built_pages(VENDOR_PAGES)))
+    known = winners.select("site", F.when(c("vendor_id") == fv.VENDOR_UNKNOWN[0], "none of these").otherwise(c("vendor_id")).alias("vendor_id"))
+    adapters = t.view(ADAPTERS, "nation").select("adapter_id", "adapter_name", F.create_map(F.lit("news_mode"), "news_mode").alias("settings"))
+    return RU.with_adapters(known, adapters).select("site", "vendor_id", "adapter_id", "adapter_name", c("settings")["news_mode"].alias("news_mode"))
+
+
+# hosts from suppliers, patterns from nations
+RULES = """
+SELECT s_suppkey AS rank, 'host' AS kind, CASE s_suppkey % 3 WHEN 0 THEN concat('https://www.h', CAST(s_suppkey % 12 AS VARCHAR(20)), '.Example.org/x') WHEN 1 THEN concat('h', CAST(s_suppkey % 11 AS VARCHAR(20)), '.example.org')
+  ELSE concat('q', CAST(s_suppkey AS VARCHAR(20)), '.net') END AS pattern, CAST(NULL AS VARCHAR(20)) AS reason FROM supplier
+UNION ALL SELECT n_nationkey, 'url_regex', concat('/', CAST(n_nationkey AS VARCHAR(20)), '-[0-9][.]docx'), concat('kept by ', n_name) FROM nation
+UNION ALL SELECT n_nationkey, 'fragment', concat(CAST(10 + n_nationkey AS VARCHAR(20)), '-1.PDF'), CAST(NULL AS VARCHAR(20)) FROM nation
+"""
+_BARE = "regexp_replace(regexp_replace(regexp_replace(lower(pattern), '^https?://', ''), '[/:].*$', ''), '^www[.]', '')"
+
+
+@plan(f"""WITH a AS ({V.AUDIT}), r AS ({RULES}), h AS (SELECT rank, {_BARE} AS host FROM r WHERE kind = 'host'), l AS (SELECT file_url AS href, count(*) AS n FROM a GROUP BY 1),
+s AS (SELECT *, {D.site('href')} AS site FROM l)
+SELECT href, n, coalesce((SELECT arg_min(reason, (rank, pattern)) FROM r WHERE kind = 'url_regex' AND regexp_matches(href, pattern, 'i')),
+  (SELECT {D.lit(fv.SKIP_HOST_REASON[0])} || arg_min(host, (rank, host)) || {D.lit(fv.SKIP_HOST_REASON[1])} FROM h WHERE host = site OR ends_with(site, '.' || host)),
+  (SELECT {D.lit(fv.SKIP_FRAGMENT_PREFIX)} || lower(arg_min(pattern, (rank, pattern))) FROM r WHERE kind = 'fragment' AND contains(lower(href), lower(pattern)))) AS skip_reason FROM s""")
+def rule_table_skips(t: Tables):
+    """References with their skip reason, by rules from a table."""
+    rows = t.audit.groupBy(c("file_url").alias("href")).agg(F.count("*").alias("n"))
+    return RU.table_skips(rows, t.view(RULES, "supplier", "nation"))
+
+
+@plan()
+def idn_hosts(t: Tables):
+    """ASCII forms of host names in Thai script, made from the hosts of all pages."""
+    thai = F.translate(U.host(c("url")), "aehinorst", "กขคงจฉชซ์")
+    return t.pages.select("page_id", thai.alias("host"), HO.ascii_host(thai).alias("ascii_host"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from pagequarry.functions import urls as U
 from pagequarry.operators import file_index as X
 from pagequarry.operators import files as I
 from pagequarry.operators import reconcile as R
@@ -156,3 +159,59 @@ def pdf_stats(t: Tables):
     return R.pdf_stats(I.pdf_storage(t.bodies))
 
 
+
+
+_NUMBERED = "row_number() OVER (ORDER BY p_partkey)"
+
+
+@plan(f"""WITH l AS (SELECT {_NUMBERED} AS seq, trim({_LINE}) AS line FROM part), s AS (SELECT seq, CASE WHEN {D.rx('line', r'^(.*?)[,|\t]\s*(https?://\S+)$')} THEN trim({D.extract('line', r'^(.*?)[,|\t]\s*https?://\S+$')}) ELSE '' END AS title,
+  {D.extract('line', r'(https?://\S+)$')} AS url FROM l WHERE {D.rx('line', r'^(?:.*?[,|\t]\s*)?https?://\S+$')}), h AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM s)
+SELECT seq, title, url, CASE WHEN n > 200 THEN 'over_limit' WHEN title <> '' AND row_number() OVER (PARTITION BY lower(title) ORDER BY seq) > 1 THEN 'duplicate_title' END AS error FROM h""")
+def seed_files(t: Tables):
+    """Seed lines kept in text files, read in line order and validated."""
+    path = sinks.new_path(work_dir(t.spark), "seeds")
+    line = F.expr(_LINE.replace("chr(9)", "char(9)"))
+    t.table("part").repartitionByRange(5, "p_partkey").sortWithinPartitions("p_partkey").select(line.alias("value")).write.text(path)
+    return corpus.validate_seeds(corpus.read_seeds(t.spark, path))
+
+
+@plan("""WITH d AS (SELECT p_size AS folder, CAST(sum(strlen(p_name) + 1) AS BIGINT) AS n_bytes FROM part WHERE p_size % 5 <> 0 GROUP BY 1)
+SELECT p_size AS folder, count(*) AS recorded, coalesce(max(d.n_bytes), 0) AS listed_bytes, coalesce(max(d.n_bytes), 0) AS read_bytes, max(d.n_bytes) IS NOT NULL AS intact
+FROM part LEFT JOIN d ON d.folder = p_size GROUP BY 1""")
+def file_listing_check(t: Tables):
+    """Recorded folders against the files that are there: listed without reading, and read."""
+    path = sinks.new_path(work_dir(t.spark), "files")
+    parts = t.table("part")
+    parts.where("p_size % 5 <> 0").select("p_name", "p_size").write.partitionBy("p_size").text(path)
+    folder = F.regexp_extract("local_path", "p_size=([0-9]+)/", 1).cast(parts.schema["p_size"].dataType).alias("folder")
+    listed = corpus.file_listing(t.spark, path).groupBy(folder).agg(F.sum("file_size").alias("listed_bytes"))
+    read = corpus.read_bodies(t.spark, path).groupBy(folder).agg(F.sum(F.octet_length("content")).cast("bigint").alias("read_bytes"))
+    recorded = parts.groupBy(c("p_size").alias("folder")).agg(F.count("*").alias("recorded"))
+    every = recorded.join(listed, "folder", "left").join(read, "folder", "left")
+    return every.select("folder", "recorded", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("listed_bytes", "read_bytes")], c("listed_bytes").isNotNull().alias("intact"))
+
+
+_RUNS = f"""a AS ({V.AUDIT}), p AS (SELECT 'run-' || (page_id % 3) AS run_id, url FROM pages)"""
+
+
+@plan(f"""WITH {_RUNS} SELECT 'fetch_audit' AS table_name, run_id, count(*) AS n_rows, count(DISTINCT file_url) AS n_keys FROM a GROUP BY run_id
+UNION ALL SELECT 'crawl_pages', run_id, count(*), count(DISTINCT url) FROM p GROUP BY run_id
+UNION ALL SELECT 'activity_details', 'run-' || (l_linenumber % 2), count(*), count(DISTINCT l_orderkey) FROM lineitem GROUP BY 2
+UNION ALL SELECT 'site_profiles', 'run-0', count(DISTINCT {D.site('url')}), count(DISTINCT {D.site('url')}) FROM pages""")
+def table_append(t: Tables):
+    """Record tables of several runs, each run appended twice: its rows count once."""
+    folder = sinks.new_path(work_dir(t.spark), "records")
+    number = lambda x: F.concat(F.lit("run-"), x.cast("string")).alias("run_id")
+    loads = {
+        "fetch_audit": (t.audit, "file_url"),
+        "crawl_pages": (t.pages.select(number(c("page_id") % 3), c("url").alias("page_url"), F.lit("downloaded").alias("status")), "page_url"),
+        "activity_details": (t.table("lineitem").select(number(c("l_linenumber") % 2), c("l_orderkey").cast("string").alias("album_id")), "album_id"),
+        "site_profiles": (t.pages.select(F.lit("run-0").alias("run_id"), U.site(c("url")).alias("site_url")).distinct(), "site_url"),
+    }
+    out = []
+    for table, (rows, key) in loads.items():
+        for _ in range(2):
+            sinks.append_runs(rows, table, folder)
+        back = sinks.read_runs(t.spark, table, folder)
+        out.append(back.groupBy("run_id").agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_keys")).withColumn("table_name", F.lit(table)))
+    return reduce(lambda a, b: a.unionByName(b), out)

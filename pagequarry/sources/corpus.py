@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagequarry import fixed_values as fv
 from pagequarry.functions import urls as U
+from pagequarry.operators.ordinals import with_ordinal
 
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
@@ -48,10 +49,22 @@ def parse_seed_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, line): the lines of all text files below ``path``, numbered by file name and place.
+
+    A file's blocks may be read by different tasks, in any order; the number
+    follows the file, the block's first byte and the place inside the block.
+    """
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    return with_ordinal(lines, [], ["file", "block", "place"], "seq").select("seq", "line")
+
+
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
-    """Seed file as rows; ``seq`` follows the byte order inside a file."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
-    return parse_seed_lines(lines)
+    """Seed files as rows, in the order of their lines."""
+    return parse_seed_lines(read_lines(spark, path))
 
 
 def validate_seeds(seeds: DataFrame, cap: int = fv.TOPIC_LIMIT) -> DataFrame:

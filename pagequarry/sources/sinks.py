@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,11 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
     Text in a DATE column goes through the date parser.
     """
+    return df.select(*conformed_columns(df, table))
+
+
+def conformed_columns(df: DataFrame, table: str) -> list[Column]:
+    """The columns of ``conform`` as expressions over ``df``."""
     have = {f.name: f.dataType.typeName() for f in df.schema.fields}
 
     def column(field) -> Column:
@@ -78,7 +84,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
             value = D.to_date(value)
         return value.cast(field.dataType).alias(field.name)
 
-    return df.select(*[column(f) for f in target_schema(table).fields])
+    return [column(f) for f in target_schema(table).fields]
 
 
 def unparsable_dates(df: DataFrame, column: str) -> DataFrame:
@@ -119,6 +125,32 @@ def append_records(rows: DataFrame, path: str, partition_by: list[str] | None =
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def append_runs(rows: DataFrame, table: str, folder: str) -> None:
+    """Append the rows of whole runs to a record table; a run that comes again replaces its own rows.
+
+    Rows are conformed to the stored schema of ``table`` and lie under their
+    ``run_id`` and the load that brought them.  The load counts once its runs
+    are in the manifest, so a load that broke off is never read.
+    """
+    load = uuid.uuid4().hex
+    own = [] if "run_id" in target_schema(table).names else ["run_id"]
+    stored, spark = rows.select(*own, *conformed_columns(rows, table)), rows.sparkSession
+    stored.withColumn("load", F.lit(load)).write.mode("append").partitionBy("run_id", "load").parquet(f"{folder}/{table}/data")
+    written = spark.read.schema("run_id string, load string").parquet(f"{folder}/{table}/data").where(F.col("load") == load)
+    runs = written.select("run_id", "load").distinct().withColumn("at", F.lit(time.time_ns()))
+    runs.coalesce(1).write.mode("append").parquet(f"{folder}/{table}/manifest")
+
+
+def read_runs(spark: SparkSession, table: str, folder: str) -> DataFrame:
+    """The rows that each run's last load brought, in the stored schema with ``run_id``."""
+    manifest = spark.read.schema("run_id string, load string, at long").parquet(f"{folder}/{table}/manifest")
+    last = manifest.groupBy("run_id").agg(F.max_by("load", "at").alias("load"))
+    names = target_schema(table).names
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in target_schema(table).fields if f.name != "run_id")
+    rows = spark.read.schema(f"{columns}, run_id string, load string").parquet(f"{folder}/{table}/data")
+    return rows.join(last, ["run_id", "load"], "left_semi").select(*([] if "run_id" in names else ["run_id"]), *names)
+
+
 # --- snapshots ------------------------------------------------------------------------------
 def new_path(folder: str, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"

@@ -14,6 +14,8 @@ SF = "/root/testdata/sf0.001"
 QUICK = [
     "http_urls", "canonical_urls", "page_hrefs", "skip_policy", "audit_unique", "section_summary", "duplicate_refs", "index_lookup",
     "thumb_pairs", "vendor_winner", "media_candidates", "unique_names", "published_dates", "registry_check", "crawl_reach", "audit_csv",
+    "page_caps", "pagination_closure", "stream_resume", "stream_audit", "stream_first_per_key", "id_gap_ranges", "scan_readmitted", "seed_files",
+    "file_listing_check", "table_append", "vendor_adapters", "rule_table_skips", "page_text",
 ]
 CHECKS = contract.oracle_sql()
 NAMES = sorted(CHECKS) if os.environ.get("ALL_CHECKS") else QUICK
