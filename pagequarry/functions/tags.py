@@ -28,7 +28,7 @@ def unquote_sql(assignment: str) -> str:
 
 def attribute_sql(tag: str, name: str) -> str:
     """SQL text of ``attribute``."""
-    found = f"nullif({S.extract(tag, ci(rf'{chr(92)}b{name}{VALUE}'), 0)}, '')"
+    found = f"nullif({S.extract(tag, ci(rf'\b{name}{VALUE}'), 0)}, '')"
     return unquote_sql(found)
 
 

@@ -99,14 +99,14 @@ def _encode_sql(x: str) -> str:
     plain = S.let(x, "t", f"if({S.rlike('t', '[ \"<>`{}^]')}, {unsafe}, t)")
     q = S.extract("t", r"^[^?#]*(\?[^#]*)")
     quotes = (
-        f"concat({S.extract('t', '^([^?#]*)')}, replace({q}, {S.quote(chr(39))}, '%27'), "
-        f"{S.extract('t', '^[^#]*(#[' + chr(92) + 's' + chr(92) + 'S]*)$')})"
+        f"concat({S.extract('t', '^([^?#]*)')}, replace({q}, {S.quote("'")}, '%27'), "
+        f"{S.extract('t', r'^[^#]*(#[\s\S]*)$')})"
     )
-    quoted = S.let(plain, "t", f"if(instr({q}, {S.quote(chr(39))}) > 0, {quotes}, t)")
-    runs = f"regexp_extract_all(t, {S.quote('[^' + chr(92) + 'x00-' + chr(92) + 'x7f]+')}, 0)"
+    quoted = S.let(plain, "t", f"if(instr({q}, {S.quote("'")}) > 0, {quotes}, t)")
+    runs = f"regexp_extract_all(t, {S.quote(r'[^\x00-\x7f]+')}, 0)"
     longest = f"array_sort(array_distinct({runs}), (a, b) -> length(b) - length(a))"
     encoded = f"aggregate({longest}, t, (acc, r) -> replace(acc, r, url_encode(r)))"
-    return S.let(quoted, "t", f"if({S.rlike('t', '[^' + chr(92) + 'x00-' + chr(92) + 'x7f]')}, {encoded}, t)")
+    return S.let(quoted, "t", f"if({S.rlike('t', r'[^\x00-\x7f]')}, {encoded}, t)")
 
 
 def _dots_sql(x: str) -> str:
@@ -134,12 +134,12 @@ def resolve_sql(ref: str, base: str, keep_other_schemes: bool = False) -> str:
     with_path = S.replace("r", r"^(https?://[^/?#]+)(?=[?#]|$)", "$1/")
     joined = (
         f"CASE WHEN {S.rlike('r', '^https?://[^/]')} THEN {with_path} "
-        f"WHEN startswith(r, '/') AND {S.rlike('r', '^/[^/' + chr(92) * 2 + ']')} THEN concat({S.extract(base, '^(https?://[^/?#]*)')}, r) "
+        f"WHEN startswith(r, '/') AND {S.rlike('r', r'^/[^/\\]')} THEN concat({S.extract(base, '^(https?://[^/?#]*)')}, r) "
         f"WHEN startswith(r, '?') AND {S.rlike(base, '^https?://[^/?#]+/')} THEN concat({S.extract(base, '^([^?#]*)')}, r) "
         f"ELSE {S.replace(rules, '(?i)^(https?://[^/?#]+)(?=[?#]|$)', '$1/')} END"
     )
     slashes = S.replace("j", r"\G([^?#\\]*)\\", "$1/")
-    joined = S.let(joined, "j", f"if(instr(j, {S.quote(chr(92))}) > 0, {slashes}, j)")
+    joined = S.let(joined, "j", f"if(instr(j, {S.quote('\\')}) > 0, {slashes}, j)")
     head = f"lower({S.extract('u', '(?i)^(https?://[^/?#]*)')})"
     ports = S.replace("h", r"^(http://[^/]*?):(?:80)?$|^(https://[^/]*?):(?:443)?$", "$1$2")
     tail = "substring(u, length(h) + 1)"
@@ -150,21 +150,21 @@ def resolve_sql(ref: str, base: str, keep_other_schemes: bool = False) -> str:
     web = S.let(head, "h", valid)
     other = (
         f"WHEN {S.rlike('u', '(?i)^[a-z][a-z0-9+.-]*:[^' + _SEP + ']*$')} THEN "
-        f"concat(lower({S.extract('u', '^([^:]*)')}), {S.extract('u', '^[^:]*([' + chr(92) + 's' + chr(92) + 'S]*)$')})"
+        f"concat(lower({S.extract('u', '^([^:]*)')}), {S.extract('u', r'^[^:]*([\s\S]*)$')})"
     )
     serialised = S.let(
         joined, "u",
         f"CASE WHEN {S.rlike('u', '(?i)^https?://')} THEN {web} WHEN {S.rlike('u', '(?i)^https?:')} THEN NULL {other if keep_other_schemes else ''} END",
     )
     trimmed = S.replace("r0", r"[\t\r\n\x1f]|^[\x00-\x20]+|[\x00-\x20]+$", "")
-    return S.let(S.let(ref, "r0", f"if({S.rlike('r0', '[' + chr(92) + 'x00-' + chr(92) + 'x20]')}, {trimmed}, r0)"), "r", serialised)
+    return S.let(S.let(ref, "r0", f"if({S.rlike('r0', r'[\x00-\x20]')}, {trimmed}, r0)"), "r", serialised)
 
 
 def reference_sql(raw: str, unescape_slashes: bool = False) -> str:
     """SQL text: attribute text to a reference, one quote dropped at either end."""
     ref = S.replace(decode_sql(f"trim({raw})"), "^['\"]|['\"]$", "")
     if unescape_slashes:
-        ref = f"replace({ref}, {S.quote(chr(92) + '/')}, '/')"
+        ref = f"replace({ref}, {S.quote(r'\/')}, '/')"
     return S.replace(ref, "(?i)&amp;", "&")
 
 
@@ -194,7 +194,7 @@ def _pairs_sql(u: str) -> str:
     def part(pattern: str) -> str:
         return S.let(S.extract("x", pattern), "y", "coalesce(try_url_decode(y), y)")
 
-    both = f"named_struct('key', {part('^([^=]*)')}, 'value', {part('^[^=]*=(' + '[' + chr(92) + 's' + chr(92) + 'S]*)$')})"
+    both = f"named_struct('key', {part('^([^=]*)')}, 'value', {part(r'^[^=]*=([\s\S]*)$')})"
     return f"transform(filter(split({S.extract(u, _QUERY)}, '&'), x -> x <> ''), x -> {both})"
 
 

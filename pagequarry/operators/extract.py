@@ -240,7 +240,7 @@ def _tag_mentions(marked: DataFrame, with_context: bool) -> DataFrame:
     c = F.col
     wanted = r"(?i)^[^>]+\b(?:onclick|data-href|data-url|data-link|data-target|data-detail-url|http-equiv)\s*="
     found = f"filter(transform(tags, (t, i) -> named_struct('pos', i, 'tag', t)), x -> {S.rlike('x.tag', wanted)})"
-    each = f"transform({found}, x -> named_struct('pos', x.pos, 'tag', x.tag, 'context', {_context('x.pos', 'x.pos') if with_context else chr(39) * 2}))"
+    each = f"transform({found}, x -> named_struct('pos', x.pos, 'tag', x.tag, 'context', {_context('x.pos', 'x.pos') if with_context else "''"}))"
     tags = marked.selectExpr("page_id", "url", f"explode({each}) AS x").select("page_id", "url", "x.*")
     tags = tags.withColumn("tag", F.concat(F.lit("<"), F.regexp_extract("tag", r"^([^>]*>)", 1)))
     data = rf"\b({'|'.join(fv.NAV_DATA_ATTRS)}){T.VALUE}"

@@ -53,7 +53,7 @@ def _srcset(rank: int, via: str) -> str:
 def _tag_parts(pattern: str, body: bool = False) -> str:
     first = ci("^" + pattern)
     parts = f"'tag', lower({S.extract('m', first, 1)}), 'attrs', {S.extract('m', first, 2)}"
-    return f"named_struct({parts}{', ' + chr(39) + 'body' + chr(39) + ', ' + S.extract('m', first, 3) if body else ''})"
+    return f"named_struct({parts}{", 'body', " + S.extract('m', first, 3) if body else ''})"
 
 
 def _paired_tags(rank: int) -> str:
@@ -68,13 +68,13 @@ def _paired_tags(rank: int) -> str:
 
 def _lone_tags(rank: int) -> str:
     pattern = r"<(source|embed|img|iframe|video|audio|object)\b([^>]*)>"
-    both = f"concat({_named_attrs(rank, fv.LONE_TAG_ATTRS, 'concat(g.tag, ' + chr(39) + '-NAME' + chr(39) + ')')}, {_srcset(rank, 'concat(g.tag, ' + chr(39) + '-srcset' + chr(39) + ')')})"
+    both = f"concat({_named_attrs(rank, fv.LONE_TAG_ATTRS, "concat(g.tag, '-NAME')")}, {_srcset(rank, "concat(g.tag, '-srcset')")})"
     return f"flatten({_each(pattern, S.let(_tag_parts(pattern), 'g', both))})"
 
 
 def _attributes(rank: int, names: list[str], via: str | None = None, context: bool = True, boundary: bool = True) -> str:
     pattern = (r"\b" if boundary else "") + f"(?:{'|'.join(names)}){T.VALUE}"
-    name = S.quote(via) if via else f"lower({S.extract('m', '^([^' + chr(92) + 's=]+)')})"
+    name = S.quote(via) if via else f"lower({S.extract('m', r'^([^\s=]+)')})"
     return _each(pattern, _cand(rank, "i", name, T.unquote_sql("m"), "m" if context else "''"))
 
 
@@ -200,8 +200,8 @@ def gallery_images(pages: DataFrame) -> DataFrame:
     """Album images with their evidence score, best channel per image."""
     pattern = r"<(a|img|source|meta|picture|div|figure|li|button)\b([^>]*)>"
     named = (
-        f"concat(if(g.tag = 'a', {_named_attrs(0, fv.GALLERY_ANCHOR_ATTRS, chr(39) + 'NAME' + chr(39))}, "
-        f"{_named_attrs(0, fv.GALLERY_TAG_ATTRS, chr(39) + 'NAME' + chr(39))}), {_srcset(0, chr(39) + 'srcset' + chr(39))})"
+        f"concat(if(g.tag = 'a', {_named_attrs(0, fv.GALLERY_ANCHOR_ATTRS, "'NAME'")}, "
+        f"{_named_attrs(0, fv.GALLERY_TAG_ATTRS, "'NAME'")}), {_srcset(0, "'srcset'")})"
     )
     rows = _explode(pages, [
         f"flatten({_each(pattern, S.let(_tag_parts(pattern), 'g', named))})",
@@ -233,7 +233,7 @@ def page_images(pages: DataFrame) -> DataFrame:
     declared = f"coalesce({T.attribute_sql('m', 'content')}, {T.attribute_sql('m', 'href')})"
 
     def size(tag: str, name: str) -> str:
-        return f"coalesce(try_cast({S.extract(tag, ci(rf'{chr(92)}b{name}{chr(92)}s*={chr(92)}s*[{chr(34)}{chr(39)}]?([0-9]+)'))} AS bigint), 0)"
+        return f"coalesce(try_cast({S.extract(tag, ci(rf"""\b{name}\s*=\s*["']?([0-9]+)"""))} AS bigint), 0)"
 
     start, inner = S.extract("m", r"^(<[^>]*>)"), S.extract("m", ci(r"(<img\b[^>]*>)"))
     source = "coalesce(" + ", ".join(T.attribute_sql("m", n) for n in ["src", "data-src", "data-original"]) + ")"

@@ -128,7 +128,7 @@ def crawl_canonical(u: str) -> str:
 def pick(u: str, names: list[str]) -> str:
     """Value of the first listed parameter that has one, else NULL."""
     tests = ", ".join(
-        f"nullif({value_of(f'list_filter({pairs(u)}, lambda kv: {key_of(chr(107) + chr(118))} = {lit(n)})[1]')}, '')" for n in names
+        f"nullif({value_of(f'list_filter({pairs(u)}, lambda kv: {key_of('kv')} = {lit(n)})[1]')}, '')" for n in names
     )
     return f"coalesce({tests})"
 

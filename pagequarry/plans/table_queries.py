@@ -22,8 +22,8 @@ c = F.col
 _LINE = "CASE p_partkey % 6 WHEN 0 THEN p_name || ' , https://s' || p_size || '.example.org/?cat_id=' || p_partkey WHEN 1 THEN p_name || chr(9) || 'https://s' || p_size || '.example.org/' || p_partkey WHEN 2 THEN '  https://s' || p_size || '.example.org/x ' WHEN 3 THEN 'no link here' WHEN 4 THEN p_name || ' https://a b' ELSE '' END"
 
 
-@plan(f"""WITH l AS (SELECT p_partkey AS seq, trim({_LINE}) AS line FROM part), s AS (SELECT seq, CASE WHEN {D.rx('line', '^(.*?)[,|' + chr(9) + r']\s*(https?://\S+)$')} THEN trim({D.extract('line', '^(.*?)[,|' + chr(9) + r']\s*https?://\S+$')}) ELSE '' END AS title,
-  {D.extract('line', r'(https?://\S+)$')} AS url FROM l WHERE {D.rx('line', '^(?:.*?[,|' + chr(9) + r']\s*)?https?://\S+$')}), h AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM s)
+@plan(f"""WITH l AS (SELECT p_partkey AS seq, trim({_LINE}) AS line FROM part), s AS (SELECT seq, CASE WHEN {D.rx('line', r'^(.*?)[,|\t]\s*(https?://\S+)$')} THEN trim({D.extract('line', r'^(.*?)[,|\t]\s*https?://\S+$')}) ELSE '' END AS title,
+  {D.extract('line', r'(https?://\S+)$')} AS url FROM l WHERE {D.rx('line', r'^(?:.*?[,|\t]\s*)?https?://\S+$')}), h AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM s)
 SELECT seq, title, url, CASE WHEN n > 200 THEN 'over_limit' WHEN title <> '' AND row_number() OVER (PARTITION BY lower(title) ORDER BY seq) > 1 THEN 'duplicate_title' END AS error FROM h""")
 def seed_import(t: Tables):
     """Seed lines parsed and validated."""
