@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -62,6 +63,7 @@ N_FEATURES = len(TAGS) + 1 + len(NAMES) + 8
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*+)>", re.S
 )
+_OPEN_END = re.compile(r"<[!?]")
 _NAMES_OF = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -98,7 +100,13 @@ def parse(source: str) -> Page:
         return len(page.tags) - 1
 
     links = keep = hidden = 0  # open elements of each sort
-    stack.append(("", block("html", "")))
+    opened: Counter[str] = Counter()  # and of each tag, so that a stray end tag costs no look at the stack
+
+    def push(tag: str, at: int) -> None:
+        stack.append((tag, at))
+        opened[tag] += 1
+
+    push("", block("html", ""))
     fresh = True  # the next text starts a new run
 
     def text(raw: str) -> None:
@@ -120,12 +128,15 @@ def parse(source: str) -> Page:
     def close(to: int) -> None:
         nonlocal links, fresh, hidden
         for tag, _ in stack[to:]:
+            opened[tag] -= 1
             links -= tag == "a"
             hidden -= tag in HIDDEN
             fresh = fresh or tag not in INLINE
         del stack[to:]
 
     def end(tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in tags:
                 close(i)
@@ -141,7 +152,9 @@ def parse(source: str) -> Page:
         return last[tag] >= at
 
     at, lowered = 0, None
-    found = _MARKUP.search(source)
+    # behind the last ``>`` there is no tag: looking for one at each ``<`` would read the rest again and again
+    last_end = source.rfind(">") + 1
+    found = _MARKUP.search(source, 0, last_end)
     while found:
         text(source[at : found.start()])
         at = found.end()
@@ -156,15 +169,12 @@ def parse(source: str) -> Page:
             if keep:
                 page.states[stack[-1][1]] = 1
         elif found[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            end((tag,), ())
         elif tag == "br":
             text(" ")
         elif tag == "head":
             if stack[-1][0] in ("", "html"):
-                stack.append((tag, stack[-1][1]))
+                push(tag, stack[-1][1])
                 hidden += 1
         elif tag in HIDDEN:
             fresh = fresh or tag not in INLINE
@@ -179,25 +189,27 @@ def parse(source: str) -> Page:
                 close_at = source.find(">", stop)
                 at = close_at + 1 if 0 <= close_at else len(source)
             elif not alone and ends_later(tag, at):  # ends with its parent at the latest
-                stack.append((tag, stack[-1][1]))
+                push(tag, stack[-1][1])
                 hidden += 1
         elif tag in VOID:
             fresh = fresh or tag not in INLINE
         elif hidden and alone:
             pass
         elif hidden or tag in INLINE:
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             links += tag == "a"
         else:
             if tag in ENDS_PARAGRAPH:
                 end(("p",), ("td", "th", "li", "div", "article", "section", "table", "button"))
             if tag in ENDS:
                 end(ENDS[tag], SCOPES[tag])
-            if tag not in ("html", "body") or not any(t == tag for t, _ in stack):
+            if tag not in ("html", "body") or not opened[tag]:
                 fresh = True
-                stack.append((tag, block(tag, found[3])))
-        found = _MARKUP.search(source, at)
-    text(source[at:])
+                push(tag, block(tag, found[3]))
+        found = _MARKUP.search(source, at, last_end)
+    rest = source[at:]
+    odd = _OPEN_END.search(rest)
+    text(rest[: odd.start()] if odd else rest)
     return page
 
 

@@ -53,10 +53,39 @@ def _filled(rng: random.Random, part: str) -> str:
     return part.replace("{links}", "".join(f"<li>{a}</li>" for a in anchors)).replace("{anchors}", " ".join(anchors))
 
 
-def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
+#: Around the content of plain pages: no element, elements without names, and names that say nothing.
+PLAIN_CONTENT = (
+    "{}", "{}", "<main>{}</main>", "<div>{}</div>", "<div><div>{}</div></div>", "<section>{}</section>", '<div class="{name}">{}</div>', '<div id="{name}">{}</div>',
+    '<div class="{name}"><div class="{name}">{}</div></div>', "<center>{}</center>", "<table><tr><td>{}</td></tr></table>", '<div class="{name}">{}</div>',
+)
+#: Few blocks, often just one; bare text is one too.
+PLAIN_BLOCKS = ("<p>{long}</p>", "<p>{long}</p>", "<p>{long} {long} {long}</p>", "{long}", "{long} {long} {long}", "<pre>{long}</pre>", "<div>{long}</div>", "<p>{short} {long}</p>")
+#: What stands beside it, told by its element or by its links alone.
+PLAIN_OTHER = ("<nav>{anchors}</nav>", "<nav><ul>{links}</ul></nav>", "<footer>{short}</footer>", "<footer><p>{long}</p></footer>", "<header>{anchors}</header>", "<div>{anchors}</div>", "<ul>{links}</ul>", "<aside>{long}</aside>", '<div class="{name}">{anchors}</div>')
+
+
+def _plain_page(rng: random.Random) -> str:
+    """A page of one or few blocks that class words do not tell apart."""
+
+    def named(part: str) -> str:
+        while "{name}" in part:
+            part = part.replace("{name}", _text(rng, 1, 1), 1)
+        return part
+
+    count = rng.choice((1, 1, 1, 1, 2, 3, 5))
+    blocks = [_filled(rng, rng.choice(PLAIN_BLOCKS)) for _ in range(count)]
+    content = named(rng.choice(PLAIN_CONTENT)).replace("{}", "<keep-text>" + "".join(blocks) + "</keep-text>")
+    before = [_filled(rng, named(rng.choice(PLAIN_OTHER))) for _ in range(rng.choice((0, 0, 1, 2)))]
+    after = [_filled(rng, named(rng.choice(PLAIN_OTHER))) for _ in range(rng.choice((0, 0, 1, 2)))]
+    return f"<html><head><title>{_text(rng, 2, 6)}</title></head><body>{''.join([*before, content, *after])}</body></html>"
+
+
+def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
     """Pages whose content is between ``<keep-text>`` and ``</keep-text>``."""
     rng, pages = random.Random(seed), []
-    for _ in range(n):
+    for _ in range(n // 3):
+        pages.append(_plain_page(rng))
+    for _ in range(n - n // 3):
         blocks = [_filled(rng, rng.choice(BLOCKS)) for _ in range(rng.randint(1, 9))]
         for _ in range(rng.choice((0, 0, 0, 1, 2))):
             blocks.insert(rng.randint(0, len(blocks)), "</keep-text>" + _filled(rng, rng.choice(OTHER[11:])) + "<keep-text>")

@@ -1,5 +1,8 @@
 """Pages whose hidden elements and quotes are not closed as usual."""
 
+import random
+import time
+
 import pytest
 
 from pagequarry.llm import html_tree
@@ -37,3 +40,51 @@ def test_page_without_the_end_of_its_head(spark):
     rows = [(1, "u", page.format("</head>")), (2, "u", page.format("")), (3, "u", page.format("<script>if(a<b){} // don't</script></head>").replace("Short", "It's"))]
     got = {r["page_id"]: r["text"] for r in html_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] and got[2] == got[1] and got[3] == got[1].replace("Short", "It's")
+
+
+WORDS = "Lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod tempor invidunt ut labore et dolore magna aliquyam erat. "
+
+
+def said(n):
+    return (WORDS * (n // len(WORDS) + 1))[:n].strip()
+
+
+def in_page(body):
+    return f"<html><head><title>t</title></head><body>{body}</body></html>"
+
+
+def test_pages_of_one_block_keep_it():
+    links = "<a href='/a'>one</a><a href='/b'>two</a><a href='/c'>three</a>"
+    shapes = ["<main><p>{}</p></main>", f"<nav>{links}</nav><main><p>{{}}</p></main><footer>all rights</footer>", '<div class="detail"><p>{}</p></div>',
+              f'<ul class="menu"><li>{links}</li></ul><div class="detail"><p>{{}}</p></div>', "<p>{}</p>", "{}", "<pre>{}</pre>", "<article><p>{}</p></article>", "<div><p>{}</p></div>"]
+    cases = [(shape, n) for shape in shapes for n in (200, 1200, 1800)]
+    got = html_tree.default_model().texts([in_page(shape.format(said(n))) for shape, n in cases])
+    assert [c for c, text in zip(cases, got) if text != said(c[1])] == []
+
+
+def test_pages_of_layouts_that_were_not_trained():
+    """Other names, other nesting and other texts than those of the training pages."""
+    dice = random.Random(11)
+    around = ['<div class="lesetext">{}</div>', '<section id="inhalt"><div>{}</div></section>', '<div class="x1"><div class="x2"><div class="x3">{}</div></div></div>',
+              '<div class="hauptspalte">{}</div>', "<main><section>{}</section></main>", "<div><section><div>{}</div></section></div>", '<article class="beitrag">{}</article>']
+    beside = ["<nav><div>{l}</div></nav>", '<div class="menue"><ul>{i}</ul></div>', "<footer><div><p>{s}</p></div></footer>", '<aside class="rand"><p>{s}</p></aside>',
+              '<header class="kopf">{l}</header>', '<div class="werbung ads"><p>{s}</p></div>', '<div class="cookie-hinweis"><p>{s}</p></div>']
+    pages, want = [], []
+    for _ in range(200):
+        text = [" ".join("".join(dice.choices("abcdefghilmnoprstu", k=dice.randint(2, 8))) for _ in range(dice.randint(20, 120))) for _ in range(dice.randint(1, 6))]
+        links = [f"<a href='/{i}'>{dice.choice(WORDS.split())}</a>" for i in range(dice.randint(2, 7))]
+        fill = lambda part: part.replace("{l}", " ".join(links)).replace("{i}", "".join(f"<li>{x}</li>" for x in links)).replace("{s}", said(dice.randint(20, 90)))
+        sides = [fill(dice.choice(beside)) for _ in range(dice.randint(0, 4))]
+        at = dice.randint(0, len(sides))
+        pages.append(in_page("".join([*sides[:at], dice.choice(around).format("".join(f"<p>{t}</p>" for t in text)), *sides[at:]])))
+        want.append(" ".join(text))
+    got = html_tree.default_model().texts(pages)
+    assert sum(a == b for a, b in zip(got, want)) >= 180
+
+
+def test_a_megabyte_of_broken_markup_is_read_in_seconds():
+    for source in ("<a " * 330_000, "<b>" * 20_000 + "</i>" * 240_000, "<p>" * 150_000 + "</div>" * 100_000, "a <!-- " + "<b " * 300_000):
+        begun = time.process_time()
+        html_tree.parse(source)
+        assert time.process_time() - begun < 5
+    assert html_tree.default_model().texts(["<p>" + said(400) + "</p><!-- never closed <b " + said(200)]) == [said(400)]
