@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.shared import SPACE_CLASS
+from pagequarry.llm.shared import SPACE_CLASS, fresh_name
 
 
 def normalised(text: Column) -> Column:
@@ -59,12 +59,14 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs`` that stay, with all their columns.
 
     Dropped ids are the small side of an anti join.  Rows without an id stay
-    only where no row with an id has their text.
+    only where no row with an id has their text.  Rows that repeat id and text
+    all stay or all go; a null text is empty.
     """
     verdict = exact_duplicates(docs, id_col, text_col)
-    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"))
+    gone_id, gone_sha = fresh_name("gone"), fresh_name("sha")
+    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha))
     body = F.sha2(normalised(F.col(text_col)), 256)
-    return docs.join(gone.distinct(), docs[id_col].eqNullSafe(F.col("_gone")) & (body == F.col("_sha")), "left_anti")
+    return docs.join(gone.distinct(), docs[id_col].eqNullSafe(F.col(gone_id)) & (body == F.col(gone_sha)), "left_anti")
 
 
 SQL = r"""

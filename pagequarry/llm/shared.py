@@ -43,6 +43,11 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(archive)
 
 
+def fresh_name(base: str) -> str:
+    """A column name that no table brings along."""
+    return f"{base}_{uuid.uuid4().hex}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """An unused path below the folder that driver and executors share."""
     return f"{work_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
