@@ -78,7 +78,7 @@ def content_blocks(t: Tables):
 
 @plan(f"""WITH {D.ALL_PAGES}, b AS (SELECT page_id, html, {D.clean("CASE WHEN page_id < 0 THEN " + D.extract('html', '<div class="detail">(.*?)</div>') + " ELSE " + D.extract('html', '<article>((?s:.*?))</article>') + " END")} AS t FROM all_pages),
  q AS (SELECT page_id, t, {D.clean(D.sub(D.sub(D.sub('html', '<script(?s:.*?)</script>', ' '), '<style(?s:.*?)</style>', ' '), '<(?:nav|header|footer|aside|form)(?s:.*?)</(?:nav|header|footer|aside|form)>', ' '))} AS whole FROM b)
-SELECT page_id, length(t) >= 20 AS from_block, substr(CASE WHEN length(t) >= 20 THEN t ELSE '' END, 1, 50000) AS detail_text FROM q""")
+SELECT page_id, length(t) >= 20 AS from_block, CASE WHEN length(t) >= 20 THEN t ELSE whole END AS detail_text FROM q""")
 def page_text(t: Tables):
     """Readable text of every page, from its block or else from its body."""
     rows = t.all_pages.withColumn("block", N.content_html(c("html")))

@@ -66,7 +66,7 @@ SELECT seed_url, node, depth FROM w""")
 def pagination_closure(t: Tables):
     """Listing pages reachable from each seed through pagination links."""
     pages = t.html.selectExpr("-page_id - 1 AS page_id", "url", "html")
-    seeds = seeds_view(t).withColumn("seed_id", c("seed_url"))
+    seeds = seeds_view(t)
     links = C.classified_links(X.navigation_links(pages, with_context=False), seeds).where("kind = 'listing'")
     owner = pages.select("page_id", F.regexp_replace(U.canonical(c("url")), "&id=[0-9]+", "").alias("page_canon"))
     listing = links.join(owner, "page_id").select("seed_id", "page_canon", "target").distinct()

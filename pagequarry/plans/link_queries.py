@@ -303,16 +303,16 @@ def input_scope(t: Tables):
 
 # --- classification ---------------------------------------------------------------------------------
 def seeds_view(t: Tables):
-    """One seed per site and category of the constructed pages."""
+    """One seed per site and category of the constructed pages, named by its address."""
     vendor = F.when(c("p_size") % 10 == 3, "pasworld").otherwise("generic")
     seeds = t.table("part").select(
         F.concat(F.lit("https://www.site"), (c("p_size") % 10).cast("string"), F.lit(".example.org/news/?cid="), (c("p_size") % 5).cast("string")).alias("seed_url"),
         vendor.alias("vendor_id"),
     )
-    return seeds.groupBy("seed_url").agg(F.min("vendor_id").alias("vendor_id")).withColumn("seed_id", F.regexp_extract("seed_url", r"www\.(site\d)\.", 1))
+    return seeds.groupBy("seed_url").agg(F.min("vendor_id").alias("vendor_id")).withColumn("seed_id", c("seed_url"))
 
 
-_SEEDS = """seeds AS (SELECT DISTINCT 'https://www.site' || (p_size % 10) || '.example.org/news/?cid=' || (p_size % 5) AS seed_url, 'site' || (p_size % 10) AS seed_id,
+_SEEDS = """seeds AS (SELECT DISTINCT 'https://www.site' || (p_size % 10) || '.example.org/news/?cid=' || (p_size % 5) AS seed_url, seed_url AS seed_id,
   CASE WHEN p_size % 10 = 3 THEN 'pasworld' ELSE 'generic' END AS vendor_id, CAST(p_size % 5 AS VARCHAR) AS cid FROM part)"""
 
 
