@@ -677,3 +677,41 @@ ID_SCAN_DEFAULT = 3000
 PDF_STORE_MB = 32
 AUDIT_PAGE_LIMIT = 5000
 FALSE_WORDS = ["0", "false", "no", "off"]
+
+# --- album pages (fixed values) ---------------------------------------------
+ALBUM_DETAIL_SPAN = (
+    r"<span\b(?=[^>]*class\s*=\s*(?:\"[^\"]*\bdetail\b[^\"]*\"|'[^']*\bdetail\b[^']*'|[^\s>]*\bdetail\b[^\s>]*))[^>]*>"
+    r"([\s\S]*?)</span>"
+)
+ALBUM_DETAIL_LABEL = (
+    r"<td\b[^>]*class\s*=\s*[\"'][^\"']*\btitle3\b[^\"']*[\"'][^>]*>[\s\S]*?รายละเอียด\s*:?\s*[\s\S]*?</td>\s*"
+    r"<td\b[^>]*class\s*=\s*[\"'][^\"']*\bstyles1\b[^\"']*[\"'][^>]*>([\s\S]*?)</td>"
+)
+ALBUM_TITLE_BLOCK = r"<b>\s*อัลบั้มภาพ\s*\"[\s\S]*?\"\s*</b>"
+ALBUM_MORE_MARKER = r"<div\b[^>]*id\s*=\s*[\"']svDivAlbumsMoreC[\"'][^>]*>[\s\S]*?</div>"
+ALBUM_ABOVE_DIV = (
+    r"<div\b(?=[^>]*\bstyle\s*=\s*(?:\"[^\"]*margin-top\s*:\s*20px[^\"]*\"|'[^']*margin-top\s*:\s*20px[^']*'))[^>]*>"
+    r"([\s\S]*?)</div>"
+)
+ALBUM_BELOW_DIV = (
+    r"<div\b(?=[^>]*\balign\s*=\s*(?:\"center\"|'center'))"
+    r"(?=[^>]*\bstyle\s*=\s*(?:\"[^\"]*margin-top\s*:\s*20px[^\"]*\"|'[^']*margin-top\s*:\s*20px[^']*'))[^>]*>([\s\S]*?)</div>"
+)
+ALBUM_LEGACY_GALLERY = ['id="svDivAlbums5RowA"', "id='svDivAlbums5RowA'", "/photoThumbnail/albums/", 'rel="lightbox', "rel='lightbox"]
+ALBUM_GALLERY = [
+    "/photoThumbnail/albums/", "/album/picture/", "picture/b_", "slides[", 'rel="lightbox', "rel='lightbox",
+    'id="svDivAlbums5A"', "id='svDivAlbums5A'", 'id="svDivAlbumsMoreC"', "id='svDivAlbumsMoreC'",
+]
+ALBUM_BELOW_ENDS = ["<!--attach files", "<iframe", "<script", "</body>", "<!-- end content -->"]
+ALBUM_MIDDLE_ENDS = ["<!--attach files", "<iframe", "/photoThumbnail/albums/", 'id="svDivAlbums5A"', "id='svDivAlbums5A'"]
+ALBUM_NO_DETAIL = r"^หน้าแรก|^อัลบั้มภาพกิจกรรม|^ประกาศเมื่อวันที่"
+ALBUM_DETAIL_NOISE = r"หน้าแรก|อัลบั้มภาพกิจกรรม|ประกาศเมื่อวันที่|>>|<"
+ALBUM_TRAIL_WORDS = r"หน้าแรก|อัลบั้มภาพกิจกรรม|อัลบั้มภาพ"
+ALBUM_TEXT_LEAD = r'^อัลบั้มภาพ\s*"?[^"]{1,260}"?\s*'
+ALBUM_TEXT_TRAIL = r"^(?:หน้าแรก\s*>\s*)?(?:อัลบั้มภาพกิจกรรม|อัลบั้มภาพ)\s*>\s*"
+ALBUM_TEXT_STEPS = r"^(?:[^>]{1,160}\s*>\s*){2,6}"
+ALBUM_PAGE_TRAILS = [r"หน้าแรก\s*>\s*", r"อัลบั้มภาพกิจกรรม\s*>\s*"]
+# characters before a gallery that are searched without a title, and of a block that is kept
+ALBUM_REACH, ALBUM_BLOCK_LIMIT = 12000, 20000
+# scores of a block: long text, a sentence, by place, noise
+ALBUM_BLOCK_SCORES = {"long": 20, "sentence": 8, "below": 35, "above": 0, "else": 5, "noise": 15}

@@ -229,25 +229,34 @@ def tidy_fragment(block: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, "\r\n", "\n"), "\n{3,}", "\n\n"))
 
 
-def page_text(html: Column, block: Column, title: Column, limit: int | None = None) -> Column:
-    """Block text of 20+ characters, else the page body without furniture.
-
-    ``limit``: characters kept (``fv.TEXT_LIMIT`` is usual); all if not given.
-    """
+def page_body(html: Column) -> Column:
+    """Text of a page's main part, else of its body, without menus, headers, footers, asides and forms."""
+    quiet = F.regexp_replace(
+        strip_scripts(html), r"(?i)<(?:nav|header|footer|aside|form)\b[\s\S]*?</(?:nav|header|footer|aside|form)>", " "
+    )
 
-    def from_page(page: Column) -> Column:
-        main = F.coalesce(
+    def main(page: Column) -> Column:
+        part = F.coalesce(
             first_group(page, r"<main\b[^>]*>([\s\S]*?)</main>"),
             first_group(page, r"<[^>]+\brole\s*=\s*[\"']main[\"'][^>]*>([\s\S]*?)</[^>]+>"),
             first_group(page, r"<body\b[^>]*>([\s\S]*?)</body>"),
             page,
         )
-        return squeeze(_replace_first(clean_text(main), F.trim(title)))
+        return clean_text(part)
 
-    quiet = F.regexp_replace(
-        strip_scripts(html), r"(?i)<(?:nav|header|footer|aside|form)\b[\s\S]*?</(?:nav|header|footer|aside|form)>", " "
-    )
-    text = bind(clean_text(block), lambda t: F.when(F.length(t) >= 20, t).otherwise(bind(quiet, from_page)))
+    return bind(quiet, main)
+
+
+def page_text(html: Column, block: Column, title: Column, limit: int | None = None) -> Column:
+    """Block text of 20+ characters, else the page body without furniture.
+
+    ``limit``: characters kept (``fv.TEXT_LIMIT`` is usual); all if not given.
+    """
+
+    def whole(page: Column) -> Column:
+        return squeeze(_replace_first(page_body(page), F.trim(title)))
+
+    text = bind(clean_text(block), lambda t: F.when(F.length(t) >= 20, t).otherwise(whole(html)))
     return text if limit is None else F.substring(text, 1, limit)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagequarry import fixed_values as fv
 from pagequarry.functions import urls as U
 from pagequarry.functions.text import bind
+from pagequarry.operators import albums as AL
 from pagequarry.operators import classify as C
 from pagequarry.operators import content as N
 from pagequarry.operators import file_index as I
@@ -195,3 +196,36 @@ def listing_order(t: Tables):
     return C.listing_order(rows)
 
 
+
+
+# album pages of five sorts: a marked detail, a labelled one, text above and below a gallery, menus only
+_ALBUM_SAID = "concat('เทศบาลจัดกิจกรรมปลูกต้นไม้ร่วมกับประชาชนในพื้นที่ ', p_name, ' เพื่อเพิ่มพื้นที่สีเขียวในชุมชนของเราและสร้างความสามัคคี')"
+ALBUM_PAGES = f"""
+SELECT p_partkey AS page_id, p_name AS title, concat('<html><body><nav>', p_type, '</nav>', CASE p_partkey % 5
+  WHEN 0 THEN concat('<span class="x detail">', {_ALBUM_SAID}, '</span><p>', p_brand, '</p>')
+  WHEN 1 THEN concat('<table><tr><td class="title3">รายละเอียด :</td> <td class="styles1"><b>', {_ALBUM_SAID}, '</b><img src="/x.jpg"></td></tr></table>')
+  WHEN 2 THEN concat('<b>อัลบั้มภาพ "', p_name, '"</b><div style="margin-top:20px;">short</div><div style="margin-top:20px">', {_ALBUM_SAID}, '</div><a rel="lightbox" href="/photoThumbnail/albums/1.jpg">1</a><p>', p_type, '</p>')
+  WHEN 3 THEN concat('<table><tr><td><a href="/album/picture/b_1.jpg">1</a></td></tr></table><p>', {_ALBUM_SAID}, '</p><iframe src="/f"></iframe>', p_brand)
+  ELSE concat('<p>', p_brand, ' ', p_type, '</p>') END, '</body></html>') AS html
+FROM part
+"""
+_ALBUM_SQL = f"""SELECT p_partkey AS page_id, CASE p_partkey % 5 WHEN 0 THEN {_ALBUM_SAID} WHEN 1 THEN concat('<b>', {_ALBUM_SAID}, '</b>') WHEN 2 THEN {_ALBUM_SAID}
+  WHEN 3 THEN concat('<p>', {_ALBUM_SAID}, '</p>') ELSE '' END AS album_block, CASE WHEN p_partkey % 5 < 4 THEN {_ALBUM_SAID} ELSE '' END AS album_text FROM part
+UNION ALL SELECT -page_id - 1, '', '' FROM pages"""
+
+
+def _albums(t: Tables):
+    raw = t.pages.selectExpr("-page_id - 1 AS page_id", "'' AS title", "html")
+    return AL.album_details(t.built_pages(ALBUM_PAGES).select("page_id", "title", "html").unionByName(raw))
+
+
+@plan(f"SELECT page_id, album_block FROM ({_ALBUM_SQL})")
+def album_blocks(t: Tables):
+    """Detail block of album pages; raw pages have none."""
+    return _albums(t).select("page_id", "album_block")
+
+
+@plan(f"SELECT page_id, album_text FROM ({_ALBUM_SQL})")
+def album_text(t: Tables):
+    """Text of album pages; raw pages hold too little Thai for one."""
+    return _albums(t).select("page_id", "album_text")
