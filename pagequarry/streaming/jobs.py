@@ -41,6 +41,11 @@ def _index_table(spark: SparkSession, folder: str) -> KeyedTable:
     return KeyedTable(spark, f"{folder}/index", f"kind string, lookup string, {columns}", ["kind", "lookup"])
 
 
+def indexed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per lookup key as of the last batch: the record it resolves to."""
+    return _index_table(spark, folder).rows()
+
+
 def index_stream(fetched: DataFrame, folder: str) -> StreamingQuery:
     """Each arriving file: new, known by URL, or known by content.
 

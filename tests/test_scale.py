@@ -52,7 +52,7 @@ def test_index_stream_does_not_depend_on_batches(spark, tmp_path, sizes):
     want = {1: None, 2: "/d/1", 3: "/d/1", 4: None, 5: None, 6: "/d/1", 7: "/d/1"}
     assert {r["seq"]: r["stored_path"] for r in got} == want
     assert all((r["status"] == "downloaded") == (want[r["seq"]] is None) for r in got)
-    index = spark.read.parquet(f"{tmp_path}/out/index").select("local_path").distinct().collect()
+    index = S.indexed_files(spark, f"{tmp_path}/out").select("local_path").distinct().collect()
     assert {r["local_path"] for r in index} == {"/d/1", "/d/4", "/d/5"}
 
 
