@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.components import connected
 from pagequarry.llm.labelled import runs, text_bytes
-from pagequarry.llm.shared import ship, written
+from pagequarry.llm.shared import fresh_name, ship, written
 from pagequarry.llm.tokens import sliced
 
 WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Counters of the sketch that orders shingles.
-SKETCH = 1 << 16
+#: Bits of a shingle's hash that name its counter in the sketch that orders shingles, and counters of one row (16 MB, in 1,024 rows).
+SKETCH_BITS, SKETCH_ROW = 22, 1 << 12
 #: Orders in which rows choose the document that the others are compared with.
 STAR_ORDERS = 3
 #: Bits of the number of hash blocks for the bound of a pair's overlap: about one block a shingle, within these.
@@ -79,39 +79,60 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def _prefix(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The rarest shingles, as many as leave too few for a link outside."""
     n = len(shingles)
-    order = np.argsort(counts[(shingles >> np.uint64(48)).astype(np.int64)], kind="stable")
+    order = np.argsort(counts[_counter(shingles)], kind="stable")
     return shingles[order][: n - (PERCENT * n + 99) // 100 + 1]
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document; then the task's counts of the sketch, with a null set."""
-    counts = np.zeros(SKETCH, dtype=np.int64)
+    """A row for each document; then the task's counters of the sketch, with a null set."""
+    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
     for batch in sliced(batches, "text", SLICE):
         sets = shingle_sets(batch.column("text"))
-        for s in sets:
-            counts += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=SKETCH) if len(s) > SKETCH else 0
-        small = [s for s in sets if len(s) <= SKETCH]
-        if small:
-            counts += np.bincount((np.concatenate(small) >> np.uint64(48)).astype(np.int64), minlength=SKETCH)
+        np.add.at(counts, _counter(np.concatenate(sets)) if sets else [], 1)
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()),
             "set_key": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+            "counters": pa.nulls(len(sets), pa.binary()),
         })
-    used = np.flatnonzero(counts)
-    if len(used):
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(used, pa.int64()), "n": pa.array(counts[used], pa.int64()), "set_key": pa.nulls(len(used), pa.binary())
-        })
+    rows = counts.reshape(-1, SKETCH_ROW)
+    used = np.flatnonzero(rows.any(axis=1))
+    for some in np.array_split(used, max(1, len(used) // 64)):
+        if len(some):
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(some, pa.int64()), "n": pa.nulls(len(some), pa.int64()), "set_key": pa.nulls(len(some), pa.binary()),
+                "counters": pa.array([rows[i].tobytes() for i in some], pa.binary()),
+            })
+
+
+def _summed_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counters of each sketch row, added up over the rows of a task, which come sorted."""
+    at, total = None, None
+    for batch in batches:
+        for i, counters in zip(batch.column("doc_id").to_pylist(), batch.column("counters")):
+            own = np.frombuffer(counters.as_buffer(), dtype=np.int32)
+            if i == at:
+                total = total + own
+                continue
+            if at is not None:
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([at], pa.int64()), "counters": pa.array([total.tobytes()], pa.binary())})
+            at, total = i, own
+    if at is not None:
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([at], pa.int64()), "counters": pa.array([total.tobytes()], pa.binary())})
 
 
 def _sketch(signatures: DataFrame) -> np.ndarray:
-    got = signatures.where("set_key IS NULL").groupBy("doc_id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(SKETCH, dtype=np.int64)
-    counts[got["doc_id"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
-    return counts
+    rows = signatures.where("counters IS NOT NULL").select("doc_id", "counters").repartition(64, "doc_id").sortWithinPartitions("doc_id")
+    counts = np.zeros((1 << SKETCH_BITS) // SKETCH_ROW * SKETCH_ROW, dtype=np.int32).reshape(-1, SKETCH_ROW)
+    for r in rows.mapInArrow(_summed_counters, "doc_id long, counters binary").toLocalIterator():  # 16 MB in all
+        counts[r["doc_id"]] = np.frombuffer(r["counters"], dtype=np.int32)
+    return counts.ravel()
 
 
 def _nodes(rows: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -198,7 +219,8 @@ def _from_texts(rows: DataFrame, wanted: DataFrame, counted: bool) -> DataFrame:
 
 
 def _ids_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # each column's few distinct ids first: pairs are many more
+    return pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct()
 
 
 def _with_both(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
@@ -228,16 +250,15 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _merged(postings: DataFrame) -> DataFrame:
-    """(row, node, n, w, pos): shingles with the same list of documents as one row of the product.
+    """(row, node, n, pos): shingles with the same list of documents as one row of the product.
 
-    ``w`` counts the row's shingles, ``pos`` is the last of their places.  Lists
-    that collide share a row; overlaps are bounded by the smaller ``w`` of a
-    pair, so a collision only costs time.
+    ``pos`` is the first of their places in the document's prefix.  Lists that
+    collide share a row, which only costs time.
     """
     lists = postings.groupBy("shingle").agg(
         F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1)))).alias("row")
     )
-    rows = postings.join(lists, "shingle").groupBy("row", "node", "n").agg(F.count(F.lit(1)).alias("w"), F.max("pos").alias("pos"))
+    rows = postings.join(lists, "shingle").groupBy("row", "node", "n").agg(F.min("pos").alias("pos"))
     return written(rows, "rows")
 
 
@@ -251,8 +272,18 @@ def _placed(merged: DataFrame, comps: DataFrame | None) -> DataFrame:
     return written(placed.join(split, "row", "left_semi"), "placed")
 
 
+def _can_link(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
+    """Whether sets that meet first at these places can share enough: all before them differs, as both are in one order."""
+    most = F.least(n_a - pos_a, n_b - pos_b)
+    return most * (100 + PERCENT) >= PERCENT * (n_a + n_b)
+
+
 def _star_pairs(placed: DataFrame, orders: list[Column]) -> DataFrame:
-    """Each row's documents with one of another component, chosen by the smallest hash of each order."""
+    """Each row's documents with one of another component, chosen by the smallest hash of each order.
+
+    A place bound here would spare pairs, but the components it leaves apart
+    cost the product more of them.
+    """
     leaders = placed.groupBy("row").agg(
         F.array(
             *[F.min(F.struct(o.alias("o"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("comp").alias("lead_comp"))) for o in orders]
@@ -264,16 +295,17 @@ def _star_pairs(placed: DataFrame, orders: list[Column]) -> DataFrame:
 
 
 def _cross_pairs(placed: DataFrame) -> DataFrame:
-    """All pairs of different components whose accumulated overlap can still suffice."""
-    names = ["node", "n", "w", "pos", "comp"]
+    """All pairs of different components that meet early enough in both prefixes.
+
+    A pair that links meets first in a row that passes this bound, so later
+    rows of the pair need not.  The bound is part of the join: of the rows that
+    a group of near copies shares, hardly any but the first ones pass it.
+    """
+    names = ["node", "n", "pos", "comp"]
     a, b = placed.select("row", *[F.col(c).alias(f"{c}_a") for c in names]), placed.select("row", *[F.col(c).alias(f"{c}_b") for c in names])
-    met = a.join(b, "row").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _possible(F.col("n_a"), F.col("n_b")))
-    overlap = met.groupBy("node_a", "node_b", "n_a", "n_b").agg(
-        F.sum(F.least("w_a", "w_b")).alias("c"), F.max("pos_a").alias("pa"), F.max("pos_b").alias("pb")
-    )
-    most = F.col("c") + F.least(F.col("n_a") - F.col("pa") - 1, F.col("n_b") - F.col("pb") - 1)
-    enough = most * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b"))
-    return overlap.where(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    met = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _possible(F.col("n_a"), F.col("n_b"))
+    met = a.join(b, (a["row"] == b["row"]) & met & _can_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _components(nodes: DataFrame, rows: DataFrame) -> DataFrame | None:
@@ -309,10 +341,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signatures = written(rows.mapInArrow(_signatures, "doc_id long, n long, set_key binary"), "signatures")
+    signatures = written(rows.mapInArrow(_signatures, "doc_id long, n long, set_key binary, counters binary"), "signatures")
     nodes = _nodes(rows, _sketch(signatures))
     comps = _components(nodes, rows)
-    members = signatures.where("set_key IS NOT NULL")
+    members = signatures.where("set_key IS NOT NULL").drop("counters")
     same = members.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"))
     named = members.join(same, "set_key", "left")
     if comps is not None:
@@ -326,5 +358,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names their group, with all their columns; rows without an id stay."""
     groups = similar_groups(docs, id_col, text_col)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    name = fresh_name("gone")
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")
