@@ -276,6 +276,9 @@ def test_pieces_equal_the_library(spark, docs, empty):
     got = {r["doc_id"]: list(r["ids"]) for r in piece_lattice.encoded(some, vocab).collect()}
     assert got == {i: model.encode(t or "") for i, t in ROWS if i not in (None, 2, 7)}
     assert all(r["decodes"] for r in piece_lattice.round_trip(some, vocab).collect())
+    rows = [(1, "one two"), (1, "three four five"), (None, "x y"), (None, "z"), (1, "one two")]
+    twice = piece_lattice.encoded(spark.createDataFrame(rows, "doc_id long, text string"), vocab).collect()
+    assert sorted((r["doc_id"] is None, list(r["ids"])) for r in twice) == sorted((i is None, model.encode(t)) for i, t in rows)
     back = piece_lattice.decoded(piece_lattice.encoded(some.where("doc_id = 8"), vocab), vocab, "doc_id").first()
     assert back["text"] == " " + dict(ROWS)[8]
     assert piece_lattice.encoded(empty, vocab).count() == 0
