@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -249,24 +249,49 @@ def encoded(
     repeat an id are encoded like others.  Strings of special tokens are
     ordinary text.  An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    table = lexicon(docs, path, pattern, text_col, lexicon_size).toPandas()  # at most ``lexicon_size`` short rows
-    lengths = table["ids"].map(len).to_numpy(dtype=np.int64)
-    ids = np.concatenate([np.zeros(0, np.int32), *table["ids"]]).astype(np.int32)
-    shared = spark.sparkContext.broadcast((table["part"].tolist(), ids, lengths))
+    encoder, rows = _with_lexicon(docs, path, pattern, id_col, text_col, lexicon_size)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(path, pattern)
-        coder.preload(*shared.value)
+        coder = encoder()
         for batch in sliced(batches, "text", SLICE):
             found = coder.encode(batch.column("text"))
             made = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), made], names=["doc_id", "ids"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
+def _with_lexicon(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, size: int) -> tuple[Callable[[], ReplayEncoder], DataFrame]:
+    """What gives a worker its encoder, which knows the corpus-wide lexicon; (doc_id, text) of the rows."""
+    table = lexicon(docs, path, pattern, text_col, size).toPandas()  # at most ``size`` short rows
+    lengths = table["ids"].map(len).to_numpy(dtype=np.int64)
+    ids = np.concatenate([np.zeros(0, np.int32), *table["ids"]]).astype(np.int32)
+    shared = docs.sparkSession.sparkContext.broadcast((table["part"].tolist(), ids, lengths))
+
+    def encoder() -> ReplayEncoder:
+        coder = _encoder(path, pattern)
+        coder.preload(*shared.value)
+        return coder
+
+    return encoder, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", lexicon_size: int = LEXICON
+) -> DataFrame:
+    """``digests`` of ``encoded``, slice by slice in one worker, so that the ids need not leave it."""
+    encoder, rows = _with_lexicon(docs, path, pattern, id_col, text_col, lexicon_size)
+
+    def trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, digest = encoder(), _digester(path)
+        for batch in sliced(batches, "text", SLICE):
+            found = coder.encode(batch.column("text"))
+            yield digest(batch.column("doc_id"), np.concatenate(found), np.cumsum([0, *map(len, found)]))
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(trip, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(doc ids, token ids end to end, bounds) of about ``ID_SLICE`` token ids at a time."""
     coded = batch.column("ids")
@@ -301,23 +326,31 @@ def decoded(coded: DataFrame, path: str) -> DataFrame:
     return coded.mapInArrow(decode, f"doc_id {coded.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
+def _digester(path: str) -> Callable[[pa.Array, np.ndarray, np.ndarray], pa.RecordBatch]:
+    ranks = _ranks(path)
+    decimals, pieces = ranks.pieces(True), ranks.pieces(False)
+
+    def digest(doc_ids: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        numbers, at = _spelled(ids, bounds, decimals)
+        # the blank before a document's first number does not count
+        of_ids = [hashlib.sha256(numbers[a + 1 : b]).hexdigest() for a, b in zip(at[:-1], at[1:])]
+        texts, at = _spelled(ids, bounds, pieces)
+        of_text = [hashlib.sha256(texts[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])]
+        columns = [doc_ids, pa.array(np.diff(bounds).astype(np.int64)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digest
+
+
 def digests(coded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of ``coded`` (doc_id, ids)."""
     ship(coded.sparkSession)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _ranks(path)
-        decimals, pieces = ranks.pieces(True), ranks.pieces(False)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = _digester(path)
         for batch in batches:
             for doc_ids, ids, bounds in _slices(batch):
-                numbers, at = _spelled(ids, bounds, decimals)
-                texts, begin = _spelled(ids, bounds, pieces)
-                # the blank before a document's first number does not count
-                of_ids = [hashlib.sha256(numbers[a + 1 : b]).hexdigest() for a, b in zip(at[:-1], at[1:])]
-                of_text = [hashlib.sha256(texts[a:b]).hexdigest() for a, b in zip(begin[:-1], begin[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.array(np.diff(bounds)), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                )
+                yield digest(doc_ids, ids, bounds)
 
     kind = coded.schema["doc_id"].dataType.simpleString()
-    return coded.mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return coded.mapInArrow(each, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

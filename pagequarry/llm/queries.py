@@ -103,7 +103,7 @@ def op11_collocation_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe_replay.digests(bpe_replay.encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return bpe_replay.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 @query(turn_trie.SQL)
