@@ -1,9 +1,11 @@
 """Texts of pages with and without a content block."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from pagequarry.operators import content
 from pagequarry.plans import content_queries
+from pagequarry.plans.registry import CHECKS
 from pagequarry.plans.views import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +33,21 @@ def test_query_gives_the_fallback(spark, monkeypatch):
 
     rows = content_queries.page_text(Few(spark, SF)).collect()
     assert {r["page_id"]: (r["from_block"], r["detail_text"]) for r in rows} == {1: (False, "alone in the body"), 2: (True, "twenty characters and more")}
+
+
+def test_query_equals_its_sql_on_short_articles(spark, tmp_path):
+    head, menu = "<html><head><title>Short.</title><style>p{}</style></head>", "<nav>menu</nav><div>advert</div>"
+    pages = [
+        (1, "http://a.example.org/1", f"{head}<body>{menu}<article><h1>Short.</h1></article><footer>end</footer></body></html>"),
+        (2, "http://a.example.org/2", f"{head}<body>{menu}<article><h1>Short.</h1></article><footer>end</footer>"),
+        (3, "http://a.example.org/3", f"{head}<body>{menu}<article>twenty characters and more</article></body></html>"),
+    ]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.read.parquet(f"{SF}/part.parquet").limit(3).write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    for name in ("pages", "part"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(db.execute(CHECKS["page_text"]).fetchall())
+    rows = content_queries.page_text(Tables(spark, str(tmp_path))).collect()
+    assert sorted((r["page_id"], r["from_block"], r["detail_text"]) for r in rows) == want
+    assert (1, False, "Short. advert Short.") in want
