@@ -40,6 +40,26 @@ def test_reach_of_15_levels(spark):
     assert pick(G.reach(edges, roots, ["host"], max_depth=12)) == want[:13]
 
 
+def test_css_closure_broadcasts_nothing(spark, monkeypatch):
+    levels, cut = [], G.cut_lineage
+
+    def watched(df):
+        out = cut(df)
+        if "depth" in df.columns and "discovered_from" in df.columns:
+            levels.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(G, "cut_lineage", watched)
+    sheets = [(f"{SITE}/{i}.css", f"@import '{SITE}/{2 * i + 1}.css'; @import '{SITE}/{2 * i + 2}.css'; a{{b:url(/i/{i % 3}.png)}}") for i in range(6)]
+    start = spark.createDataFrame([(f"{SITE}/0.css",)], "url string")
+    out = G.css_closure(spark.createDataFrame(sheets, "url string, css string"), start)
+    got = {r["node"]: r["depth"] for r in out.collect()}
+    want = {f"{SITE}/{i}.css": (i + 1).bit_length() - 1 for i in range(13)} | {f"{SITE}/i/{k}.png": d for k, d in ((0, 1), (1, 2), (2, 2))}
+    assert got == want
+    # an address is small when shuffled and large in the driver's memory
+    assert levels and not any("Broadcast" in p for p in levels)
+
+
 def test_crawl_of_20_levels_resumes_behind_the_last(spark, tmp_path):
     page = lambda i: f"{SITE}/p/{i}"
     pairs = [(page(i), page(i + 1)) for i in range(20)] + [(page(20), page(3)), (page(5), page(0)), (page(2), page(4))]
