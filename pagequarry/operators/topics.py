@@ -20,6 +20,11 @@ def _keyed_labels(rows: DataFrame) -> DataFrame:
     return links.select("page_id", key.alias("category_key"), "label", "ord")
 
 
+def _some(text: Column) -> Column:
+    """Generator of a text that is neither NULL nor empty; no filter repeats its work."""
+    return F.explode(F.filter(F.array(text), lambda t: t != ""))
+
+
 def menu_labels(pages: DataFrame) -> DataFrame:
     """Longest label per category from anchor images and script menus."""
     m = F.col("m")
@@ -29,28 +34,35 @@ def menu_labels(pages: DataFrame) -> DataFrame:
     label = F.when(
         inner.rlike(ci(alt)), F.concat(F.regexp_extract(inner, ci(alt), 1), F.regexp_extract(inner, ci(alt), 2))
     ).otherwise(F.concat(F.regexp_extract(inner, ci(title), 1), F.regexp_extract(inner, ci(title), 2)))
-    anchors = explode_matches(pages, all_matches(F.col("html"), ANCHOR)).select(
+    # an anchor or list without what a label needs is left out before it is taken apart
+    found = F.filter(
+        F.transform(all_matches(F.col("html"), ANCHOR), lambda a, i: F.struct(i.alias("pos"), a.alias("m"))),
+        lambda x: x["m"].rlike(ci(r"\b(?:alt|title)\s*=")),
+    )
+    named = pages.select("page_id", "url", F.explode(found).alias("x")).select("page_id", "url", "x.*")
+    anchors = named.select("*", _some(clean_text(label)).alias("label")).select(
         "page_id", "url", F.col("pos").alias("ord"),
-        F.coalesce(*[F.nullif(F.regexp_extract(m, ci(ANCHOR), g), F.lit("")) for g in (1, 2, 3)]).alias("raw"),
-        clean_text(label).alias("label"),
+        F.coalesce(*[F.nullif(F.regexp_extract(m, ci(ANCHOR), g), F.lit("")) for g in (1, 2, 3)]).alias("raw"), "label",
     )
-    groups = explode_matches(pages, all_matches(F.col("html"), r"\[([^\[\]]{0,800})\]", 1))
-    strings = groups.withColumn("strings", F.regexp_extract_all("m", F.lit('"([^"]*)"'), F.lit(1)))
+    groups = explode_matches(pages, all_matches(F.col("html"), r"\[([^\[\]]{0,800})\]", 1)).where(F.contains("m", F.lit("=")))
+    strings = groups.select("*", F.explode(F.array(F.regexp_extract_all("m", F.lit('"([^"]*)"'), F.lit(1)))).alias("strings"))
 
     def is_category(v: Column) -> Column:
         return v.rlike(_URL_TEXT) & v.rlike(ci(r"[?&](?:" + "|".join(fv.CATEGORY_PARAMS) + r")=[^&#]"))
 
-    at = F.array_position(F.transform("strings", is_category), F.lit(True))
+    places = F.array_position(F.transform("strings", is_category), F.lit(True))
+    strings = strings.select("page_id", "url", "pos", "strings", F.explode(F.filter(F.array(places), lambda p: p > 0)).alias("at"))
+    at = F.col("at")
     labels = F.filter(
         F.transform(F.slice("strings", F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int")), clean_text),
         lambda v: (v != "") & ~v.rlike(_URL_TEXT) & ~v.rlike(r"^-?[0-9]+$"),
     )
-    scripts = strings.where(at > 0).select(
+    scripts = strings.select(
         "page_id", "url", (F.col("pos") + 1_000_000).alias("ord"),
         F.get(F.col("strings"), (at - 1).cast("int")).alias("raw"),
-        F.coalesce(F.try_element_at(labels, F.lit(-1)), F.lit("")).alias("label"),
+        _some(F.try_element_at(labels, F.lit(-1))).alias("label"),
     )
-    found = _keyed_labels(anchors.unionByName(scripts).where("label <> ''"))
+    found = _keyed_labels(anchors.unionByName(scripts))
     return found.groupBy("page_id", "category_key").agg(
         F.max_by("label", F.struct(F.length("label"), -F.col("ord"))).alias("label")
     )
@@ -62,12 +74,14 @@ def category_links(links: DataFrame, labels: DataFrame) -> DataFrame:
     ``links`` is the navigation link table.
     """
     c = F.col
-    facts = links.withColumn("params", U.first_params(c("href"))).where(
-        ~U.is_link_asset(c("href")) & (U.site(c("href")) == U.site(c("url")))
-    )
-    facts = facts.withColumn("cats", U.category_map(c("params"))).where(
-        (F.size("cats") > 0)
-        & U.record_id(c("href"), c("params")).isNull()
+    # parameters and categories come out of generators, so the filters on them do not repeat their work
+    # the page key keeps a link's site and its category, and a filter on it is applied before texts are made and merged
+    category = ci(r"[?&](?:" + "|".join(fv.CATEGORY_PARAMS) + r")=[^&]")
+    own = links.where(c("canon").rlike(category) & (U.site(c("canon")) == U.site(c("url"))))
+    own = own.where((U.site(c("href")) == U.site(c("url"))) & ~U.is_link_asset(c("href")))
+    facts = own.select("*", F.explode(F.array(U.first_params(c("href")))).alias("params"))
+    facts = facts.select("*", F.explode(F.filter(F.array(U.category_map(c("params"))), lambda m: F.size(m) > 0)).alias("cats")).where(
+        U.record_id(c("href"), c("params")).isNull()
         & U.pick_param(c("params"), fv.PAGE_PARAMS).isNull()
         & ~U.path(c("href")).rlike(ci(fv.PAGE_PATH))
     )
