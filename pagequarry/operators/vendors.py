@@ -42,13 +42,17 @@ def vendor_matches(pages: DataFrame) -> DataFrame:
     text = F.concat_ws("\n", F.col("html"), clean_text(F.col("html")))
     in_text = pages.select(
         U.site(F.col("url")).alias("site"), "page_id",
-        F.explode(rule_hits("text", lambda p: matches(text, p), F.lit(None).cast("string"))).alias("h"),
+        # the text is made once per page, not once per rule
+        F.explode(F.flatten(F.transform(F.array(text), lambda t: rule_hits("text", lambda p: matches(t, p), F.lit(None).cast("string"))))).alias("h"),
     )
+    href = F.col("href")
+
+    def url_hits(host: Column) -> Column:
+        return rule_hits("url", lambda p: matches(href, p) | matches(host, p), href)
+
     in_url = fingerprint_urls(pages).select(
         U.site(F.col("url")).alias("site"), "page_id",
-        F.explode(
-            rule_hits("url", lambda p: matches(F.col("href"), p) | matches(F.lower(U.host(F.col("href"))), p), F.col("href"))
-        ).alias("h"),
+        F.explode(F.flatten(F.transform(F.array(F.lower(U.host(href))), url_hits))).alias("h"),
     )
     hits = in_text.unionByName(in_url).select("site", "page_id", "h.*")
     return hits.groupBy("site", "rule", "vendor_id", "target", "weight", "label").agg(

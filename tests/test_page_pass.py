@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagequarry.operators import extract, topics
+from pagequarry.operators import extract, topics, vendors
 from pagequarry.functions.text import clean_text
 
 HTML = """<UL><LI><A HREF="/news.php?cat_id=3"><img src="m.gif" ALT="Menu"></A></LI></UL><lİ>x</lİ>
@@ -38,3 +38,8 @@ def test_clean_text_keeps_its_order(spark):
     texts = ["&lt;b&gt;x&lt;/b&gt; &AMP;lt; y", "a<SCRIPT>1</SCRIPT>b<style>2</style>c", "", None, "1 &#60;i&#62; 2&nbsp;&#38;lt;3"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", clean_text(F.col("t")).alias("c"))
     assert [r["c"] for r in rows.orderBy("i").collect()] == ["x &lt; y", "a b c", "", "", "1 2 &lt;3"]
+
+
+def test_vendor_text_once(spark):
+    text = vendors.vendor_matches(_pages(spark))._jdf.queryExecution().analyzed().toString()
+    assert text.count("(?i)<style[\\s\\S]*?</style>") == 1
