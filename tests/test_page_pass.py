@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
+
 from pagequarry.operators import extract, topics, vendors
 from pagequarry.functions.text import clean_text
 
@@ -43,3 +45,10 @@ def test_clean_text_keeps_its_order(spark):
 def test_vendor_text_once(spark):
     text = vendors.vendor_matches(_pages(spark))._jdf.queryExecution().analyzed().toString()
     assert text.count("(?i)<style[\\s\\S]*?</style>") == 1
+
+
+def test_frontier_links_once(spark):
+    query = contract.queries()["frontier"](spark, "/root/testdata/sf0.001")
+    plan = query._jdf.queryExecution().optimizedPlan().toString()
+    # the page key comes out of a generator, through which no filter goes
+    assert any("Generate" in line and "mc_cid" in line for line in plan.split("\n"))
