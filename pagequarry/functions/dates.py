@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagequarry import fixed_values as fv
-from pagequarry.functions.text import bind, clean_text, squeeze
+from pagequarry.functions.text import bind, ci, clean_text, squeeze
 
 
 def _gregorian(year: Column) -> Column:
@@ -99,10 +99,10 @@ def published_in_text(text: Column) -> Column:
 
 def published_text(html: Column) -> Column:
     """Publication date text of a page: metadata and labels, then any date."""
-    found = [
-        F.nullif(
-            F.trim(F.regexp_replace(clean_text(F.regexp_extract(html, "(?i)" + p, 1)), "::.*$", "")), F.lit("")
-        )
-        for p in fv.PUBLISHED_PATTERNS
-    ]
+
+    def tidied(raw: Column) -> Column:
+        # most pages have no match to tidy
+        return F.when(raw != "", F.nullif(F.trim(F.regexp_replace(clean_text(raw), "::.*$", "")), F.lit("")))
+
+    found = [bind(F.regexp_extract(html, ci(p), 1), tidied) for p in fv.PUBLISHED_PATTERNS]
     return F.coalesce(*found, F.nullif(published_raw(html), F.lit("")), F.lit(""))
