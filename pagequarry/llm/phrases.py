@@ -35,8 +35,10 @@ LONGEST = 5
 KEY_BITS, FILTER_BITS = 16, 1 << 28
 #: First pairs that start more than this share of all pairs; their windows are dealt out by all their words.
 HOT_SHARE = 1 / 1000
-#: Bytes of text read at a time.
-SLICE = 2 << 20
+#: Pairs of words that a task counts at a time (32 MB).
+PAIRS = 1 << 22
+#: Bytes of text read at a time, and rows and bytes that a task gathers before it adds up equal ones.
+SLICE, GATHER = 1 << 20, (1 << 19, 24 << 20)
 
 _SEP = 9
 _BLANK = np.zeros(256, dtype=bool)
@@ -111,7 +113,10 @@ class Words:
         self.lang = coded.indices.to_numpy(zero_copy_only=False)[row] if n else np.zeros(0, dtype=np.int32)
         power = np.cumprod(np.r_[np.uint64(1), np.full(int(size.max(initial=0)), _ODD[0], dtype=np.uint64)])
         total = np.zeros(len(inside) + 1, dtype=np.uint64)
-        np.cumsum((self.flat + np.uint64(7)) * power[inside], out=total[1:])
+        weighed = power[inside]
+        weighed *= self.flat + np.uint64(7)
+        np.cumsum(weighed, out=total[1:])
+        del weighed, inside, at, data
         seeds = np.array([int.from_bytes(x.encode(), "little") % (2**61 - 1) for x in self.langs.to_pylist()] or [0], dtype=np.uint64)
         self.hash = _mixed(total[self.begin[1:]] - total[self.begin[:-1]] + _mixed(seeds)[self.lang] * _ODD[1])
 
@@ -135,15 +140,13 @@ def _ones(n: int) -> pa.Array:
 
 
 def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def tables() -> Iterator[pa.Table]:
-        for batch in sliced(batches, "text", SLICE):
-            words = Words(batch)
-            every = np.arange(len(words.hash))
-            texts = words.strings(every, np.ones(len(every), dtype=np.int64)).cast(pa.string())
-            rows = pa.table({"lang": words.lang_of(every), "key": texts, "hash": pa.array(words.hash.view(np.int64)), "n": _ones(len(every))})
-            yield summed_rows(rows)
+    def counted(batch: pa.RecordBatch) -> pa.Table:
+        words = Words(batch)
+        every = np.arange(len(words.hash))
+        texts = words.strings(every, np.ones(len(every), dtype=np.int64)).cast(pa.string())
+        return summed_rows(pa.table({"lang": words.lang_of(every), "key": texts, "hash": pa.array(words.hash.view(np.int64)), "n": _ones(len(every))}))
 
-    yield from combined(tables())
+    yield from combined(map(counted, sliced(batches, "text", SLICE)), *GATHER)
 
 
 class HashFilter:
@@ -171,6 +174,30 @@ def _filter_of(hashes: DataFrame) -> HashFilter:
     return HashFilter(words)
 
 
+def _counted_hashes(arrays: Iterator[np.ndarray], room: int = PAIRS) -> Iterator[pa.RecordBatch]:
+    """(hash, n): equal hashes among ``room`` are counted by sorting them in place."""
+    held, used = np.empty(room, dtype=np.int64), 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        held[:used].sort()
+        ends = np.flatnonzero(np.r_[held[1:used] != held[: used - 1], used > 0]) + 1
+        for lo in range(0, len(ends), 65_536):
+            end = ends[lo : lo + 65_536]
+            n = np.diff(end, prepend=ends[lo - 1] if lo else 0)
+            yield pa.RecordBatch.from_arrays([pa.array(held[end - 1]), pa.array(n)], names=["hash", "n"])
+
+    for hashes in arrays:
+        while len(hashes):
+            some, hashes = hashes[: room - used], hashes[room - used :]
+            held[used : used + len(some)] = some
+            used += len(some)
+            if used == room:
+                yield from out()
+                used = 0
+    if used:
+        yield from out()
+
+
 def _pairs_of(words: Words, common: HashFilter) -> np.ndarray:
     """The words that begin a pair of two common words."""
     is_common = common.has(words.hash)
@@ -178,19 +205,40 @@ def _pairs_of(words: Words, common: HashFilter) -> np.ndarray:
     return at[is_common[at + 1]]
 
 
-def _pair_counts(rows: DataFrame, common: HashFilter) -> DataFrame:
+def _summed_hashes(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(hash, n) of the hashes whose counts come to ``least``; rows are sorted by hash."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last run of a batch may go on in the next one
+        keys, totals = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            keys, totals = np.r_[keys[-1:], batch.column("hash").to_numpy()], np.r_[totals[-1:], batch.column("n").to_numpy()]
+            if len(keys):
+                starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                keys, totals = keys[starts], np.add.reduceat(totals, starts)
+                yield frequent(keys[:-1], totals[:-1])
+        yield frequent(keys[-1:], totals[-1:])
+
+    def frequent(keys: np.ndarray, totals: np.ndarray) -> pa.RecordBatch:
+        keep = totals >= least
+        return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(totals[keep])], names=["hash", "n"])
+
+    return add
+
+
+def _pair_counts(rows: DataFrame, common: HashFilter, least: int = 1) -> DataFrame:
+    """(hash, n) of the pairs of common words that occur ``least`` times; tasks have added up already, so Spark only sorts."""
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tables() -> Iterator[pa.Table]:
-            for batch in sliced(batches, "text", SLICE):
-                words = Words(batch)
-                hashes, n = np.unique(words.pair_hash(_pairs_of(words, shared.value)).view(np.int64), return_counts=True)
-                yield pa.table({"hash": pa.array(hashes), "n": pa.array(n, pa.int64())})
+        def pairs(batch: pa.RecordBatch) -> np.ndarray:
+            words = Words(batch)
+            return words.pair_hash(_pairs_of(words, shared.value)).view(np.int64)
 
-        yield from combined(tables())
+        yield from _counted_hashes(map(pairs, sliced(batches, "text", SLICE)))
 
-    return rows.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(count, "hash long, n long")
+    return counted.repartition("hash").sortWithinPartitions("hash").mapInArrow(_summed_hashes(least), "hash long, n long")
 
 
 def _windows(rows: DataFrame, common: HashFilter, pairs: HashFilter, hot: np.ndarray) -> DataFrame:
@@ -204,28 +252,27 @@ def _windows(rows: DataFrame, common: HashFilter, pairs: HashFilter, hot: np.nda
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, pairs, hot = shared.value
 
-        def tables() -> Iterator[pa.Table]:
-            for batch in sliced(batches, "text", SLICE):
-                words = Words(batch)
-                at = _pairs_of(words, common)
-                first = words.pair_hash(at)
-                held = pairs.has(first)
-                at, first = at[held], first[held]
-                # how many good pairs follow each other from a word on
-                good = np.zeros(len(words.hash) + LONGEST, dtype=bool)
-                good[at] = True
-                more = reduce(lambda run, i: run + (run == i) * good[at + i], range(1, LONGEST - 1), np.ones(len(at), dtype=np.int64))
-                is_hot = np.isin(first, hot)
-                whole = first.copy()
-                for i in range(1, LONGEST - 1):
-                    longer = more > i
-                    whole[longer] = _mixed(whole[longer] * _ODD[0] + words.hash[at[longer] + i + 1])
-                part = np.where(is_hot, whole, first).view(np.int64)
-                texts = words.strings(at, more + 1).cast(pa.string())
-                keys = pc.binary_join_element_wise(words.lang_of(at), texts, "\t")
-                yield summed_rows(pa.table({"part": pa.array(part), "key": keys, "hot": pa.array(is_hot), "n": _ones(len(at))}))
-
-        yield from combined(tables())
+        def windows(batch: pa.RecordBatch) -> pa.Table:
+            words = Words(batch)
+            at = _pairs_of(words, common)
+            first = words.pair_hash(at)
+            held = pairs.has(first)
+            at, first = at[held], first[held]
+            # how many good pairs follow each other from a word on
+            good = np.zeros(len(words.hash) + LONGEST, dtype=bool)
+            good[at] = True
+            more = reduce(lambda run, i: run + (run == i) * good[at + i], range(1, LONGEST - 1), np.ones(len(at), dtype=np.int64))
+            is_hot = np.isin(first, hot)
+            whole = first.copy()
+            for i in range(1, LONGEST - 1):
+                longer = more > i
+                whole[longer] = _mixed(whole[longer] * _ODD[0] + words.hash[at[longer] + i + 1])
+            part = np.where(is_hot, whole, first).view(np.int64)
+            texts = words.strings(at, more + 1).cast(pa.string())
+            keys = pc.binary_join_element_wise(words.lang_of(at), texts, "\t")
+            return summed_rows(pa.table({"part": pa.array(part), "key": keys, "hot": pa.array(is_hot), "n": _ones(len(at))}))
+
+        yield from combined(map(windows, sliced(batches, "text", SLICE)), *GATHER)
 
     return rows.mapInArrow(cut, "part long, key string, hot boolean, n long")
 
@@ -362,7 +409,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, lang_col: str = "lang", tex
     totals = seen.groupBy("lang").agg(F.sum("n").alias("total"))
     single = seen.where("key IS NOT NULL")
     common = _filter_of(single.select("hash"))
-    pairs = written(_pair_counts(rows, common).where(F.col("n") >= least), "pairs")
+    pairs = written(_pair_counts(rows, common, least), "pairs")
     all_pairs = seen.agg(F.sum("n")).first()[0] or 0
     # at most 1 / HOT_SHARE pairs can be that frequent
     hot = [r["hash"] for r in pairs.where(F.col("n") > max(all_pairs * HOT_SHARE, least)).select("hash").collect()]

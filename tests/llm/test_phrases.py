@@ -2,7 +2,10 @@
 
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -78,3 +81,66 @@ def test_scores_beyond_64_bits(spark):
         spark.createDataFrame([("en", "x\ty", a, [left], [right], n)], "lang string, words string, a long, lefts array<long>, rights array<long>, total long"), 5
     ).first()
     assert got["score"] == 1000 * a * n // (left * right)
+
+
+def test_equal_hashes_are_counted_in_any_room():
+    arrays = [np.array(a, dtype=np.int64) for a in ([5, -1, 5], [], [5, 7, -1, -1], [2**62, -(2**62)], [7])]
+    want = Counter(int(x) for a in arrays for x in a)
+    for room in (1, 2, 3, 4, 10, 100):
+        got, rows = Counter(), 0
+        for batch in phrases._counted_hashes(iter(arrays), room):
+            for r in batch.to_pylist():
+                got[r["hash"]] += r["n"]
+                rows += 1
+        assert got == want and rows <= sum(want.values())
+    assert rows == len(want)
+    assert list(phrases._counted_hashes(iter(arrays[1:2]))) == []
+    n = 200_000
+    many = list(phrases._counted_hashes(iter([np.repeat(np.arange(n), 3)])))
+    assert len(many) > 1 and sum(b.num_rows for b in many) == n and all((np.asarray(b.column("n")) == 3).all() for b in many)
+
+
+class Rows:
+    """Stands for a table and keeps the functions of its tasks, so that a task runs in this process."""
+
+    sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+
+    def __init__(self):
+        self.tasks = []
+
+    def mapInArrow(self, task, schema):
+        self.tasks.append(task)
+        return self
+
+    def groupBy(self, *keys):
+        return self
+
+    agg = repartition = sortWithinPartitions = groupBy
+
+
+def test_hashes_are_summed_over_batches():
+    rows = pa.table({"hash": [-3, -3, 0, 4, 4, 4, 9], "n": [1, 2, 2, 1, 1, 1, 3]})
+    for size in (1, 2, 3, 7):
+        for least, want in ((1, {-3: 3, 0: 2, 4: 3, 9: 3}), (3, {-3: 3, 4: 3, 9: 3}), (4, {})):
+            batches = [b for b in rows.to_batches(max_chunksize=size) for b in (b, b.slice(0, 0))]
+            out = [(r["hash"], r["n"]) for b in phrases._summed_hashes(least)(iter(batches)) for r in b.to_pylist()]
+            assert len(out) == len(want) and dict(out) == want
+    assert sum(b.num_rows for b in phrases._summed_hashes(1)(iter([]))) == 0
+
+
+def test_a_task_counts_pairs_in_bounded_memory(spark):
+    """25 MB of text with two million different pairs: it took 520 MB more on such texts before."""
+
+    def mb(name):
+        return next(int(x.split()[1]) / 1024 for x in Path("/proc/self/status").read_text().splitlines() if x.startswith(name))
+
+    rng, rows = np.random.default_rng(1), Rows()
+    names = np.array([f"w{i}" for i in range(2000)])
+    batches = [pa.record_batch({"lang": ["en"] * 200, "text": [" ".join(names[rng.integers(0, 2000, 2000)]) for _ in range(200)]}) for _ in range(11)]
+    phrases._pair_counts(rows, phrases.HashFilter(np.full(64, 2**64 - 1, dtype=np.uint64)))
+    pa.default_memory_pool().release_unused()
+    Path("/proc/self/clear_refs").write_text("5")  # the peak begins anew
+    before = mb("VmRSS")
+    n = sum(b.num_rows for b in rows.tasks[0](iter(batches)))
+    assert n > 2_000_000
+    assert mb("VmHWM") - before < 200
