@@ -5,6 +5,9 @@ import duckdb
 import __spark_entry__ as contract
 import oracle
 
+from pagequarry import fixed_values as fv
+from pagequarry.operators import media
+
 HOST = "https://odd.example.net"
 PAGES = [
     (1, "/a", '<a href="/get?id=1">Download the form</a><a href="/plain?id=2">view</a><a href="/watch?id=3" class="video-link">x</a>'),
@@ -27,3 +30,16 @@ def test_resources_of_raw_pages(spark, tmp_path):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
     ok, message = oracle.compare(got, con, contract.oracle_sql()["frontier"])
     assert ok, message
+
+
+def test_page_like_assets_are_those_without_extension(spark):
+    odd = [(9, "/f", '<a href="/y#z.pdf">y</a><script>var a = "/q#r.pdf";</script><a href="/k.pdf?utm_source=1">file</a><a data-video="/v" href="/u">u</a>')]
+    rows = [(i, HOST + path, html) for i, path, html in PAGES + odd]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = media.page_assets(pages).where(f"file_key <> '' AND NOT file_key RLIKE r'(?i){fv.CRAWL_ASSET_EXT}'").select("page_id", "file_key")
+    got = media.page_like_assets(pages)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+    assert (9, HOST + "/q") in set(map(tuple, got.collect()))
+    # only labelled anchors are read beside the media
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "data-lazy-src" not in plan and "download-anchor" in plan
